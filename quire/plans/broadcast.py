@@ -1,0 +1,37 @@
+"""Size-checked broadcast and bounded collection.
+
+Only data whose size has been checked is broadcast or brought to the
+driver.  The check is a ``limit(n + 1).count()``: it reads at most n + 1
+rows, so it is cheap for the small side and never scans a big one fully.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a broadcast side may hold (config tables: templates, criteria, quotas).
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint if the frame has at most ``max_rows`` rows.
+
+    Beyond the bound the frame is returned unhinted and the planner falls
+    back to a shuffled (sort-merge) join.
+    """
+    if row_count_at_most(df, max_rows):
+        return F.broadcast(df)
+    return df
+
+
+def collect_bounded(df: DataFrame, max_rows: int, what: str = "table") -> list:
+    """Collect a configuration-sized frame, refusing anything larger."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows; refusing to collect it")
+    return rows
