@@ -149,9 +149,15 @@ def clean_cell(c: _C) -> Column:
     return F.regexp_replace(t, "(?U)['\",\\s]+\\z", "")
 
 
+def strip_tagged(c: _C, tag: str) -> Column:
+    """Delete every ``<tag>...</tag>`` span (shortest, across lines)."""
+    t = quote_regex(tag)
+    return F.regexp_replace(_col(c), f"(?s)<{t}>.*?</{t}>", "")
+
+
 def strip_think(c: _C) -> Column:
-    """Delete every ``<think>...</think>`` span (shortest, across lines)."""
-    return F.regexp_replace(_col(c), "(?s)<think>.*?</think>", "")
+    """Delete model reasoning spans ``<think>...</think>``."""
+    return strip_tagged(c, "think")
 
 
 # SCL10 -----------------------------------------------------------------------
