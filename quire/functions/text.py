@@ -242,7 +242,7 @@ INT_TEXT = r"(?U)^\s*[+-]?\d+\s*$"
 def as_int(c: _C) -> Column:
     """Python ``int(str)``: an optionally signed digit run with blanks around."""
     t = _col(c)
-    return F.when(t.rlike(INT_TEXT), F.try_cast(ws_trim(t), "int"))
+    return F.when(t.rlike(INT_TEXT), ws_trim(t).try_cast("int"))
 
 
 def severity_band(value: _C, adaptive: _C) -> Column:
@@ -269,7 +269,7 @@ def score_display(value: _C, adaptive: _C, missing: str = "n/a") -> Column:
 def numeric_score(c: _C) -> Column:
     """Digits-only value as int, anything else NULL (a gap in a profile)."""
     t = ws_trim(_col(c))
-    return F.when(t.rlike("^[0-9]+$"), F.try_cast(t, "int"))
+    return F.when(t.rlike("^[0-9]+$"), t.try_cast("int"))
 
 
 # SCL23, SCL24, SCL29 ---------------------------------------------------------
@@ -282,7 +282,7 @@ def is_range(c: _C) -> Column:
 
 def range_bounds(c: _C) -> tuple[Column, Column]:
     nums = F.regexp_extract_all(_col(c), F.lit(r"(?U)\d+"), 0)
-    return F.try_cast(F.get(nums, 0), "int"), F.try_cast(F.get(nums, 1), "int")
+    return F.get(nums, 0).try_cast("int"), F.get(nums, 1).try_cast("int")
 
 
 def rescale(count: _C, total_from_config: _C, total: _C) -> Column:
