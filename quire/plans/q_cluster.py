@@ -1 +1,172 @@
-"""Queries (to be filled)."""
+"""Similarity and clustering queries over embeddings, events and customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import cluster, similarity
+from quire.plans.catalog import register
+from quire.session import read_table
+
+# eps for the driver embeddings (the reference's 0.2 links no pair there).
+EPS = 0.6
+
+COS = ("list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))")
+EDGES_SQL = f"""e AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE 1 - {COS} <= {EPS})"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@register("cosine_edges", oracle=f"""
+SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE 1 - {COS} <= {EPS}
+""")
+def cosine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cosine_edges(points(spark, sf_dir), EPS).select("src", "dst")
+
+
+def _dbscan_sql(min_samples: int) -> str:
+    return f"""
+WITH RECURSIVE {EDGES_SQL},
+deg AS (SELECT vec_id AS id, 1 + (SELECT count(*) FROM e WHERE e.src = vec_id) AS d FROM embeddings),
+core AS (SELECT id FROM deg WHERE d >= {min_samples}),
+ce AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
+reach(v, r) AS (SELECT id, id FROM core UNION SELECT ce.dst, reach.r FROM reach JOIN ce ON reach.v = ce.src),
+comp AS (SELECT v, min(r) AS root FROM reach GROUP BY v),
+num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT root FROM comp)),
+corelab AS (SELECT v AS id, cluster_id FROM comp JOIN num ON comp.root = num.root),
+border AS (
+  SELECT e.src AS id, min(c.cluster_id) AS cluster_id FROM e JOIN corelab c ON e.dst = c.id
+  WHERE e.src NOT IN (SELECT id FROM core) GROUP BY e.src)
+SELECT vec_id AS id, CAST(coalesce(c.cluster_id, b.cluster_id, -1) AS BIGINT) AS cluster_id
+FROM embeddings LEFT JOIN corelab c ON c.id = vec_id LEFT JOIN border b ON b.id = vec_id
+"""
+
+
+@register("dbscan", headline=True, oracle=_dbscan_sql(2))
+def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.dbscan(points(spark, sf_dir), EPS, 2)
+
+
+@register("dbscan_border", oracle=_dbscan_sql(3))
+def dbscan_border(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.dbscan(points(spark, sf_dir), EPS, 3)
+
+
+@register("noise_count", oracle="WITH RECURSIVE " + _dbscan_sql(2).split("WITH RECURSIVE ", 1)[1]
+          .rsplit("SELECT vec_id AS id", 1)[0] + """
+SELECT count(*) FILTER (WHERE coalesce(c.cluster_id, b.cluster_id, -1) = -1) AS n_noise, count(*) AS n_points
+FROM embeddings LEFT JOIN corelab c ON c.id = vec_id LEFT JOIN border b ON b.id = vec_id
+""")
+def noise_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.noise_count(dbscan(spark, sf_dir))
+
+
+@register("centroid_representative", oracle="""
+WITH x AS (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i),
+d AS (SELECT x.label, x.vec_id, sqrt(sum((x.v - c.m) * (x.v - c.m))) AS dist
+      FROM x JOIN c ON x.label = c.label AND x.i = c.i GROUP BY x.label, x.vec_id),
+r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rn,
+             count(*) OVER (PARTITION BY label) AS n FROM d),
+n AS (SELECT label, sqrt(sum(m * m)) AS cn FROM c GROUP BY label)
+SELECT CAST(r.label AS BIGINT) AS cluster_id, r.n AS n_members, r.vec_id AS rep_id,
+       round(n.cn, 3) AS centroid_norm
+FROM r JOIN n ON r.label = n.label WHERE rn = 1
+""")
+def centroid_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("id"),
+        F.col("embedding").alias("vec"))
+    r = cluster.representatives(e)
+    norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda acc, x: acc + x * x))
+    return r.select("cluster_id", "n_members", "rep_id", F.round(norm, 3).alias("centroid_norm"))
+
+
+@register("jaccard_pairs", oracle="""
+WITH f AS (SELECT DISTINCT user_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS feat FROM events),
+s AS (SELECT user_id, count(*) AS sz FROM f GROUP BY user_id),
+i AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS inter
+      FROM f a JOIN f b ON a.feat = b.feat AND a.user_id < b.user_id GROUP BY 1, 2)
+SELECT i.a, i.b, i.inter, sa.sz + sb.sz - i.inter AS "union",
+       round(i.inter / (sa.sz + sb.sz - i.inter), 6) AS jaccard
+FROM i JOIN s sa ON sa.user_id = i.a JOIN s sb ON sb.user_id = i.b
+""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    sets = ev.select(F.col("user_id").alias("id"),
+                     F.concat(F.col("event_type"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+                     .alias("item"))
+    p = similarity.jaccard_pairs(sets)
+    return p.select("a", "b", "inter", "union", F.round("jaccard", 6).alias("jaccard"))
+
+
+@register("variance_filter", oracle="""
+WITH f AS (
+  SELECT DISTINCT c_custkey, 'c_mktsegment=' || c_mktsegment AS feature FROM customer
+  UNION SELECT DISTINCT c_custkey, 'c_nationkey=' || CAST(c_nationkey AS VARCHAR) FROM customer),
+n AS (SELECT count(DISTINCT c_custkey) AS n FROM customer)
+SELECT feature, count(DISTINCT c_custkey) AS n_true,
+       round((count(DISTINCT c_custkey) / max(n.n)) * (1 - count(DISTINCT c_custkey) / max(n.n)), 6) AS variance,
+       (count(DISTINCT c_custkey) / max(n.n)) * (1 - count(DISTINCT c_custkey) / max(n.n)) > 0.01 AS keep
+FROM f, n GROUP BY feature
+""")
+def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    ind = cluster.one_hot(c, "c_custkey", ["c_mktsegment", "c_nationkey"])
+    v = cluster.variance_filter(ind, "c_custkey")
+    return v.select("feature", "n_true", F.round("variance", 6).alias("variance"), "keep")
+
+
+@register("unit_vectors", oracle="""
+SELECT vec_id, round(embedding[1] * (label + 1) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]),
+         lambda x: (x * (label + 1)) * (x * (label + 1))))), 5) AS x1,
+       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm_in
+FROM embeddings
+""")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    u = cluster.normalise(scaled)
+    norm_in = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0),
+                                 lambda acc, x: acc + x * x))
+    return e.select("vec_id", F.round(F.get(u, 0), 5).alias("x1"), F.round(norm_in, 5).alias("norm_in"))
+
+
+@register("minmax", oracle="""
+SELECT event_id, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS value
+FROM events
+""")
+def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events").select("event_id", "value")
+    s = cluster.min_max_scale(e, ["value"])
+    return s.select("event_id", F.round("value", 6).alias("value"))
+
+
+@register("pca_top")
+def pca_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML3 + SRT4: top loadings of user x (type, day) flags (sign arbitrary)."""
+    ev = read_table(spark, sf_dir, "events")
+    ind = ev.select(F.col("user_id"), F.concat(F.col("event_type"), F.lit("@"),
+                                               F.date_format("ts", "yyyy-MM-dd")).alias("feature")) \
+        .distinct()
+    return cluster.pca_loadings(ind, "user_id", k=2, top_n=20)
+
+
+@register("cluster_map")
+def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML7: cluster centres at the (scaled) first two centroid coordinates,
+    providers jittered around them."""
+    from quire.plans.q_recommend import embedding_members
+    m = embedding_members(spark, sf_dir)
+    c = cluster.centroids(m, "cluster_id", "vec")
+    pos = c.select("cluster_id", F.get("centroid", 0).alias("x"), F.get("centroid", 1).alias("y"))
+    pos = cluster.min_max_scale(pos, ["x", "y"])
+    counts = cluster.provider_counts(m)
+    return cluster.cluster_map(pos, counts)
