@@ -1 +1,77 @@
-"""Queries (to be filled)."""
+"""Report queries: conversations as patients, roles as report sections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import reports, udfs
+from quire.plans.catalog import register
+from quire.session import read_table
+
+REQUESTED = ["assistant", "user", "system", "summary"]
+# Prompt length without the data (no role has its own example).
+PROMPT_OVERHEAD = (len(reports.INSTRUCTIONS) + len("\n\nFields:\n") + len("\n\nExample:\n```\n")
+                   + len(reports.DEFAULT_EXAMPLE) + len("\n```"))
+
+
+def stub_generator(prompts: list[str]) -> list[str]:
+    """Deterministic model stand-in: fails on odd-length prompts."""
+    out = []
+    for p in prompts:
+        if len(p) % 2 == 1:
+            raise ValueError(f"odd prompt of {len(p)} characters")
+        out.append(f"ANSWER {len(p)}<think>draft</think>")
+    return out
+
+
+def _section_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = read_table(spark, sf_dir, "conversations")
+    data = c.groupBy("conv_id", F.col("role").alias("section")).agg(
+        F.max_by("text", "turn").alias("data"))
+    prompts = data.withColumn("prompt", reports.build_prompt("data", "section"))
+    answers = reports.generate(prompts, stub_generator)
+    req = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(i).alias("pos"))
+                    for i, s in enumerate(REQUESTED)])
+    requested = c.select("conv_id").distinct().select("conv_id", F.inline(req))
+    return requested, answers
+
+
+@register("section_report", oracle=f"""
+WITH d AS (SELECT conv_id, role AS section, arg_max(text, turn) AS data FROM conversations GROUP BY 1, 2),
+req AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (SELECT * FROM (VALUES ('assistant', 0), ('user', 1), ('system', 2), ('summary', 3)) AS t(section, pos))
+SELECT req.conv_id, s.section, s.pos,
+  CASE WHEN d.data IS NULL THEN 'Missing'
+       WHEN ({PROMPT_OVERHEAD} + length(d.data)) % 2 = 1
+         THEN 'Error: odd prompt of ' || CAST({PROMPT_OVERHEAD} + length(d.data) AS VARCHAR) || ' characters'
+       ELSE 'ANSWER ' || CAST({PROMPT_OVERHEAD} + length(d.data) AS VARCHAR) END AS text
+FROM req CROSS JOIN s LEFT JOIN d ON d.conv_id = req.conv_id AND d.section = s.section
+""")
+def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requested, answers = _section_answers(spark, sf_dir)
+    return reports.collect_sections(requested, answers, ["conv_id"])
+
+
+@register("report_html")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ15 + SCL26: lead section first, empty ones skipped, one HTML per conversation."""
+    requested, answers = _section_answers(spark, sf_dir)
+    sections = reports.collect_sections(requested, answers, ["conv_id"])
+    ordered = reports.order_sections(sections, ["user", "system", "summary"], lead="assistant")
+    header = read_table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        "conv_id", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("name"),
+        F.lit("N/A").alias("date_of_birth"), F.lit("N/A").alias("dates_of_service"),
+        F.lit("Unknown").alias("age_at_evaluation"))
+    html = reports.render_report(ordered, header, "conv_id")
+    return html.select("conv_id", F.md5("html").alias("html_md5"), F.length("html").alias("n_chars"))
+
+
+@register("embed_stub")
+def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF4 default model: hashed TF-IDF unit vectors of the documents."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = udfs.embed(d, "text")
+    nnz = F.size(F.filter("embedding", lambda x: x != 0))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("doc_id", nnz.alias("nnz"), F.round(norm, 4).alias("norm"))
