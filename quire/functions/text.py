@@ -42,9 +42,14 @@ def quote_regex(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+# Python's whitespace (``str.isspace``), derived from the interpreter.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def ws_trim(c: _C) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+\z", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends
+    (``btrim`` with the whitespace set: codegen, no regex)."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def non_blank(c: _C) -> Column:
@@ -57,9 +62,13 @@ def non_blank(c: _C) -> Column:
 def between_markers(text: _C, start: str, end: str) -> Column:
     """Shortest span after the first ``start`` up to the next ``end`` (across
     lines), stripped; NULL when the markers do not occur in that order."""
-    pat = "(?s)" + quote_regex(start) + "(.*?)" + quote_regex(end)
+    # Plain substring search: the first ``start``, then the first ``end``
+    # after it, which is what the lazy regex ``start(.*?)end`` finds.
     t = _col(text)
-    return F.when(t.rlike(pat), ws_trim(F.regexp_extract(t, pat, 1)))
+    a = F.instr(t, start)
+    rest = t.substr(a + F.lit(len(start)), F.lit(1 << 30))
+    b = F.instr(rest, end)
+    return F.when((a > 0) & (b > 0), ws_trim(rest.substr(F.lit(1), b - 1)))
 
 
 # SCL2, SCL3, SCL5 --------------------------------------------------------------
@@ -100,12 +109,10 @@ def rater_label(date: _C, relationship: _C) -> Column:
 def number_run(text: _C, markers: list[str] | None = None) -> Column:
     """Whitespace-split run of digits after the first marker found; NULL if none."""
     t = _col(text)
-    out = None
-    for m in reversed(markers or SCORE_MARKERS):
-        pat = "(?U)" + quote_regex(m) + r"\s+([\d\s]+)"
-        run = F.split(ws_trim(F.regexp_extract(t, pat, 1)), r"(?U)\s+")
-        out = F.when(t.rlike(pat), run) if out is None else F.when(t.rlike(pat), run).otherwise(out)
-    return out
+    # a match always captures at least one character, so '' means no match
+    runs = [F.nullif(F.regexp_extract(t, "(?U)" + quote_regex(m) + r"\s+([\d\s]+)", 1), F.lit(""))
+            for m in (markers or SCORE_MARKERS)]
+    return F.split(ws_trim(F.coalesce(*runs)), r"(?U)\s+")
 
 
 # SCL6 ------------------------------------------------------------------------

@@ -39,26 +39,30 @@ def _undirected(edges: DataFrame) -> DataFrame:
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(v, root)``: smallest vertex id of each vertex's component.
 
-    ``edges(src, dst)`` may be one-directional.  Every round takes, for each
-    vertex, the minimum label over itself and its neighbours; it stops when
-    no label changes (rounds = component diameter, no cap).
+    ``edges(src, dst)`` may be one-directional.  Each round every vertex
+    takes the minimum label over itself and its neighbours, then jumps to
+    its label's label (pointer jumping), so long chains converge in about
+    log(diameter) rounds.  Labels are always ids of the same component, so
+    the fixed point is the component minimum.  Each round is checkpointed
+    into the shared checkpoint folder; the loop ends when nothing changes.
     """
     spark = vertices.sparkSession
     checkpoint_dir(spark)
-    und = _undirected(edges).persist()
+    und = _undirected(edges).checkpoint()
     labels = vertices.select("v", F.col("v").alias("root")).checkpoint()
     while True:
         pulled = (und.join(labels, und.src == labels.v)
                   .select(F.col("dst").alias("v"), "root"))
-        new = (labels.unionByName(pulled).groupBy("v").agg(F.min("root").alias("root"))
-               .checkpoint())
+        hop = labels.unionByName(pulled).groupBy("v").agg(F.min("root").alias("root"))
+        jump = (hop.join(hop.select(F.col("v").alias("_r"), F.col("root").alias("_rr")),
+                         F.col("root") == F.col("_r"), "left")
+                .select("v", F.least("root", F.coalesce("_rr", "root")).alias("root")))
+        new = jump.checkpoint()
         changed = (new.join(labels.withColumnRenamed("root", "_old"), "v")
                    .where(F.col("root") != F.col("_old")).limit(1).count())
         labels = new
         if changed == 0:
-            break
-    und.unpersist()
-    return labels
+            return labels
 
 
 def dbscan(points: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,

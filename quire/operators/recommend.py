@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import (clean_text, non_blank, pick_fenced_json, provider_from_file,
                                   title_case, ws_trim)
 from quire.plans import scan
+from quire.plans.barrier import with_computed
 
 THEMES_SCHEMA = ("struct<themes: array<struct<theme: string, count: int, "
                  "sample_recommendations: array<string>, all_recommendations: array<string>>>>")
@@ -23,8 +24,8 @@ def parse_answers(answers: DataFrame, file_col: str = "file", text_col: str = "t
     """``(file, json, themes)``: the first usable fenced block of each answer,
     typed; ``json`` is NULL when the answer has none (see :func:`answer_rejects`)."""
     picked = pick_fenced_json(text_col)
-    return answers.select(file_col, picked.alias("json")).withColumn(
-        "themes", F.from_json("json", THEMES_SCHEMA)["themes"])
+    j = with_computed(answers.select(file_col, text_col), json=picked)
+    return with_computed(j.drop(text_col), themes=F.from_json("json", THEMES_SCHEMA)["themes"])
 
 
 def answer_rejects(answers: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:

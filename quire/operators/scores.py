@@ -19,6 +19,7 @@ from quire.functions.text import (between_markers, is_adaptive_scale, number_run
                                   rater_label, rater_relationship, rater_type, score_display,
                                   severity_band, test_date)
 from quire.plans import scan
+from quire.plans.barrier import with_computed
 
 # Fixed values that must equal the reference for equal results ---------------
 # Label order of the score block and scale grouping, per form variant.  The
@@ -130,7 +131,8 @@ def zip_scores(reports: DataFrame, key_cols: Sequence[str], text_col: str = "tex
 def score_rejects(reports: DataFrame, key_cols: Sequence[str], text_col: str = "text") -> DataFrame:
     """Reports whose text has no usable score block."""
     block = between_markers(text_col, *SCORE_SPAN)
-    return reports.where(number_run(block).isNull()).select(
+    r = with_computed(reports.select(*key_cols, text_col), _nums=number_run(block))
+    return r.where(F.col("_nums").isNull()).select(
         *key_cols, F.lit("score block not found").alias("reason"))
 
 

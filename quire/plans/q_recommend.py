@@ -40,7 +40,7 @@ def theme_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as a model answer: a decoy block, then the themes block
     whose recommendations are the turn's lines.  File = role_conv.json."""
-    c = read_table(spark, sf_dir, "conversations")
+    c = read_table(spark, sf_dir, "conversations", spread=True)
     themes = F.struct(F.array(F.struct(
         F.col("role").alias("theme"), F.lit(1).alias("count"),
         F.array().cast("array<string>").alias("sample_recommendations"),

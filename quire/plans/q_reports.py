@@ -70,7 +70,7 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("embed_stub")
 def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF4 default model: hashed TF-IDF unit vectors of the documents."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     e = udfs.embed(d, "text")
     nnz = F.size(F.filter("embedding", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))

@@ -16,7 +16,7 @@ RATERS = ["A", "N", "R"]
 def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score report per lineitem: returnflag R is a teacher form, line 5
     has no test date, line 6 no score block, line 7 the fallback marker."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", spread=True)
     teacher = F.col("l_returnflag") == "R"
     nums = F.concat_ws(" ", F.col("l_quantity").cast("int").cast("string"),
                        F.col("l_linenumber").cast("string"),

@@ -18,7 +18,7 @@ HOST = r"^[a-z]+://([^/?#]+)"
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a file listing: host = folder, url = file name."""
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     return p.select(F.regexp_extract("url", HOST, 1).alias("folder"), F.col("url").alias("name"),
                     F.col("page_id").cast("string").alias("path"))
 
@@ -51,7 +51,7 @@ SELECT page_id, CASE WHEN contains(lower(url), '/fr/') THEN '/fr/' WHEN contains
 FROM pages
 """)
 def route_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     return p.select("page_id", files.source_type("url", TAGS).alias("route"))
 
 
@@ -64,7 +64,7 @@ SELECT page_id, CASE WHEN regexp_matches(url, '^https?://blog\.([a-z]+)\.')
 FROM pages
 """)
 def route_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"))
+    p = read_table(spark, sf_dir, "pages", spread=True).select("page_id", F.col("url").alias("name"))
     return files.route_entity(p, "name", ENTITY).select("page_id", "entity")
 
 
@@ -75,7 +75,7 @@ SELECT page_id,
 FROM (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS b FROM pages)
 """)
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     return p.select("page_id", T.file_stem("url").alias("stem"), T.short_title("url").alias("short_title"))
 
 
@@ -111,7 +111,7 @@ FROM a GROUP BY 1
 """)
 def age_at_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL19: order date as birth, ship date as evaluation, as text dates."""
-    li, o = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
+    li, o = read_table(spark, sf_dir, "lineitem", spread=True), read_table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     fmt = lambda c: F.date_format(c, "MM/dd/yyyy")
     return j.select(age_at(fmt("o_orderdate"), fmt("l_shipdate")).alias("age")) \

@@ -122,7 +122,7 @@ def lineitem_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem rows as a config sheet: variable V<flag>, value name F<flag>
     for status F, counts numeric, a range on line 5, text on line 6, empty
     on line 7; a quoted variable name is unquoted by the clean-up."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", spread=True)
     q = F.col("l_quantity").cast("long")
     cnt = (F.when(F.col("l_linenumber") == 5,
                   F.concat(q.cast("string"), F.lit(" - "), (q + 10).cast("string")))

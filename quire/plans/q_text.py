@@ -38,7 +38,7 @@ SELECT doc_id, CAST(length(passage) AS BIGINT) AS n_chars, md5(passage) AS passa
 FROM p WHERE passage <> ''
 """)
 def passage_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     p = textops.passages(d, start=START, stop=STOP)
     return p.select("doc_id", F.length("passage").cast("long").alias("n_chars"),
                     F.md5("passage").alias("passage_md5"))
@@ -52,14 +52,14 @@ SELECT page_id,
 FROM pages
 """)
 def text_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     return p.select("page_id", T.between_markers("html", "<title>", "</title>").alias("title"))
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as headed text, one row per line: a ``=== role ===``
     header per turn followed by the turn's lines."""
-    c = read_table(spark, sf_dir, "conversations")
+    c = read_table(spark, sf_dir, "conversations", spread=True)
     head = c.select("conv_id", "turn", F.lit(0).alias("sub"),
                     F.concat(F.lit("=== "), F.col("role"), F.lit(" ===")).alias("line"))
     body = c.select("conv_id", "turn", F.posexplode(T.split_lines("text")).alias("sub", "line")) \
@@ -84,7 +84,7 @@ FENCE_PREFIX = '```json\n{"$defs": {"a": 1}}\n``` draft ```json {not json} ``` f
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
 """)
 def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events")
+    e = read_table(spark, sf_dir, "events", spread=True)
     doc = F.concat(F.lit(FENCE_PREFIX), F.col("props"), F.lit("\n```"))
     picked = T.pick_fenced_json(doc)
     return e.select("event_id", F.get_json_object(picked, "$.k").cast("long").alias("k"))
@@ -99,7 +99,7 @@ SELECT doc_id, md5(c) AS clean_md5, CAST(length(c) AS BIGINT) AS n_chars FROM (
   FROM documents)
 """)
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     c = T.clean_text("text")
     return d.select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("n_chars"))
 
@@ -111,7 +111,7 @@ SELECT doc_id,
 FROM documents
 """)
 def cell_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", T.clean_cell(F.substring_index("text", "\n", 1)).alias("cell"))
 
 
@@ -120,7 +120,7 @@ SELECT page_id, md5(s) AS html_md5, CAST(length(s) AS BIGINT) AS n_chars FROM (
   SELECT page_id, regexp_replace(html, '(?s)<script>.*?</script>', '', 'g') AS s FROM pages)
 """)
 def think_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     s = T.strip_tagged("html", "script")
     return p.select("page_id", F.md5(s).alias("html_md5"), F.length(s).cast("long").alias("n_chars"))
 
@@ -137,7 +137,7 @@ SELECT doc_id, lang, count(*) AS n_chunks, md5(string_agg(piece, chr(10) ORDER B
 FROM c GROUP BY doc_id, lang
 """)
 def chunk_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     fan = textops.fan_out_languages(d)
     ch = fan.select("doc_id", "lang", F.posexplode(T.chunk_text("text")).alias("pos", "chunk"))
     tr = textops.translate_chunks(ch, _identity_translate)
@@ -149,7 +149,7 @@ def chunk_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, md5('<p>' || replace(text, chr(10), '</p><p>') || '</p>') AS html_md5 FROM documents
 """)
 def paragraphs_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", F.md5(T.paragraphs_html("text")).alias("html_md5"))
 
 
@@ -160,7 +160,7 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, md5(array_to_string(l, chr(10)
   FROM documents)
 """)
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     kept = F.filter(F.split("text", "\n"), lambda x: T.ws_trim(x) != "")
     return d.select("doc_id", F.size(kept).cast("long").alias("n_lines"),
                     F.md5(F.array_join(kept, "\n")).alias("text_md5"))
@@ -170,7 +170,7 @@ def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS tokens FROM documents GROUP BY lang
 """)
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     count = textops.token_counter(len)  # character-count encoder through the Arrow path
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(count("text")).alias("tokens"))
 
@@ -181,7 +181,7 @@ SELECT doc_id, md5(array_to_string(list_slice(list_filter(list_transform(string_
 FROM documents
 """)
 def token_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", F.md5(textops.preview("text")).alias("preview_md5"))
 
 
@@ -192,6 +192,6 @@ SELECT doc_id, CAST(sum(flag) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS
   FROM documents)
 """)
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    d = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "n_chars")
     w = textops.token_windows(d, ["doc_id"], F.col("n_chars") * F.lit(textops.TOKEN_FACTOR))
     return w.select("doc_id", "window_no")

@@ -14,7 +14,8 @@ TABLES = (
 
 
 def build_session(master: str | None = None, app: str = "quire",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session tuned for the library: AQE on, UI off, UTC clock.
 
     On a cluster pass ``master=None`` and let spark-submit decide; the
@@ -32,6 +33,8 @@ def build_session(master: str | None = None, app: str = "quire",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:  # only effective when this call starts the JVM (local runs)
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -55,8 +58,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_out(df) if spread else df
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Round-robin over the session's cores when the input has fewer splits
+    than cores (a small single-file table: one row group is one task).
+
+    Used before CPU-heavy per-row text work.  On a large input the split
+    count exceeds the parallelism and this is a no-op, so no shuffle is
+    added at scale.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
