@@ -46,7 +46,7 @@ def read_record_folder(spark: SparkSession, data_dir: str, file: str = "form.jso
     ``== True``); ``value`` keeps strings and other numbers as text (NULL
     for booleans and zero, which are falsy).  Unparsable files give no rows.
     """
-    raw = (spark.read.option("wholetext", True).text(f"{data_dir.rstrip('/')}/*/{file}")
+    raw = (spark.read.text(f"{data_dir.rstrip('/')}/*/{file}", wholetext=True)
            .select(_parent(_path()).alias(id_col), F.try_parse_json("value").alias("_v")))
     m = raw.select(id_col, F.try_variant_get("_v", "$", "map<string,variant>").alias("_m"))
     e = m.select(id_col, F.explode("_m").alias("field", "_x")).where(F.col("field") != id_col)
@@ -66,7 +66,7 @@ def read_record_folder(spark: SparkSession, data_dir: str, file: str = "form.jso
 def read_template(spark: SparkSession, path: str) -> DataFrame:
     """JSON ``{section: [field, ...]}`` -> ``(section, section_pos, field, field_pos)``,
     file order kept."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.from_json("value", "map<string,array<string>>").alias("_m"))
     s = m.select(F.posexplode("_m").alias("section_pos", "section", "_fields"))
     return s.select("section", "section_pos",
@@ -101,7 +101,7 @@ def read_mapped(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 # SRC5 ----------------------------------------------------------------------------
 def read_documents(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """One row per document ``(filename, text)``, blank paragraphs dropped."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    raw = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return raw.select(file_name(_path()).alias("filename"), drop_blank_lines("value").alias("text"))
 
 

