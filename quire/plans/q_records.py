@@ -123,7 +123,8 @@ M_SQL = """m AS (
   SELECT l_orderkey AS record_id, l_linestatus AS section, l_returnflag AS field,
          CAST(l_partkey AS VARCHAR) AS value,
          row_number() OVER (PARTITION BY l_orderkey, l_linestatus, l_returnflag
-                            ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn
+                            ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC,
+                                     l_suppkey DESC, l_extendedprice DESC) AS rn
   FROM lineitem)"""
 
 
@@ -132,7 +133,8 @@ def line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("record_id"), F.col("l_linestatus").alias("section"),
                      F.col("l_returnflag").alias("field"),
                      F.col("l_partkey").cast("string").alias("value"),
-                     F.struct("l_shipdate", "l_linenumber").alias("source"))
+                     F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
+                              "l_extendedprice").alias("source"))
 
 
 @register("merge_sources", oracle=f"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import synth
+from quire.plans import scan
 from quire.plans.catalog import register
 from quire.session import read_table
 
@@ -101,7 +102,7 @@ def random_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONFIG_ROWS_SQL = r"""rows AS (
-  SELECT l_orderkey * 10 + l_linenumber AS pos,
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
          CASE WHEN l_linestatus = 'F' THEN 'F' || l_returnflag ELSE 'V' || l_returnflag END AS field,
          CASE l_linenumber
            WHEN 5 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' - ' || CAST(CAST(l_quantity AS BIGINT) + 10 AS VARCHAR)
@@ -129,8 +130,11 @@ def lineitem_config(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("l_linenumber") == 6, F.lit("few"))
            .when(F.col("l_linenumber") == 7, F.lit(""))
            .otherwise(q.cast("string")))
+    # sheet rows are numbered in lineitem key order (a total order)
+    li = scan.row_number(li, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                  "l_extendedprice"], "pos")
     sheet = li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        "pos",
         F.concat(F.lit('"V'), F.col("l_returnflag"), F.lit('"')).alias("Variable"),
         F.when(F.col("l_linestatus") == "F", F.concat(F.lit("F"), F.col("l_returnflag")))
         .otherwise(F.lit("")).alias("n"),
