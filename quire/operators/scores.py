@@ -104,7 +104,7 @@ def tree_frame(spark: SparkSession, variant: str = "Relationship") -> DataFrame:
 def parse_headers(reports: DataFrame, text_col: str = "text") -> DataFrame:
     """Rater header per report: test date, relationship, form type, label."""
     head = between_markers(text_col, *HEADER_SPAN)
-    r = reports.withColumn("_head", head)
+    r = with_computed(reports, _head=head)  # computed once, referenced many times
     return (r.withColumn("test_date", test_date("_head"))
             .withColumn("relationship", rater_relationship("_head"))
             .withColumn("form_type", rater_type("_head"))
@@ -120,8 +120,9 @@ def zip_scores(reports: DataFrame, key_cols: Sequence[str], text_col: str = "tex
     ``(keys..., pos, label, t_score)``; reports without a score block give
     no rows (see :func:`score_rejects`)."""
     block = between_markers(text_col, *SCORE_SPAN)
-    r = reports.select(*key_cols, labels_for(F.col(kind_col)).alias("_labels"),
-                       number_run(block).alias("_nums"))
+    b = with_computed(reports.select(*key_cols, kind_col, text_col), _block=block)
+    r = b.select(*key_cols, labels_for(F.col(kind_col)).alias("_labels"),
+                 number_run("_block").alias("_nums"))
     ex = r.select(*key_cols, "_labels", F.posexplode("_nums").alias("pos", "t_score"))
     return (ex.where(F.col("pos") < F.size("_labels"))
             .select(*key_cols, "pos", F.element_at("_labels", F.col("pos") + 1).alias("label"),
