@@ -251,3 +251,26 @@ def cluster_map(positions: DataFrame, counts: DataFrame, cluster_col: str = "clu
                     "provider", F.col("n_members").cast("long").alias("count"),
                     F.lit("Provider").alias("type")))
     return centres.unionByName(prov)
+
+
+# AGG16 -------------------------------------------------------------------------------------------
+def provider_table(counts: DataFrame, reps: DataFrame, cluster_col: str = "cluster_id",
+                   by_provider: bool = False, providers: Sequence[str] | None = None) -> DataFrame:
+    """Chart tables: ``(representative, provider, count)`` long form, pivoted
+    to one column per provider (or per representative when ``by_provider``).
+    Give ``providers`` to skip the distinct pass of the pivot."""
+    long = counts.join(reps.select(cluster_col, "representative"), cluster_col) \
+        .select("representative", "provider", F.col("n_members").alias("count"))
+    if by_provider:
+        return long.groupBy("provider").pivot("representative").agg(F.sum("count"))
+    return long.groupBy("representative").pivot(
+        "provider", list(providers) if providers is not None else None).agg(F.sum("count"))
+
+
+# PRJ17 -------------------------------------------------------------------------------------------
+def flag_matrix(flags: DataFrame, id_col: str = "patient_id") -> DataFrame:
+    """0/1 patient-by-field indicators in long form ``(id, feature)`` for the
+    true flags.  The id itself is not a feature (the reference counted it,
+    which made every pair look more alike)."""
+    return flags.where(F.coalesce(F.col("is_true"), F.lit(False))) \
+        .select(id_col, F.col("field").alias("feature")).distinct()

@@ -117,3 +117,15 @@ def test_variance_filter_and_scale(spark):
     assert sorted(r[0] for r in s.collect()) == [0.0, 0.5, 1.0]
     u = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(cluster.normalise("v")).first()[0]
     assert u == [0.6, 0.8]
+
+
+def test_provider_table_and_flag_matrix(spark):
+    counts = spark.createDataFrame([(0, "Ada", 2), (0, "Ben", 1), (1, "Ada", 3)],
+                                   "cluster_id long, provider string, n_members long")
+    reps = spark.createDataFrame([(0, "rest"), (1, "walk")], "cluster_id long, representative string")
+    t = {r["representative"]: (r["Ada"], r["Ben"]) for r in
+         cluster.provider_table(counts, reps, providers=["Ada", "Ben"]).collect()}
+    assert t == {"rest": (2, 1), "walk": (3, None)}
+    flags = spark.createDataFrame([("p", "A", True, None), ("p", "N", None, "7")],
+                                  "patient_id string, field string, is_true boolean, value string")
+    assert rows(cluster.flag_matrix(flags)) == [("p", "A")]
