@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import provider_from_file
 from quire.operators.similarity import cosine_edges
 from quire.plans import scan
+from quire.plans.broadcast import collect_bounded
 from quire.session import checkpoint_dir
 
 # Fixed values of the reference ------------------------------------------------
@@ -29,6 +30,8 @@ DEFAULT_MIN_SAMPLES = 2
 COMMON_PROVIDERS = 3
 JITTER = 0.02
 # -------------------------------------------------------------------------------
+# PCA covariance is features x features on the driver: bound the width.
+MAX_PCA_FEATURES = 10_000
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -185,8 +188,8 @@ def pca_loadings(indicators: DataFrame, id_col: str, k: int = 2, top_n: int = 20
     """
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    feats = [r["feature"] for r in indicators.select("feature").distinct().orderBy("feature")
-             .limit(10_000).collect()]
+    feats = [r["feature"] for r in collect_bounded(
+        indicators.select("feature").distinct().orderBy("feature"), MAX_PCA_FEATURES, "feature list")]
     wide = (indicators.groupBy(id_col).pivot("feature", feats).agg(F.lit(1.0))
             .na.fill(0.0))
     vec = VectorAssembler(inputCols=feats, outputCol="_x").transform(wide)
