@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import synth
-from quire.plans import scan
 from quire.plans.catalog import register
 from quire.session import read_table
 
@@ -102,7 +101,7 @@ def random_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONFIG_ROWS_SQL = r"""rows AS (
-  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+  SELECT {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey, 's': l_suppkey, 'e': l_extendedprice} AS pos,
          CASE WHEN l_linestatus = 'F' THEN 'F' || l_returnflag ELSE 'V' || l_returnflag END AS field,
          CASE l_linenumber
            WHEN 5 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' - ' || CAST(CAST(l_quantity AS BIGINT) + 10 AS VARCHAR)
@@ -130,11 +129,9 @@ def lineitem_config(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("l_linenumber") == 6, F.lit("few"))
            .when(F.col("l_linenumber") == 7, F.lit(""))
            .otherwise(q.cast("string")))
-    # sheet rows are numbered in lineitem key order (a total order)
-    li = scan.row_number(li, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                  "l_extendedprice"], "pos")
+    # the sheet position is the lineitem key (a total order, no numbering pass)
     sheet = li.select(
-        "pos",
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
         F.concat(F.lit('"V'), F.col("l_returnflag"), F.lit('"')).alias("Variable"),
         F.when(F.col("l_linestatus") == "F", F.concat(F.lit("F"), F.col("l_returnflag")))
         .otherwise(F.lit("")).alias("n"),
@@ -144,12 +141,12 @@ def lineitem_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("config_dedup", oracle=f"""
 WITH {CONFIG_ROWS_SQL}
-SELECT field, kind, count, range_text, first_pos,
+SELECT field, kind, count, range_text,
        row_number() OVER (ORDER BY CASE kind WHEN 'count' THEN 0 ELSE 1 END, first_pos, field) AS out_pos
 FROM d
 """)
 def config_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.dedup_config(lineitem_config(spark, sf_dir))
+    return synth.dedup_config(lineitem_config(spark, sf_dir)).drop("first_pos")
 
 
 @register("config_rescale", oracle=f"""
