@@ -172,13 +172,31 @@ def rater_order(reports: DataFrame, group_cols: Sequence[str], label_col: str =
 
 
 # AGG15 -------------------------------------------------------------------------------
-def combined_table(rows: DataFrame, patient_col: str, rater_col: str,
-                   raters: Sequence[str] | None = None) -> DataFrame:
-    """One row per patient and scale row, one column per rater (pivot at the
-    edge; give ``raters`` to skip the distinct pass)."""
-    g = rows.groupBy(patient_col, "row_pos", "label")
-    p = g.pivot(rater_col, list(raters) if raters is not None else None)
-    return p.agg(F.first("display"))
+def combined_table(reports: DataFrame, scores: DataFrame, patient_col: str, rater_col: str,
+                   raters: Sequence[str], tree=None) -> DataFrame:
+    """AGG15: one row per patient and scale row, one display column per
+    rater (``n/a`` when that rater's report lacks the scale, NULL when the
+    patient has no report from that rater).
+
+    The scores of each report become one map, the maps are pivoted to one
+    row per patient (a shuffle of one row per report), and only then is the
+    scale tree inlined, so the patient x tree product is never shuffled.
+    ``raters`` fixes the column order (e.g. newest first, SRT1).
+    """
+    maps = scores.groupBy(patient_col, rater_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", F.col("t_score").cast("string"))))
+        .alias("_m"))
+    empty = F.create_map().cast("map<string,string>")
+    per = (reports.select(patient_col, rater_col).distinct()
+           .join(maps, [patient_col, rater_col], "left")
+           .withColumn("_m", F.coalesce("_m", empty)))
+    wide = per.groupBy(patient_col).pivot(rater_col, list(raters)).agg(F.first("_m"))
+    rows = wide.select(patient_col, *raters, F.inline(tree_array(tree)))
+    adaptive = is_adaptive_scale(F.col("scale"))
+    cells = [F.when(F.col(r).isNotNull(),
+                    score_display(F.coalesce(F.try_element_at(F.col(r), F.col("label")), F.lit(MISSING)),
+                                  adaptive, MISSING)).alias(r) for r in raters]
+    return rows.select(patient_col, "row_pos", "label", *cells)
 
 
 # AGG14 -------------------------------------------------------------------------------

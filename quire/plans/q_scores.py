@@ -140,8 +140,7 @@ GROUP BY label
 """)
 def combined_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports, s = _rater_scores(spark, sf_dir)
-    rows = scores.table_rows(reports, s, ["l_orderkey", "rater"])
-    wide = scores.combined_table(rows, "l_orderkey", "rater", RATERS)
+    wide = scores.combined_table(reports, s, "l_orderkey", "rater", RATERS)
     has = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c) != scores.MISSING))
     return wide.groupBy("label").agg(F.count("*").alias("n_rows"), has("A").alias("n_a"),
                                      has("N").alias("n_n"), has("R").alias("n_r"))

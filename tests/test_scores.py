@@ -86,3 +86,13 @@ def test_scale_union(spark):
          (1, "S1", 1, "a", 1)], "report_pos int, scale string, scale_pos int, subscale string, sub_pos int")
     got = rows(scores.scale_union(t), "scale_rank", "sub_rank", "subscale")
     assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "z"), (2, 1, "c")]
+
+
+def test_combined_table(spark, reports):
+    z = scores.zip_scores(reports, ["patient_id", "report"])
+    wide = scores.combined_table(reports.select("patient_id", "report"), z, "patient_id", "report",
+                                 ["r1", "r4", "r9"])
+    row = {r["label"]: r for r in wide.collect()}
+    assert len(row) == 18
+    assert (row["Hyperactivity"]["r1"], row["Hyperactivity"]["r4"], row["Hyperactivity"]["r9"]) == ("50", "n/a", None)
+    assert row["Adaptive Skills"]["r1"] == "n/a"
