@@ -45,16 +45,17 @@ def clean_form_fields(raw: DataFrame, id_col: str = "record_id") -> DataFrame:
 
 
 # PRJ2 -------------------------------------------------------------------------
-def _template_array(template: DataFrame) -> Column:
+def _template_array(template: DataFrame) -> tuple[Column, list[str]]:
     rows = collect_bounded(
         template.select("section", "section_pos", "field", "field_pos")
         .orderBy("section_pos", "field_pos"), MAX_TEMPLATE_ROWS, "template")
+    names = sorted({r["field"] for r in rows})
     return F.array(*[
         F.struct(F.lit(r["section"]).alias("section"),
                  F.lit(r["section_pos"]).cast("int").alias("section_pos"),
                  F.lit(r["field"]).alias("field"),
                  F.lit(r["field_pos"]).cast("int").alias("field_pos"))
-        for r in rows])
+        for r in rows]), names
 
 
 def project_template(fields: DataFrame, template: DataFrame,
@@ -67,12 +68,11 @@ def project_template(fields: DataFrame, template: DataFrame,
     the product is a per-record ``inline`` of it, not a cross join, and the
     values are looked up in a per-record map (bounded by template size).
     """
-    arr = _template_array(template)
-    names = F.transform(arr, lambda s: s["field"])
+    arr, names = _template_array(template)
+    # isin over many literals becomes a hash-set lookup (InSet)
     per = fields.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(
-            F.when(F.array_contains(names, F.col("field")),
-                   F.struct("field", "value")))).alias("_m"))
+            F.when(F.col("field").isin(*names), F.struct("field", "value")))).alias("_m"))
     return (per.select(id_col, "_m", F.inline(arr))
             .select(id_col, "section", "field", F.try_element_at("_m", F.col("field")).alias("value"),
                     "section_pos", "field_pos"))
