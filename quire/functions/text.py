@@ -120,13 +120,14 @@ def title_case(c: _C) -> Column:
     """Python ``str.title()``: upper after any uncased character, else lower."""
     chars = F.regexp_extract_all(_col(c), F.lit("(?s)."), 0)
     cased = "[\\p{Lu}\\p{Ll}\\p{Lt}]"
+    # pair every character with the one before it (no outer array inside
+    # the lambda, which would be re-evaluated per character)
+    prev = F.concat(F.array(F.lit("")), F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))))
 
-    def step(ch, i):
-        prev = F.element_at(chars, i)  # 1-based: element i is the previous char
-        after_cased = (i > 0) & prev.rlike(cased)
-        return F.when(after_cased, F.lower(ch)).otherwise(F.upper(ch))
+    def step(ch, before):
+        return F.when(before.rlike(cased), F.lower(ch)).otherwise(F.upper(ch))
 
-    return F.when(_col(c).isNotNull(), F.array_join(F.transform(chars, step), ""))
+    return F.when(_col(c).isNotNull(), F.array_join(F.zip_with(chars, prev, step), ""))
 
 
 # SCL7 ------------------------------------------------------------------------

@@ -230,7 +230,10 @@ def normalise(vec: Column | str) -> Column:
     """Unit-length vector (zero vectors stay zero)."""
     v = F.col(vec) if isinstance(vec, str) else vec
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    # the norm is repeated into an array once per row; a lambda that used the
+    # outer norm directly would recompute it for every element
+    norms = F.array_repeat(norm, F.size(v))
+    return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
 def min_max_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

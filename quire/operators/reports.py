@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.text import html_escape, strip_think
+from quire.session import checkpoint_dir
 
 # Own neutral prompt text (not the reference's wording or examples).
 INSTRUCTIONS = (
@@ -55,11 +56,14 @@ def build_file_prompt(text: Column | str, file: Column | str, schema_json: str)
 
 
 def generate(df: DataFrame, generator: Callable[[list[str]], list[str]],
-             prompt_col: str = "prompt") -> DataFrame:
+             prompt_col: str = "prompt", pin: bool = False) -> DataFrame:
     """Adds ``answer`` and ``error``; ``<think>`` spans are removed.
 
     The batch is tried at once; if that fails, rows are retried one by one
-    so one bad prompt marks only its own row (``error`` = message).
+    so one bad prompt marks only its own row (``error`` = message).  A real
+    model is not deterministic and costs money per call: ``pin=True``
+    checkpoints the answers into the shared checkpoint folder, so a lost
+    executor or a second use of the frame never calls the model again.
     """
     schema = StructType(list(df.schema.fields) + [StructField("answer", StringType()),
                                                    StructField("error", StringType())])
@@ -83,6 +87,9 @@ def generate(df: DataFrame, generator: Callable[[list[str]], list[str]],
             yield pdf
 
     out = df.mapInPandas(run, schema)
+    if pin:
+        checkpoint_dir(df.sparkSession)
+        out = out.checkpoint()
     return out.withColumn("answer", strip_think("answer"))
 
 

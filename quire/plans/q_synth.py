@@ -259,3 +259,17 @@ def union_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))
     return c.unionByName(s, allowMissingColumns=True)
+
+
+@register("violation_preview", oracle="""
+WITH g AS (SELECT * FROM (VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 3),
+                                 ('5-LOW', 4)) AS t(field, pos)),
+f AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)
+SELECT o_custkey AS patient_id, 1 AS group_id, count(*) AS n_true,
+       string_agg(o_orderpriority, ', ' ORDER BY pos) AS fields
+FROM f JOIN g ON g.field = f.o_orderpriority GROUP BY o_custkey HAVING count(*) > 1
+ORDER BY patient_id LIMIT 5
+""")
+def violation_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT3: the first five violations (the limit is the feature)."""
+    return synth.violation_preview(violations(spark, sf_dir))

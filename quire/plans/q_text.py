@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import textops
+from quire.operators import recommend, textops
 from quire.plans.catalog import register
 from quire.session import read_table
 
@@ -195,3 +195,20 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", spread=True).select("doc_id", "n_chars")
     w = textops.token_windows(d, ["doc_id"], F.col("n_chars") * F.lit(textops.TOKEN_FACTOR))
     return w.select("doc_id", "window_no")
+
+
+@register("answer_rejects", oracle="""
+SELECT 'e' || CAST(event_id AS VARCHAR) || '.json' AS file,
+       'no valid JSON block without ''$defs''' AS reason
+FROM events WHERE event_type = 'error'
+""")
+def answer_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL12 reject table: error events answer with a schema block and a
+    broken block only."""
+    e = read_table(spark, sf_dir, "events", spread=True)
+    good = F.concat(F.lit("final ```json\n"), F.col("props"), F.lit("\n```"))
+    decoys = '```json\n{"$defs": {"a": 1}}\n``` draft ```json {not json} ``` '
+    text = F.concat(F.lit(decoys), F.when(F.col("event_type") == "error", F.lit("")).otherwise(good))
+    answers = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json")).alias("file"),
+                       text.alias("text"))
+    return recommend.answer_rejects(answers)
