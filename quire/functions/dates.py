@@ -24,12 +24,14 @@ def age_at(birth: _C, evaluation: _C, unknown: str = "Unknown") -> Column:
     Not ``months_between``: it counts Jan 31 -> Feb 28 as a full month.
     """
     b, e = parse_us_date(birth), parse_us_date(evaluation)
-    years = F.year(e) - F.year(b)
-    months = F.month(e) - F.month(b) - F.when(F.dayofmonth(e) < F.dayofmonth(b), 1).otherwise(0)
-    years = years - F.when(months < 0, 1).otherwise(0)
-    months = F.when(months < 0, months + 12).otherwise(months)
-    text = F.format_string("%d-years, %d-months", years, months)
-    return F.when(b.isNotNull() & e.isNotNull(), text).otherwise(F.lit(unknown))
+    # whole months with the day borrow; the year borrow of the rule is then
+    # floor division (the month difference always lies in [-12, 11]).  One
+    # arithmetic expression, so each parsed date is computed once.
+    total = ((F.year(e) * 12 + F.month(e)) - (F.year(b) * 12 + F.month(b))
+             - F.when(F.dayofmonth(e) < F.dayofmonth(b), 1).otherwise(0))
+    text = F.format_string("%d-years, %d-months", F.floor(total / 12).cast("int"),
+                           F.pmod(total, F.lit(12)))
+    return F.when(total.isNotNull(), text).otherwise(F.lit(unknown))
 
 
 def date_before_comma(label: _C, fallback: str = "1900-01-01") -> Column:
