@@ -113,8 +113,10 @@ def cohort_members(flags: DataFrame, criteria: DataFrame, template: DataFrame) -
     hits = (flags.join(_bcast(crit), "field")
             .where(((F.col("kind") == "AND") & F.coalesce(F.col("is_true"), F.lit(False)))
                    | ((F.col("kind") == "OR") & truthy(flags))))
+    # size(collect_set) instead of count(distinct): one exchange instead of
+    # two; the set is bounded by the number of clauses of a cohort
     per = hits.groupBy("cohort_id", "patient_id").agg(
-        F.countDistinct("clause_id").alias("n_hit"))
+        F.size(F.collect_set("clause_id")).alias("n_hit"))
     return (per.join(_bcast(need), "cohort_id")
             .where(F.col("n_hit") == F.col("n_clauses"))
             .select("cohort_id", "patient_id"))
@@ -131,7 +133,7 @@ def cohort_intersection(flags: DataFrame, criteria: DataFrame, template: DataFra
             .join(_bcast(v.select("cohort_id", "field").distinct()),
                   "field"))
     per = hits.groupBy("cohort_id", "patient_id").agg(
-        F.countDistinct("field").alias("n_hit"))
+        F.size(F.collect_set("field")).alias("n_hit"))
     return (per.join(_bcast(need), "cohort_id")
             .where(F.col("n_hit") == F.col("n_fields"))
             .select("cohort_id", "patient_id"))
@@ -144,8 +146,10 @@ def flag_counts(flags: DataFrame, fields: DataFrame | None = None) -> DataFrame:
         _checked(fields, "field list")
         f = f.join(_bcast(fields.select("field").distinct()),
                    "field", "left_semi")
+    # flags hold one row per (patient, field), so a conditional count is a
+    # patient count (one exchange, no distinct expansion)
     return f.groupBy("field").agg(
-        F.count_distinct(F.when(F.col("is_true"), F.col("patient_id"))).alias("n_patients"))
+        F.count_if(F.coalesce(F.col("is_true"), F.lit(False))).alias("n_patients"))
 
 
 def cohort_sizes(members: DataFrame) -> DataFrame:
