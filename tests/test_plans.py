@@ -25,3 +25,25 @@ def test_plan_shape(spark, name):
 def test_scan_prunes_columns(spark):
     plan = QUERIES["cohort_and_or"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_orderpriority:string>" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_template_join_is_broadcast(spark):
+    plan = _plan(QUERIES["section_extraction"](spark, SF))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_cohort_flags_not_joined_by_shuffle(spark):
+    # flags meet the criteria in a broadcast join; any exchange by field is
+    # a distinct over partially aggregated field names
+    plan = _plan(QUERIES["cohort_many"](spark, SF))
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_text_queries_have_no_exchange_but_the_spread(spark):
+    for name in ("text_clean", "paragraphs_html", "fenced_json", "text_between"):
+        plan = _plan(QUERIES[name](spark, SF))
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan

@@ -136,3 +136,20 @@ def test_theme_flatten_and_merge(spark):
     m = recommend.merge_themes(themes).first()
     assert (m["theme"], m["count"], m["sample_recommendations"], m["all_recommendations"]) == \
         ("Sleep", 3, ["a", "c", "d"], ["a", "b", "c"])
+
+
+def test_lines_and_ranges(spark):
+    assert one(spark, " a \n\n b\n", T.normalise_lines) == ["a", "b"]
+    assert one(spark, "a\r\nb\rc\n", T.split_lines) == ["a", "b", "c"]
+    df = spark.createDataFrame([("6 - 18",), ("7-9x",), ("few",)], "s string")
+    lo, hi = T.range_bounds("s")
+    got = [tuple(r) for r in df.select(T.is_range("s"), lo, hi).collect()]
+    assert got == [(True, 6, 18), (True, 7, 9), (False, None, None)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(min_value=-50, max_value=50), st.integers(min_value=0, max_value=30))
+def test_seeded_int_in_range(spark, lo, width):
+    df = spark.range(50).select(T.seeded_int(F.lit(lo), F.lit(lo + width), "id", seed="x").alias("v"))
+    vals = [r[0] for r in df.collect()]
+    assert all(lo <= v <= lo + width for v in vals)
