@@ -45,13 +45,6 @@ def tiles(items: DataFrame, id_col: str, blocks: int) -> DataFrame:
             .drop("_other"))
 
 
-def _pairs_in_tile(ids: np.ndarray, blk: np.ndarray, ti: int, tj: int):
-    """Index pairs (a, b) of the tile that must be compared, as two masks."""
-    left = blk == ti
-    right = blk == tj
-    return left, right
-
-
 def cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vec",
                  blocks: int | None = None) -> DataFrame:
     """Pairs ``(src < dst)`` with cosine distance ``clip(1 - cos, 0, 1) <= eps``.
@@ -100,7 +93,9 @@ def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
     least one common item), with intersection and union sizes.
 
     ``sets(id, item)`` is the long form of 0/1 rows; duplicates are removed
-    first.  Pairs absent from the output have similarity 0.
+    first.  Pairs absent from the output have similarity 0.  Items are form
+    fields (a bounded vocabulary), so each tile works on a dense 0/1 matrix
+    of its rows by the items present in the tile, multiplied in row chunks.
     """
     b = blocks or default_blocks(sets)
     per = (sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))

@@ -10,8 +10,6 @@ holds every patient uses the skew-safe scan, never a one-task window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
