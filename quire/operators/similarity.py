@@ -148,3 +148,31 @@ def jaccard(a_items, b_items) -> float:
     if not sa and not sb:
         return 1.0
     return len(sa & sb) / len(sa | sb)
+
+
+def approx_cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vec",
+                        bucket_length: float = 0.5, num_tables: int = 8, seed: int = 7) -> DataFrame:
+    """Approximate alternative to :func:`cosine_edges` for very large inputs.
+
+    Unit vectors satisfy ``|a - b|^2 = 2 * (1 - cos)``, so cosine distance
+    ``<= eps`` is Euclidean distance ``<= sqrt(2 * eps)``.  Spark ML's
+    bucketed random projection LSH proposes candidate pairs by bucket
+    (an equi-join on hash buckets, no all-pairs tile), and every returned
+    pair is checked with its exact distance.  Pairs can be missed (recall
+    below 1, tunable with ``num_tables`` and ``bucket_length``); none is
+    wrong.  Use :func:`cosine_edges` when the exact answer is required.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = F.zip_with(F.col(vec_col), F.array_repeat(norm, F.size(vec_col)),
+                      lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    v = vecs.select(F.col(id_col).alias("id"), array_to_vector(unit).alias("_u"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed).fit(v)
+    radius = math.sqrt(2.0 * eps)
+    pairs = lsh.approxSimilarityJoin(v, v, radius, distCol="_d")
+    return (pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"),
+                         (F.col("_d") * F.col("_d") / 2.0).alias("dist"))
+            .where((F.col("src") < F.col("dst")) & (F.col("dist") <= eps)))

@@ -129,3 +129,12 @@ def test_provider_table_and_flag_matrix(spark):
     flags = spark.createDataFrame([("p", "A", True, None), ("p", "N", None, "7")],
                                   "patient_id string, field string, is_true boolean, value string")
     assert rows(cluster.flag_matrix(flags)) == [("p", "A")]
+
+
+def test_approx_edges_are_a_subset(spark):
+    rnd = random.Random(13)
+    vecs = [[rnd.gauss(0, 1) for _ in range(4)] for _ in range(80)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    exact = set(rows(similarity.cosine_edges(df, 0.2, blocks=3), "src", "dst"))
+    approx = set(rows(similarity.approx_cosine_edges(df, 0.2, num_tables=12), "src", "dst"))
+    assert approx <= exact and len(approx) >= 0.8 * len(exact)
