@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.dates import date_before_comma
@@ -236,11 +236,16 @@ def profile_positions(tree: DataFrame, group_cols: Sequence[str] = ()) -> DataFr
     bounds = pos.groupBy(*g, "scale").agg(
         F.min("pos").alias("_start"), F.max("pos").alias("_end"),
         F.sum(1 - F.col("is_composite")).alias("_nsub"))
-    return (pos.join(bounds, [*g, "scale"])
-            .select(*g, "label", "scale", "is_composite", "pos",
-                    (F.col("_start") - 0.5).alias("group_lo"),
-                    (F.col("_end") + 0.5).alias("group_hi"),
-                    (F.col("_start") + F.col("_nsub") / 2).alias("group_mid")))
+    out = (pos.join(bounds, [*g, "scale"])
+           .select(*g, "label", "scale", "is_composite", "pos",
+                   (F.col("_start") - 0.5).alias("group_lo"),
+                   (F.col("_end") + 0.5).alias("group_hi"),
+                   (F.col("_start") + F.col("_nsub") / 2).alias("group_mid")))
+    # first adaptive position: after the behavioural composite, else half way
+    # (a scale tree has tens of labels, so one window per tree is bounded)
+    w = Window.partitionBy(*g)
+    bsi = F.max(F.when(F.col("label") == PROFILE_SPLIT_AFTER, F.col("pos") + 1)).over(w)
+    return out.withColumn("split_at", F.coalesce(bsi, F.floor(F.count("*").over(w) / 2)).cast("long"))
 
 
 # SCL22 -------------------------------------------------------------------------------

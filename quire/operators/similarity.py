@@ -176,3 +176,25 @@ def approx_cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col
     return (pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"),
                          (F.col("_d") * F.col("_d") / 2.0).alias("dist"))
             .where((F.col("src") < F.col("dst")) & (F.col("dist") <= eps)))
+
+
+def approx_jaccard_pairs(sets: DataFrame, max_distance: float, id_col: str = "id",
+                         item_col: str = "item", num_tables: int = 8,
+                         num_features: int = 1 << 18, seed: int = 7) -> DataFrame:
+    """Approximate Jaccard pairs for very large inputs: MinHash LSH
+    candidates by bucket (no all-pairs tile), each with its exact Jaccard
+    distance, kept when ``1 - jaccard <= max_distance``.  Pairs can be
+    missed (recall below 1); none is wrong.  Items are hashed into
+    ``num_features`` slots, so distinct items may collide.
+    """
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    per = (sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))
+           .distinct().groupBy("id").agg(F.collect_list("item").alias("_items")))
+    tf = HashingTF(inputCol="_items", outputCol="_v", numFeatures=num_features, binary=True)
+    v = tf.transform(per).where(F.size("_items") > 0)
+    lsh = MinHashLSH(inputCol="_v", outputCol="_h", numHashTables=num_tables, seed=seed).fit(v)
+    pairs = lsh.approxSimilarityJoin(v, v, max_distance, distCol="_d")
+    return (pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
+                         (1.0 - F.col("_d")).alias("jaccard"))
+            .where(F.col("a") < F.col("b")))

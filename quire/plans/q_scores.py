@@ -179,7 +179,9 @@ WITH rows AS (
 p AS (SELECT *, row_number() OVER (ORDER BY scale_pos, is_composite, sub_pos) - 1 AS pos FROM rows),
 b AS (SELECT scale, min(pos) AS st, max(pos) AS en, sum(1 - is_composite) AS nsub FROM p GROUP BY scale)
 SELECT label, p.scale, is_composite, CAST(pos AS BIGINT) AS pos, CAST(st - 0.5 AS DOUBLE) AS group_lo, CAST(en + 0.5 AS DOUBLE) AS group_hi,
-       CAST(st + nsub / 2 AS DOUBLE) AS group_mid
+       CAST(st + nsub / 2 AS DOUBLE) AS group_mid,
+       CAST(coalesce(max(CASE WHEN label = 'Behavioral Symptoms Index' THEN pos + 1 END) OVER (),
+                     floor(count(*) OVER () / 2)) AS BIGINT) AS split_at
 FROM p JOIN b ON p.scale = b.scale
 """)
 def profile_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,15 @@ def test_approx_edges_are_a_subset(spark):
     exact = set(rows(similarity.cosine_edges(df, 0.2, blocks=3), "src", "dst"))
     approx = set(rows(similarity.approx_cosine_edges(df, 0.2, num_tables=12), "src", "dst"))
     assert approx <= exact and len(approx) >= 0.8 * len(exact)
+
+
+def test_approx_jaccard_subset(spark):
+    rnd = random.Random(17)
+    base = [set(rnd.sample(range(40), 8)) for _ in range(10)]
+    sets = {u: set(base[u % 10]) | {rnd.randrange(40)} for u in range(40)}
+    df = spark.createDataFrame([(u, str(i)) for u, s in sets.items() for i in s], "id long, item string")
+    exact = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, min_similarity=0.5, blocks=2).collect()}
+    approx = {(r["a"], r["b"]): r["jaccard"] for r in similarity.approx_jaccard_pairs(df, 0.5, num_tables=16).collect()}
+    assert set(approx) <= set(exact) | {k for k, v in approx.items() if v >= 0.5}
+    assert all(abs(approx[k] - exact[k]) < 1e-9 for k in approx if k in exact)
+    assert len(set(approx) & set(exact)) >= 0.8 * len(exact)

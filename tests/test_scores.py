@@ -96,3 +96,11 @@ def test_combined_table(spark, reports):
     assert len(row) == 18
     assert (row["Hyperactivity"]["r1"], row["Hyperactivity"]["r4"], row["Hyperactivity"]["r9"]) == ("50", "n/a", None)
     assert row["Adaptive Skills"]["r1"] == "n/a"
+
+
+def test_profile_split(spark):
+    tree = spark.createDataFrame(
+        [(s, si, sub, j) for si, (s, subs) in enumerate(scores.PARENT_TREE) for j, sub in enumerate(subs)],
+        "scale string, scale_pos int, subscale string, sub_pos int")
+    p = scores.profile_positions(tree).collect()
+    assert {r["split_at"] for r in p} == {12}  # composite at position 11
