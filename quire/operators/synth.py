@@ -65,17 +65,17 @@ def dedup_config(rows: DataFrame, pos_col: str = "pos") -> DataFrame:
     first-appearance order; a field with both forms gives two rows.
     """
     rng = (F.col("kind") == "text") & is_range("text")
-    counted = (rows.where(~rng).groupBy("field").agg(
-        F.sum(F.when(F.col("kind") == "int", F.col("count")).otherwise(F.lit(1))).alias("count"),
+    # one aggregation for both forms (a field with both gives two groups),
+    # so the config rows are read once
+    agg = rows.withColumn("_rng", rng).groupBy("field", "_rng").agg(
+        F.sum(F.when(F.col("kind") == "int", F.col("count")).otherwise(F.lit(1))).alias("_sum"),
+        F.max_by("text", pos_col).alias("_last"),
         F.min(pos_col).alias("first_pos"))
-        .select("field", F.lit("count").alias("kind"), "count",
-                F.lit(None).cast("string").alias("range_text"), "first_pos"))
-    ranged = (rows.where(rng).groupBy("field").agg(
-        F.max_by("text", pos_col).alias("range_text"), F.min(pos_col).alias("first_pos"))
-        .select("field", F.lit("range").alias("kind"), F.lit(None).cast("long").alias("count"),
-                "range_text", "first_pos"))
-    both = counted.unionByName(ranged).withColumn(
-        "_kord", F.when(F.col("kind") == "count", 0).otherwise(1))
+    both = agg.select(
+        "field", F.when(F.col("_rng"), F.lit("range")).otherwise(F.lit("count")).alias("kind"),
+        F.when(~F.col("_rng"), F.col("_sum")).cast("long").alias("count"),
+        F.when(F.col("_rng"), F.col("_last")).alias("range_text"),
+        "first_pos", F.col("_rng").cast("int").alias("_kord"))
     # one row per distinct config field: configuration-sized, so a single
     # ordered window is fine here
     w = Window.orderBy("_kord", "first_pos", "field")
