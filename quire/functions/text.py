@@ -153,8 +153,8 @@ def clean_cell(c: _C) -> Column:
     """Spreadsheet cell: strip, drop leading quotes, drop trailing quotes,
     commas and blanks; NULL stays NULL."""
     t = ws_trim(_col(c))
-    t = F.regexp_replace(t, "^['\"]+", "")
-    return F.regexp_replace(t, "(?U)['\",\\s]+\\z", "")
+    t = F.ltrim(t, F.lit("'\""))
+    return F.rtrim(t, F.lit("'\"," + WHITESPACE))
 
 
 def strip_tagged(c: _C, tag: str) -> Column:

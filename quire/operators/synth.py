@@ -41,8 +41,8 @@ def clean_config(sheet: DataFrame, pos_col: str = "pos", variable: str = "Variab
     count is 0, a numeric one is truncated to int, anything else is kept as
     stripped text (``kind`` = ``int`` or ``text``).
     """
-    unq = lambda c: F.regexp_replace(ws_trim(F.coalesce(F.col(c).cast("string"), F.lit(""))),
-                                     '^"+|"+$', "")
+    unq = lambda c: F.btrim(ws_trim(F.coalesce(F.col(c).cast("string"), F.lit(""))),
+                            F.lit('"'))
     s = sheet.select(pos_col, unq(variable).alias("_var"), unq(value).alias("_val"),
                      ws_trim(F.col(count).cast("string")).alias("_cnt"))
     s = s.where((F.col("_var") != "") | (F.col("_val") != ""))
