@@ -29,6 +29,16 @@ from pyspark.sql import functions as F
 from quire.session import shuffle_partitions
 
 SEG = "_seg"
+_PERSISTED: list[DataFrame] = []
+
+
+def release_cached() -> int:
+    """Unpersist the local passes kept by earlier scans (call between jobs
+    of a long-lived session once their results are written)."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -63,6 +73,7 @@ def _scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     seg = segment(df.withColumn("_v", value), g, o, segments)
     w_local = Window.partitionBy(SEG, *g).orderBy(*_cols(o))
     loc = seg.withColumn("_local", local(w_local)).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(loc)
     edges = F.broadcast(_edges(loc, g))
     summ = loc.join(edges, [SEG, *g]).groupBy(SEG, *g).agg(summary.alias("_sum"))
     w_seg = Window.partitionBy(*g).orderBy(SEG)

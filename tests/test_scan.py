@@ -36,3 +36,10 @@ def test_global_rank(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     got = scan.row_number(df, [], ["k"], "rn", segments=4)
     assert all(r["rn"] == r["k"] + 1 for r in got.collect())
+
+
+def test_release_cached(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
+    out = scan.row_number(df, ["g"], ["o"], "rn", segments=3)
+    assert out.count() == 100
+    assert scan.release_cached() >= 1 and scan.release_cached() == 0
