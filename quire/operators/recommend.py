@@ -132,7 +132,7 @@ def parse_report(spark, path: str) -> tuple[DataFrame, DataFrame]:
     ``[file] ...`` lines.  Line-based, so a huge cluster is not one row.
     """
     raw = spark.read.text(path).select(
-        F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_i"),
+        F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"),
         clean_text("value").alias("line"))
     hdr = F.when(F.col("line").rlike(HEADER),
                  F.struct(F.col("_f"), F.col("_i"),
