@@ -47,11 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     tests) do we create a private folder, so lineage cuts never land on a
     machine-local path in production.
     """
-    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server side owns the folder
+        return conf or ""
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(conf)
@@ -71,8 +74,12 @@ def spread_out(df: DataFrame) -> DataFrame:
     count exceeds the parallelism and this is a no-op, so no shuffle is
     added at scale.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
+        return df
+    if splits < par:
         return df.repartition(par)
     return df
 
