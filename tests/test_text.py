@@ -153,3 +153,63 @@ def test_seeded_int_in_range(spark, lo, width):
     df = spark.range(50).select(T.seeded_int(F.lit(lo), F.lit(lo + width), "id", seed="x").alias("v"))
     vals = [r[0] for r in df.collect()]
     assert all(lo <= v <= lo + width for v in vals)
+
+
+def _passage_rule(text, start=("based on", "recommendations are"), stop="follow-up"):
+    """The passage rule written out in plain Python, for comparison."""
+    import re
+    out, on = [], False
+    for s in re.split(r"(?<=[.!?]) +", text):
+        low = s.lower()
+        if not on:
+            if all(p in low for p in start):
+                on = True
+                out.append(s)
+        elif stop in low:
+            break
+        else:
+            out.append(s)
+    return " ".join(out).strip() if out else None
+
+
+WORDS = ["Based on", "the", "recommendations are", "follow-up", "rest", "x", "Do", "é"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(WORDS), min_size=1, max_size=5),
+                          st.sampled_from([".", "!", "?", ""]),
+                          st.sampled_from([" ", "  ", ""])), min_size=1, max_size=8))
+def test_passage_matches_rule(spark, parts):
+    text = "".join(" ".join(ws) + p + gap for ws, p, gap in parts)
+    assert one(spark, text, textops.passage) == _passage_rule(text)
+
+
+def _sections_rule(text):
+    """The headed-section rule written out in plain Python, for comparison."""
+    import re
+    head = re.compile(r"^=+\s*(.*?)\s*=+$")
+    out, cur, buf = {}, None, []
+    for line in text.splitlines():
+        m = head.match(line)
+        if m:
+            if cur and buf:
+                out[cur] = "\n".join(buf).strip()
+                buf = []
+            cur = m.group(1).strip()
+        elif cur:
+            buf.append(line)
+    if cur and buf:
+        out[cur] = "\n".join(buf).strip()
+    return out
+
+
+LINES = ["=== A ===", "== B ==", "====", "=== A===", "text", "", "  more  ", "x = y"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(LINES), min_size=0, max_size=12), st.booleans())
+def test_headed_sections_match_rule(spark, lines, trailing):
+    text = "\n".join(lines) + ("\n" if trailing else "")
+    d = spark.createDataFrame([(1, text)], "id int, text string")
+    got = dict(rows(textops.headed_sections(textops.text_lines(d, "id"), "id"), "section", "body"))
+    assert got == _sections_rule(text)
