@@ -77,3 +77,49 @@ def test_many_cohorts_one_job(spark, data):
 def test_and_result_inside_single_flags(spark, data):
     both = set(run(spark, data, "A, D"))
     assert both <= set(run(spark, data, "A")) and both <= set(run(spark, data, "D"))
+
+
+def _cohort_rule(records, template, query):
+    """The AND/OR cohort rule written out in plain Python, for comparison."""
+    import re
+    q, clauses = query.strip(), []
+    for block in re.findall(r"\((.*?)\)", q):
+        clauses.append(("OR", [f.strip() for f in block.split("OR")]))
+        q = q.replace(f"({block})", "")
+    clauses += [("AND", [f.strip()]) for f in q.split(",") if f.strip()]
+    seen = {k for r in records.values() for k in r}
+    ids = set(records)
+    for kind, fields in clauses:
+        valid = [f for f in fields if f in template and f in seen]
+        if not valid:
+            return []
+        if kind == "AND":
+            ids = {p for p in ids if all(records[p].get(f) is True for f in valid)}
+        else:
+            ids = {p for p in ids if any(bool(records[p].get(f)) for f in valid)}
+    return sorted(ids)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+FIELDS = ["A", "B", "C", "D", "N", "Z", "Q"]
+term = st.one_of(st.sampled_from(FIELDS),
+                 st.lists(st.sampled_from(FIELDS), min_size=1, max_size=3).map(lambda fs: "(" + " OR ".join(fs) + ")"))
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.dictionaries(st.sampled_from(["p1", "p2", "p3", "p4", "p5"]),
+                       st.dictionaries(st.sampled_from(FIELDS[:5]), st.sampled_from([True, "7", ""]), max_size=4),
+                       min_size=1, max_size=5),
+       st.lists(term, min_size=1, max_size=3))
+def test_cohort_matches_rule(spark, records, terms):
+    query = ", ".join(terms)
+    flags = spark.createDataFrame(
+        [(p, f, v is True, None if v is True else v) for p, r in records.items() for f, v in r.items()],
+        "patient_id string, field string, is_true boolean, value string")
+    # patients without any field still exist in the reference frame but can never match
+    tmpl = spark.createDataFrame([(f,) for f in TEMPLATE], "field string")
+    crit = cohort.parse_cohort_text(spark.createDataFrame([(1, query)], "cohort_id int, query string"))
+    got = [r[0] for r in rows(cohort.cohort_members(flags, crit, tmpl), "patient_id")]
+    assert got == _cohort_rule(records, TEMPLATE, query)
