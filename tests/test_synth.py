@@ -78,3 +78,41 @@ def test_patient_json(spark):
     flags = spark.createDataFrame([("P1", "A", True, None), ("P1", "Age", None, "7")],
                                   "patient_id string, field string, is_true boolean, value string")
     assert rows(synth.patients_json(flags), "json") == [('{"A": true, "Age": "7"}',)]
+
+
+def _quota_rule(patients, counts, fields, seed, group_id=1):
+    """Quota assignment written out in plain Python with the same seeded order."""
+    import hashlib
+    quota = [counts.get(f, 0) for f in fields]
+    n = len(patients)
+    if sum(quota) < n:
+        fb = next((i for i, f in enumerate(fields) if "Unknown" in f), len(fields) - 1)
+        quota[fb] += n - sum(quota)
+    order = sorted(patients, key=lambda p: (hashlib.md5(f"{p}|{group_id}|{seed}".encode()).hexdigest(), p))
+    out, i = {}, 0
+    for f, q in zip(fields, quota):
+        for _ in range(q):
+            if i >= n:
+                break
+            out[order[i]] = f
+            i += 1
+    return out
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(min_value=1, max_value=40),
+       st.lists(st.integers(min_value=0, max_value=30), min_size=1, max_size=4),
+       st.booleans())
+def test_quota_matches_rule(spark, n, counts, with_unknown):
+    fields = [f"F{i}" for i in range(len(counts))] + (["Unknown x"] if with_unknown else [])
+    cmap = dict(zip(fields, counts))
+    cfg = spark.createDataFrame([(f, "count", c, None) for f, c in cmap.items()],
+                                "field string, kind string, count long, range_text string")
+    groups = spark.createDataFrame([(1, f, i) for i, f in enumerate(fields)], "group_id int, field string, pos int")
+    pats = spark.createDataFrame([(f"p{i}",) for i in range(n)], "patient_id string")
+    got = dict(rows(synth.assign_exclusive(pats, cfg, groups, seed="q"), "patient_id", "field"))
+    assert got == _quota_rule([f"p{i}" for i in range(n)], cmap, fields, "q")
