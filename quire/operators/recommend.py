@@ -38,13 +38,17 @@ def flatten_themes(answers: DataFrame, file_col: str = "file", text_col: str = "
     stripped, duplicates kept; ``idx`` numbers them within the file.
     Answers whose ``themes`` is not a list give no rows."""
     p = parse_answers(answers, file_col, text_col).where(F.col("themes").isNotNull())
-    t = p.select(file_col, F.posexplode("themes").alias("_ti", "_t"))
-    r = t.select(file_col, "_ti", F.col("_t.theme").alias("theme"),
-                 F.posexplode(F.coalesce(F.col("_t.all_recommendations"),
-                                         F.array().cast("array<string>"))).alias("_ri", "_r"))
-    r = r.select(file_col, "_ti", "_ri", "theme", ws_trim("_r").alias("recommendation"))
-    return scan.row_number(r, [file_col], ["_ti", "_ri"], "idx") \
-        .select(file_col, (F.col("idx") - 1).alias("idx"), "theme", "recommendation")
+    empty = F.array().cast("array<string>")
+    # an answer is one row, so the position across its themes comes from the
+    # theme sizes in that row: no window, no shuffle
+    p = p.withColumn("_sizes", F.transform(
+        "themes", lambda t: F.size(F.coalesce(t["all_recommendations"], empty))))
+    t = p.select(file_col, "_sizes", F.posexplode("themes").alias("_ti", "_t"))
+    r = t.select(file_col, "_sizes", "_ti", F.col("_t.theme").alias("theme"),
+                 F.posexplode(F.coalesce(F.col("_t.all_recommendations"), empty)).alias("_ri", "_r"))
+    before = F.aggregate(F.slice("_sizes", 1, F.col("_ti")), F.lit(0), lambda a, x: a + x)
+    return r.select(file_col, (before + F.col("_ri")).cast("long").alias("idx"), "theme",
+                    ws_trim("_r").alias("recommendation"))
 
 
 def file_counts(recs: DataFrame, file_col: str = "file") -> DataFrame:

@@ -213,3 +213,14 @@ def test_headed_sections_match_rule(spark, lines, trailing):
     d = spark.createDataFrame([(1, text)], "id int, text string")
     got = dict(rows(textops.headed_sections(textops.text_lines(d, "id"), "id"), "section", "body"))
     assert got == _sections_rule(text)
+
+
+def test_flatten_numbers_across_themes(spark):
+    answers = spark.createDataFrame([
+        ("f.json", '```json\n{"themes": [{"theme": "a", "count": 1, "sample_recommendations": [],'
+                   ' "all_recommendations": ["x", "y"]}, {"theme": "b", "count": 1,'
+                   ' "sample_recommendations": [], "all_recommendations": null},'
+                   ' {"theme": "c", "count": 1, "sample_recommendations": [], "all_recommendations": ["z"]}]}\n```')],
+        "file string, text string")
+    got = rows(recommend.flatten_themes(answers), "idx", "theme", "recommendation")
+    assert got == [(0, "a", "x"), (1, "a", "y"), (2, "c", "z")]
