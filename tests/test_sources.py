@@ -107,3 +107,22 @@ def test_generate_and_collect(spark):
                                 "age_at_evaluation string")
     html = reports.render_report(ordered, hdr, "k").first()["html"]
     assert "&lt;Kim&gt;" in html and html.index("section-0") < html.index("section-1")
+
+
+def test_udf_surface(spark):
+    import numpy as np
+
+    from quire.functions import text as T
+    from quire.operators import textops, udfs
+    d = spark.createDataFrame([(1, "ab cd"), (2, "")], "id int, text string")
+    assert [r[0] for r in d.orderBy("id").select(textops.token_counter()("text")).collect()] == [5, 0]
+    assert [r[0] for r in d.orderBy("id").select(textops.token_counter(len)("text")).collect()] == [5, 0]
+    enc = udfs.local_encoder()
+    assert enc is None or enc("a b") >= 1
+    e = udfs.embed(d, "text", encoder=lambda ts: np.array([[len(t), 1.0] for t in ts]))
+    vecs = {r["id"]: r["embedding"] for r in e.collect()}
+    assert abs(sum(x * x for x in vecs[1]) - 1) < 1e-6
+    page = d.select(T.html_page(F.lit("T"), T.paragraphs_html("text", escape=True))).first()[0]
+    assert page.startswith("<!DOCTYPE html>") and "<h1>T</h1>" in page
+    prompt = d.select(reports.build_file_prompt("text", F.lit("f.json"), "{}")).first()[0]
+    assert "f.json" in prompt and "```json" in prompt
