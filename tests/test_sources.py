@@ -126,3 +126,9 @@ def test_udf_surface(spark):
     assert page.startswith("<!DOCTYPE html>") and "<h1>T</h1>" in page
     prompt = d.select(reports.build_file_prompt("text", F.lit("f.json"), "{}")).first()[0]
     assert "f.json" in prompt and "```json" in prompt
+
+
+def test_record_folder_numeric_one_is_true(spark, tmp_dir):
+    write(tmp_dir, "P9/form.json", json.dumps({"A": 1, "B": 2, "C": False}))
+    got = rows(files.read_record_folder(spark, tmp_dir), "field", "is_true", "value")
+    assert got == [("A", True, "1"), ("B", False, "2"), ("C", False, None)]
