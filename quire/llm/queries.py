@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
-from quire.llm.common import read
+from quire.llm import lattice, simhash
+from quire.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,14 @@ def _query(name: str, oracle: str | None = None):
     return keep
 
 
+@_query("op7_lattice_lm_scoring")
+def lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = lattice.score_documents(docs, train=~held_out(F.col("doc_id"), 7, 2))
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, bits=2)
