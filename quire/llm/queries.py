@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lattice, simhash
-from quire.llm.common import held_out, read
+from quire.llm import lattice, mixing, simhash
+from quire.llm.common import held_out, read, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"),
                         simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@_query("op10_mixing_splitting_tree")
+def mixing_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sized = shared_table(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized, size_col="size", shards=16)
+    return mixed.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken")
