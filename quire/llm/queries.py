@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lattice, mixing, simhash
+from quire.llm import lattice, mixing, simhash, toxicity
 from quire.llm.common import held_out, read, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,15 @@ def _query(name: str, oracle: str | None = None):
     return keep
 
 
+@_query("op1_toxic_segments")
+def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, train=~fold)
+    scored = docs.select("doc_id", fold.alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @_query("op7_lattice_lm_scoring")
 def lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
