@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lattice, mixing, simhash, toxicity
+from quire.llm import langid, lattice, mixing, quality, simhash, toxicity
 from quire.llm.common import held_out, read, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,24 @@ def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@_query("op4_byte_cnn_language")
+def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fold = held_out(F.col("doc_id"), 4, 2)
+    network = langid.fit(docs, train_rows=~fold)
+    return (docs.select("doc_id", fold.alias("held_out"), langid.predict(network, F.col("text")).alias("p"))
+            .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"))
+
+
+@_query("op6_cotrained_quality")
+def cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, labels, train=~fold)
+    scored = docs.select("doc_id", fold.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @_query("op7_lattice_lm_scoring")
 def lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
