@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lattice, mixing, quality, simhash, toxicity
+from quire.llm import decontaminate, langid, lattice, mixing, quality, simhash, toxicity
 from quire.llm.common import held_out, read, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@_query("op2_qgram_decontamination")
+def qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds; clean documents have no row."""
+    indexes = decontaminate.blocks(read(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), indexes)
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "budget", "place")
+
+
 @_query("op4_byte_cnn_language")
 def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
