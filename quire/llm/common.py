@@ -45,11 +45,16 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, salt: str) -> DataFram
     return df if n <= rows else df.where(hash_fraction(key, salt=salt) < F.lit(rows / n))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back:
     a lineage cut that survives lost executors."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

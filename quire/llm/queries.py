@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, lattice, mixing, quality, simhash, toxicity
-from quire.llm.common import held_out, read, shared_table
+from quire.llm import decontaminate, langid, lattice, mixing, quality, simhash, toxicity, vectors, warc
+from quire.llm.common import held_out, read, shared_path, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,30 @@ def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score"))
 
 
+@_query("op5_pivot_range_join", """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+""")
+def pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
+
+
 @_query("op6_cotrained_quality")
 def cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -70,6 +94,31 @@ def lattice_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query("op8_warc_salvage", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+             (CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31
+             AS INT), 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+""")
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(warc.planned(read(spark, sf_dir, "pages")), path)
+    found = warc.read_back(spark, path, with_payload=False)
+    return found.where(F.col("reason").isNull()).select(
+        F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to")
+
+
 @_query("op9_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, bits=2)
