@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, lattice, mixing, quality, simhash, toxicity, vectors, warc
+from quire.llm import decontaminate, langid, lattice, mixing, quality, simhash, toxicity, urls, vectors, warc
 from quire.llm.common import held_out, read, shared_path, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,58 @@ def qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "budget", "place")
 
 
+def _listed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures (with a fetch date from the id) and dated list entries (of the
+    hosts that occur, by the lengths of their names): ``pages`` has neither."""
+    captures = pages.select("page_id", "url", F.date_add(
+        F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetched"))
+    hosts = captures.select(urls.host(F.col("url")).alias("host")).where("host <> ''").distinct() \
+        .withColumn("n", F.length("host"))
+    parent = F.substring_index("host", ".", -2)
+    plan = [("block", F.col("host"), "add", F.col("n") * 7 % 180), ("block", F.col("host"), "remove", F.col("n") * 7 % 180 + 60),
+            ("block", F.col("host"), "add", F.col("n") * 7 % 180 + 150), ("allow", F.concat("host", F.lit("/en")), "add", F.col("n") % 40),
+            ("allow", F.concat("host", F.lit("/en")), "remove", F.col("n") % 40 + 200),
+            ("block", parent, "add", F.lit(100)), ("block", parent, "remove", F.lit(130))]
+    rows = F.array(*[F.struct(F.lit(a).alias("list"), k.alias("key"), F.lit(b).alias("action"),
+                              F.date_add(F.lit("2024-01-01").cast("date"), d.cast("int")).alias("at"))
+                     for a, k, b, d in plan])
+    return captures, hosts.select(F.inline(rows))
+
+
+@_query("op3_temporal_url_lists", r"""
+WITH c AS (
+  SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS DATE) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+h AS (SELECT DISTINCT host, length(host) AS n, regexp_extract(host, '([^.]+\.)?[^.]+$') AS parent FROM c WHERE host <> ''),
+v AS (
+  SELECT 'block' AS list, host AS key, n * 7 % 180 AS a, n * 7 % 180 + 60 AS b FROM h
+  UNION ALL SELECT 'block', host, n * 7 % 180 + 150, NULL FROM h
+  UNION ALL SELECT 'allow', host || '/en', n % 40, n % 40 + 200 FROM h
+  UNION ALL SELECT DISTINCT 'block', parent, 100, 130 FROM h WHERE parent NOT IN (SELECT host FROM h)),
+i AS (
+  SELECT list, key, CAST(DATE '2024-01-01' + CAST(a AS INT) AS DATE) AS since,
+         CAST(DATE '2024-01-01' + CAST(b AS INT) AS DATE) AS until FROM v),
+m AS (
+  SELECT c.page_id, c.url, c.fetched, i.list, i.key, i.since,
+         row_number() OVER (PARTITION BY c.page_id, c.url, c.fetched
+                            ORDER BY length(i.key) DESC, i.since DESC, (i.list = 'allow') DESC, i.key DESC, i.list DESC) AS r
+  FROM c JOIN i ON i.since <= c.fetched AND (i.until IS NULL OR c.fetched < i.until)
+   AND (c.host = i.key OR ends_with(c.host, '.' || i.key)
+        OR starts_with(c.host || rtrim(regexp_replace(c.path, '/+', '/', 'g'), '/') || '/', i.key || '/')))
+SELECT c.page_id, CAST(c.fetched AS VARCHAR) AS fetched, coalesce(m.list = 'block', false) AS blocked, m.list, m.key,
+       CAST(m.since AS VARCHAR) AS since
+FROM c LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM c.page_id AND m.url IS NOT DISTINCT FROM c.url
+ AND m.fetched IS NOT DISTINCT FROM c.fetched AND m.r = 1
+""")
+def temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = _listed(read(spark, sf_dir, "pages"))
+    found = urls.evaluate(captures, urls.intervals(entries))
+    return found.select(F.col("id").alias("page_id"), F.col("fetched").cast("string"), "blocked", "list", "key",
+                        F.col("since").cast("string"))
+
+
 @_query("op4_byte_cnn_language")
 def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
