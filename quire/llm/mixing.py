@@ -106,10 +106,10 @@ def _part_pass(blocks: pd.DataFrame) -> pd.DataFrame:
             left -= size
         elif missed is None or size < blocks["words"].iat[missed]:
             missed = row
-    chosen = blocks.iloc[taken].assign(left=None)
+    chosen = blocks.iloc[taken].assign(left=float("nan"))
     if missed is not None and left > 0:
         chosen = pd.concat([chosen, blocks.iloc[[missed]].assign(left=left)])
-    return chosen[["key", "block", "turn", "order", "left"]].astype({"left": "float64"})
+    return chosen[["key", "block", "turn", "order", "left"]]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
