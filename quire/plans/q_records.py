@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quire.operators import records
 from quire.plans import scan
-from quire.plans.broadcast import bounded_broadcast
 from quire.plans.catalog import register
 from quire.session import read_table
 
@@ -36,7 +35,7 @@ T2_SQL = """t2 AS (
 
 def region_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = read_table(spark, sf_dir, "region"), read_table(spark, sf_dir, "nation")
-    t = (n.join(bounded_broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    t = (n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
          .select(F.col("r_name").alias("section"), F.col("r_regionkey").alias("section_pos"),
                  F.col("n_name").alias("field"), F.col("n_nationkey").alias("field_pos")))
     extra = spark.createDataFrame([EXTRA_SECTION], t.schema)
@@ -46,7 +45,7 @@ def region_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions plus first-letter sections: every nation sits in two sections."""
     r, n = read_table(spark, sf_dir, "region"), read_table(spark, sf_dir, "nation")
-    t = (n.join(bounded_broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    t = (n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
          .select(F.col("r_name").alias("section"), F.col("r_regionkey").alias("section_pos"),
                  F.col("n_name").alias("field"), F.col("n_nationkey").alias("field_pos")))
     first = F.substring("n_name", 1, 1)
@@ -59,7 +58,7 @@ def letter_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw bracketed form fields per segment, cleaned (PRJ1)."""
     c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
-    raw = (c.join(bounded_broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
            .select(F.col("c_mktsegment").alias("record_id"),
                    F.concat(F.lit("("), F.col("n_name"), F.lit(")")).alias("field"),
                    F.concat(F.lit("("), F.col("c_name"), F.lit(")")).alias("value"),

@@ -13,32 +13,23 @@ bound.
 
 Range bounds are sampled when the exchange runs, and two separate
 exchanges of the same data may sample differently.  So the local pass is
-persisted once and both the carry table and the final join read that one
-copy; a lost block is recomputed from the same shuffle dependency, hence
-with the same bounds.
+written once into the shared folder, and both the carry table and the final
+join read that one copy, also after the loss of an executor.
+``session.clear_shared`` deletes the copies.
+
+Null group keys are a group like any other: all joins are null-safe.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import shuffle_partitions
+from quire.session import shared_table, shuffle_partitions
 
 SEG = "_seg"
-_PERSISTED: list[DataFrame] = []
-
-
-def release_cached() -> int:
-    """Unpersist the local passes kept by earlier scans (call between jobs
-    of a long-lived session once their results are written)."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -64,6 +55,16 @@ def _edges(seg: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return lo.union(hi).distinct()
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` with nulls equal; the keys come out once."""
+    named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & left[k].eqNullSafe(named[f"_r{i}"])
+    return left.join(named, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
 def _scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
           value: Column, local: Callable[[Window], Column], summary: Column,
           carry: Callable[[Window], Column], combine: Callable[[Column, Column], Column],
@@ -72,13 +73,12 @@ def _scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     g, o = list(group_cols), list(order_cols)
     seg = segment(df.withColumn("_v", value), g, o, segments)
     w_local = Window.partitionBy(SEG, *g).orderBy(*_cols(o))
-    loc = seg.withColumn("_local", local(w_local)).persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(loc)
-    edges = F.broadcast(_edges(loc, g))
-    summ = loc.join(edges, [SEG, *g]).groupBy(SEG, *g).agg(summary.alias("_sum"))
+    loc = shared_table(seg.withColumn("_local", local(w_local)))
+    edges = F.broadcast(_edges(loc, g))  # at most two rows a segment
+    summ = _null_safe(loc, edges, [SEG, *g], "inner").groupBy(SEG, *g).agg(summary.alias("_sum"))
     w_seg = Window.partitionBy(*g).orderBy(SEG)
     car = summ.select(SEG, *g, carry(w_seg).alias("_carry"))
-    res = loc.join(F.broadcast(car), [SEG, *g], "left")
+    res = _null_safe(loc, F.broadcast(car), [SEG, *g], "left")
     return res.withColumn(out, combine(F.col("_local"), F.col("_carry"))) \
         .drop("_v", "_local", "_carry", SEG)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,7 @@ def build_session(master: str | None = None, app: str = "quire",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.sql.files.maxPartitionBytes", "64m")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
@@ -43,45 +45,45 @@ def build_session(master: str | None = None, app: str = "quire",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (local runs,
-    tests) do we create a private folder, so lineage cuts never land on a
-    machine-local path in production.
+    A cluster sets it to shared storage.  Where it is unset a private folder
+    serves local runs and tests only: a cluster's executors couldn't see it.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # remote session: the server side owns the folder
-        return conf or ""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_out(df) if spread else df
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written once into the shared folder and read back: all later uses
+    see the same rows, also after the loss of an executor.  The table lives
+    until :func:`clear_shared`."""
+    spark = df.sparkSession
+    path = f"{_shared_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Round-robin over the session's cores when the input has fewer splits
-    than cores (a small single-file table: one row group is one task).
+def clear_shared(spark: SparkSession) -> bool:
+    """Delete the tables that this application has put into the shared folder
+    (call it once the results that read them are written)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Used before CPU-heavy per-row text work.  On a large input the split
-    count exceeds the parallelism and this is a no-op, so no shuffle is
-    added at scale.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan alone
-        return df
-    if splits < par:
-        return df.repartition(par)
-    return df
+
+def _shared_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/quire-{spark.sparkContext.applicationId}"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

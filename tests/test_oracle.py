@@ -8,11 +8,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from quire.plans import catalog
 from quire.session import TABLES
 
 SF = os.environ.get("QUIRE_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+catalog.load_all()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 def norm(v):

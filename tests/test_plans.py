@@ -2,10 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as E
+from quire.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+catalog.load_all()
+QUERIES = catalog.QUERIES
 # Python stages are allowed only where a model call, a tile join or a
 # numpy step is the operator itself.
 PYTHON_OK = {"chunk_reassemble", "token_totals", "cosine_edges", "dbscan", "dbscan_border",

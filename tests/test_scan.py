@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.plans import scan
+from quire.session import clear_shared
 
 
 def data(spark):
@@ -38,8 +39,24 @@ def test_global_rank(spark):
     assert all(r["rn"] == r["k"] + 1 for r in got.collect())
 
 
-def test_release_cached(spark):
+def test_null_and_hot_groups(spark):
+    rows = [(None if i % 3 == 0 else "hot" if i % 3 == 1 else f"g{i % 7}", None if i % 11 == 0 else i % 5, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, h int, o int").withColumn("v", F.when(F.col("o") % 4 == 0, F.col("o")))
+    for group in (["g"], ["g", "h"], ["h"]):
+        w = Window.partitionBy(*group).orderBy("o")
+        want = df.select("o", F.row_number().over(w).alias("rn"), F.last("v", True).over(w).alias("f"), F.lag("o").over(w).alias("p"))
+        got = scan.row_number(df, group, ["o"], "rn", segments=4)
+        got = scan.forward_fill(got, group, ["o"], F.col("v"), "f", segments=5)
+        got = scan.previous_value(got, group, ["o"], F.col("o"), "p", segments=3).select("o", "rn", "f", "p")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "g string, o int")
+    assert scan.row_number(df, ["g"], ["o"], "rn", segments=4).count() == 0
+
+
+def test_copies_are_deleted(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
-    out = scan.row_number(df, ["g"], ["o"], "rn", segments=3)
-    assert out.count() == 100
-    assert scan.release_cached() >= 1 and scan.release_cached() == 0
+    assert scan.row_number(df, ["g"], ["o"], "rn", segments=3).count() == 100
+    assert clear_shared(spark) and not clear_shared(spark)
