@@ -5,37 +5,22 @@ set field of a record.  ``is_true`` is the JSON boolean ``true``; ``value``
 keeps any other scalar as text.  AND terms test ``is_true``; OR groups test
 truthiness (``is_true`` or a non-empty value), as the reference does.
 
-Many cohorts are answered in one job: the criteria of all cohorts form a
-small table that is broadcast (size checked) against the flags, so the
-flags are read once and never shuffled by field (a field can be hot).
+Many cohorts are answered in one job: the criteria of all cohorts are a table
+that is joined to the flags on the field (Spark chooses the join and splits a
+hot field); what a criterion needs to know about the data comes out of the same
+aggregate as the matches, so the flags are read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import non_blank, ws_trim
-from quire.plans.broadcast import row_count_at_most
+from quire.plans.product import with_table
 
-# Criteria and templates are configuration: at most this many rows.  Tables
-# derived from them by joins and filters are no larger, so they are
-# broadcast without another check.
-MAX_CRITERIA = 100_000
 
-
-def _checked(df: DataFrame, what: str) -> DataFrame:
-    if not row_count_at_most(df, MAX_CRITERIA):
-        raise ValueError(f"{what} has more than {MAX_CRITERIA} rows")
-    return df
-
-
-def _bcast(df: DataFrame) -> DataFrame:
-    """Broadcast of a frame derived from checked criteria (size already bounded)."""
-    return F.broadcast(df)
-
-
-def truthy(flags: DataFrame):
+def truthy() -> Column:
     return F.coalesce(F.col("is_true"), F.lit(False)) | non_blank(F.col("value"))
 
 
@@ -63,25 +48,19 @@ def parse_cohort_text(queries: DataFrame, query_col: str = "query",
     return ors.unionByName(ands)
 
 
-def _seen_fields(flags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Fields of ``wanted`` that occur in the data (partial aggregation first)."""
-    return (flags.select("field")
-            .join(_bcast(wanted.select("field").distinct()),
-                  "field", "left_semi")
-            .distinct())
+def _in_template(criteria: DataFrame, template: DataFrame) -> DataFrame:
+    t = template.select("field").distinct().withColumn("in_template", F.lit(True))
+    return criteria.join(t, "field", "left").select(
+        *criteria.columns, F.coalesce("in_template", F.lit(False)).alias("in_template"))
 
 
 def validate_criteria(criteria: DataFrame, flags: DataFrame, template: DataFrame) -> DataFrame:
     """PRJ11: each criterion with ``in_template`` and ``in_data`` marks."""
-    _checked(criteria, "criteria")
-    tmpl = _checked(template.select("field").distinct(), "template") \
-        .withColumn("in_template", F.lit(True))
-    seen = _seen_fields(flags, criteria).withColumn("in_data", F.lit(True))
-    return (criteria.join(_bcast(tmpl), "field", "left")
-            .join(_bcast(seen), "field", "left")
-            .select(*criteria.columns,
-                    F.coalesce("in_template", F.lit(False)).alias("in_template"),
-                    F.coalesce("in_data", F.lit(False)).alias("in_data"))
+    seen = (flags.select("field").distinct()
+            .join(criteria.select("field").distinct(), "field", "left_semi")
+            .withColumn("in_data", F.lit(True)))
+    return (_in_template(criteria, template).join(seen, "field", "left")
+            .select(*criteria.columns, "in_template", F.coalesce("in_data", F.lit(False)).alias("in_data"))
             .withColumn("valid", F.col("in_template") & F.col("in_data")))
 
 
@@ -99,27 +78,48 @@ def cohort_warnings(criteria: DataFrame, flags: DataFrame, template: DataFrame)
     return field_msgs.unionByName(void)
 
 
-def cohort_members(flags: DataFrame, criteria: DataFrame, template: DataFrame) -> DataFrame:
+def _matched(flags: DataFrame, criteria: DataFrame, hit: Column) -> DataFrame:
+    """``(cohort_id, patient_id, marks)``: per patient, for each criterion whose
+    field the record has, ``(clause_id, field, hit)``.  A record has at most as
+    many marks as the cohort has criteria."""
+    c = criteria.select("cohort_id", "clause_id", "kind", "field")
+    mark = F.struct("clause_id", "field", hit.alias("hit"))
+    return (flags.join(c, "field").groupBy("cohort_id", "patient_id")
+            .agg(F.collect_set(mark).alias("marks")))
+
+
+def _everybody(flags: DataFrame, cohorts: DataFrame | None, criteria: DataFrame) -> DataFrame | None:
+    """All patients for each asked cohort that has no criterion at all."""
+    if cohorts is None:
+        return None
+    empty = cohorts.select("cohort_id").distinct().join(criteria.select("cohort_id").distinct(), "cohort_id", "left_anti")
+    people = flags.select("patient_id").distinct()
+    each = with_table(people, empty, ["cohort_id"], ["cohort_id"], "patient_id", "_c")
+    return each.select(F.inline("_c"), "patient_id")
+
+
+def cohort_members(flags: DataFrame, criteria: DataFrame, template: DataFrame,
+                   cohorts: DataFrame | None = None) -> DataFrame:
     """PRJ10: ``(cohort_id, patient_id)`` for patients meeting every clause.
 
-    A clause with no valid field voids its whole cohort (no rows).
+    A clause with no valid field voids its whole cohort (no rows).  A cohort of
+    ``cohorts`` (column ``cohort_id``) without any criterion has all patients.
     """
-    v = validate_criteria(criteria, flags, template)
-    clauses = v.groupBy("cohort_id", "clause_id").agg(F.max("valid").alias("ok"))
-    need = (clauses.groupBy("cohort_id")
-            .agg(F.count("*").alias("n_clauses"), F.min("ok").alias("all_ok"))
-            .where(F.col("all_ok")).select("cohort_id", "n_clauses"))
-    crit = v.where("valid").select("cohort_id", "clause_id", "kind", "field")
-    hits = (flags.join(_bcast(crit), "field")
-            .where(((F.col("kind") == "AND") & F.coalesce(F.col("is_true"), F.lit(False)))
-                   | ((F.col("kind") == "OR") & truthy(flags))))
-    # size(collect_set) instead of count(distinct): one exchange instead of
-    # two; the set is bounded by the number of clauses of a cohort
-    per = hits.groupBy("cohort_id", "patient_id").agg(
-        F.size(F.collect_set("clause_id")).alias("n_hit"))
-    return (per.join(_bcast(need), "cohort_id")
-            .where(F.col("n_hit") == F.col("n_clauses"))
-            .select("cohort_id", "patient_id"))
+    known = _in_template(criteria, template)
+    hit = F.when(F.col("kind") == "AND", F.coalesce("is_true", F.lit(False))).otherwise(truthy())
+    per = _matched(flags, known.where("in_template"), hit)
+    # a clause is valid if any record has one of its fields
+    seen = per.select("cohort_id", F.explode("marks.clause_id").alias("clause_id")).distinct()
+    need = (known.select("cohort_id", "clause_id").distinct()
+            .join(seen.withColumn("ok", F.lit(True)), ["cohort_id", "clause_id"], "left")
+            .groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.count("ok").alias("n_ok"))
+            .where(F.col("n_ok") == F.col("n_clauses")))
+    clauses = F.array_distinct(F.transform(F.filter("marks", lambda m: m["hit"]), lambda m: m["clause_id"]))
+    found = (per.select("cohort_id", "patient_id", F.size(clauses).alias("n_hit")).where(F.col("n_hit") > 0)
+             .join(need, "cohort_id").where(F.col("n_hit") == F.col("n_clauses"))
+             .select("cohort_id", "patient_id"))
+    rest = _everybody(flags, cohorts, criteria)
+    return found if rest is None else found.unionByName(rest)
 
 
 def cohort_intersection(flags: DataFrame, criteria: DataFrame, template: DataFrame) -> DataFrame:
@@ -127,29 +127,27 @@ def cohort_intersection(flags: DataFrame, criteria: DataFrame, template: DataFra
 
     A cohort with no valid field at all has no result.
     """
-    v = validate_criteria(criteria, flags, template).where("valid")
-    need = v.groupBy("cohort_id").agg(F.countDistinct("field").alias("n_fields"))
-    hits = (flags.where(F.coalesce(F.col("is_true"), F.lit(False)))
-            .join(_bcast(v.select("cohort_id", "field").distinct()),
-                  "field"))
-    per = hits.groupBy("cohort_id", "patient_id").agg(
-        F.size(F.collect_set("field")).alias("n_hit"))
-    return (per.join(_bcast(need), "cohort_id")
-            .where(F.col("n_hit") == F.col("n_fields"))
+    known = _in_template(criteria, template).where("in_template")
+    per = _matched(flags, known, F.coalesce("is_true", F.lit(False)))
+    need = (per.select("cohort_id", F.explode("marks.field").alias("field")).distinct()
+            .groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n_fields")))
+    fields = F.array_distinct(F.transform(F.filter("marks", lambda m: m["hit"]), lambda m: m["field"]))
+    return (per.select("cohort_id", "patient_id", F.size(fields).alias("n_hit")).where(F.col("n_hit") > 0)
+            .join(need, "cohort_id").where(F.col("n_hit") == F.col("n_fields"))
             .select("cohort_id", "patient_id"))
 
 
 def flag_counts(flags: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """PRJ8 + AGG1: patients per field whose value is exactly true."""
-    f = flags
-    if fields is not None:
-        _checked(fields, "field list")
-        f = f.join(_bcast(fields.select("field").distinct()),
-                   "field", "left_semi")
+    """PRJ8 + AGG1: patients per field whose value is exactly true; of the given
+    ``fields`` also those that no record has, with 0."""
     # flags hold one row per (patient, field), so a conditional count is a
     # patient count (one exchange, no distinct expansion)
-    return f.groupBy("field").agg(
+    counts = flags.groupBy("field").agg(
         F.count_if(F.coalesce(F.col("is_true"), F.lit(False))).alias("n_patients"))
+    if fields is None:
+        return counts
+    return (fields.select("field").distinct().join(counts, "field", "left")
+            .select("field", F.coalesce("n_patients", F.lit(0).cast("long")).alias("n_patients")))
 
 
 def cohort_sizes(members: DataFrame) -> DataFrame:

@@ -6,32 +6,23 @@ Long forms used throughout:
 * ``template(section, section_pos, field, field_pos)``: ordered config.
 * ``mapped(record_id, section, field, value, section_pos, field_pos)``.
 
-Templates are configuration (a form has hundreds of fields, not billions),
-so they are collected or broadcast behind an explicit size check.  Records
-are never grouped into one task: every per-record step is keyed by the
-record id, and hot keys only meet partial aggregation.
+Templates are tables like any other: they are joined, never collected, and
+Spark chooses the join.  Records are never grouped into one task: every
+per-record step is keyed by the record id, and hot keys only meet partial
+aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.dates import age_at
 from quire.functions.text import clean_cell, non_blank, ws_trim
 from quire.plans import scan
-from quire.plans.broadcast import collect_bounded, row_count_at_most
-
-MAX_TEMPLATE_ROWS = 50_000
-
-
-def _template_checked(template: DataFrame) -> DataFrame:
-    if not row_count_at_most(template, MAX_TEMPLATE_ROWS):
-        raise ValueError(f"template has more than {MAX_TEMPLATE_ROWS} rows")
-    return template
-
+from quire.plans.product import with_table
 
 # PRJ1 -------------------------------------------------------------------------
 def clean_form_fields(raw: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -45,35 +36,19 @@ def clean_form_fields(raw: DataFrame, id_col: str = "record_id") -> DataFrame:
 
 
 # PRJ2 -------------------------------------------------------------------------
-def _template_array(template: DataFrame) -> tuple[Column, list[str]]:
-    rows = collect_bounded(
-        template.select("section", "section_pos", "field", "field_pos")
-        .orderBy("section_pos", "field_pos"), MAX_TEMPLATE_ROWS, "template")
-    names = sorted({r["field"] for r in rows})
-    return F.array(*[
-        F.struct(F.lit(r["section"]).alias("section"),
-                 F.lit(r["section_pos"]).cast("int").alias("section_pos"),
-                 F.lit(r["field"]).alias("field"),
-                 F.lit(r["field_pos"]).cast("int").alias("field_pos"))
-        for r in rows]), names
-
-
 def project_template(fields: DataFrame, template: DataFrame,
                      id_col: str = "record_id") -> DataFrame:
     """Every template row for every record, value NULL when absent; fields
     outside the template are dropped; a field in two sections shows twice.
 
     ``fields`` holds one row per (record, field) (the output of
-    :func:`clean_form_fields`).  The template is a checked-size literal, so
-    the product is a per-record ``inline`` of it, not a cross join, and the
-    values are looked up in a per-record map (bounded by template size).
+    :func:`clean_form_fields`); the values are looked up in a per-record map.
     """
-    arr, names = _template_array(template)
-    # isin over many literals becomes a hash-set lookup (InSet)
     per = fields.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(
-            F.when(F.col("field").isin(*names), F.struct("field", "value")))).alias("_m"))
-    return (per.select(id_col, "_m", F.inline(arr))
+        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_m"))
+    t = template.select("section", F.col("section_pos").cast("int"), "field", F.col("field_pos").cast("int"))
+    order = ["section_pos", "field_pos"]
+    return (with_table(per, t, t.columns, order, id_col, "_t").select(id_col, "_m", F.inline("_t"))
             .select(id_col, "section", "field", F.try_element_at("_m", F.col("field")).alias("value"),
                     "section_pos", "field_pos"))
 
@@ -83,8 +58,8 @@ def extract_sections(fields: DataFrame, template: DataFrame, sections: Sequence[
                      id_col: str = "record_id") -> DataFrame:
     """Template fields of the given sections that the record has, in
     template order (``section_pos``, ``field_pos``)."""
-    t = _template_checked(template.where(F.col("section").isin(list(sections))))
-    return (fields.join(F.broadcast(t), "field")
+    t = template.where(F.col("section").isin(list(sections)))
+    return (fields.join(t, "field")
             .select(id_col, "section", "field", "value", "section_pos", "field_pos"))
 
 
@@ -108,13 +83,18 @@ def flatten_sections(mapped: DataFrame, id_col: str = "record_id") -> DataFrame:
 
     Top-level scalars are rows whose ``section`` is NULL.
     """
-    nested = mapped.groupBy(id_col).agg(
-        F.max(F.col("section").isNotNull()).alias("_nested"))
-    m = mapped.join(nested, id_col).where(
-        (F.col("_nested") & F.col("section").isNotNull()) | ~F.col("_nested"))
-    return m.groupBy(id_col, "field").agg(
-        F.max_by("value", F.struct(F.coalesce("section_pos", F.lit(-1)),
-                                   F.coalesce("field_pos", F.lit(-1)))).alias("value"))
+    place = F.struct(F.coalesce("section_pos", F.lit(-1)), F.coalesce("field_pos", F.lit(-1)))
+    inside = F.col("section").isNotNull()
+    # one pass: of every field the value inside sections and outside, with the
+    # record's own mark carried by a window over its aggregated fields
+    per = mapped.groupBy(id_col, "field").agg(
+        F.max_by(F.struct("value"), F.when(inside, place)).alias("_in"),
+        F.max_by(F.struct("value"), F.when(~inside, place)).alias("_out"))
+    nested = F.max(F.col("_in").isNotNull()).over(Window.partitionBy(id_col))
+    return (per.withColumn("_nested", nested)
+            .where(F.col("_in").isNotNull() | ~F.col("_nested"))
+            .select(id_col, "field", F.when(F.col("_nested"), F.col("_in.value"))
+                    .otherwise(F.col("_out.value")).alias("value")))
 
 
 # PRJ7 -------------------------------------------------------------------------
@@ -125,7 +105,7 @@ def lookup_first(mapped: DataFrame, template: DataFrame, targets: Sequence[str],
     value.  Field names compare stripped."""
     want = [t.strip() for t in targets]
     t = template.where(ws_trim("field").isin(want)).select("section", "field")
-    m = (mapped.join(F.broadcast(_template_checked(t)), ["section", "field"], "left_semi")
+    m = (mapped.join(t, ["section", "field"], "left_semi")
          .where(non_blank("value")))
     best = m.groupBy(id_col, ws_trim("field").alias("field")).agg(
         F.min_by(F.struct("section", "value"), F.struct("section_pos", "field_pos")).alias("_b"))

@@ -88,13 +88,20 @@ def cohort_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("cohort_warnings", oracle="""
-SELECT * FROM (VALUES
-  (2, 0, 'Z-BOGUS', 'field is not in the template'),
-  (3, 0, 'Z-BOGUS', 'field is not in the template'),
-  (3, 0, '9-UNSEEN', 'field does not occur in the data'),
-  (3, 0, NULL, 'no valid field in clause: cohort has no result'))
-  AS t(cohort_id, clause_id, field, message)
-WHERE EXISTS (SELECT 1 FROM orders)
+WITH c AS (SELECT * FROM (VALUES
+  (1, 1, '1-URGENT'), (1, 0, '2-HIGH'), (1, 0, '5-LOW'),
+  (2, 1, '3-MEDIUM'), (2, 2, '4-NOT SPECIFIED'), (2, 0, '1-URGENT'), (2, 0, 'Z-BOGUS'),
+  (3, 1, '2-HIGH'), (3, 0, 'Z-BOGUS'), (3, 0, '9-UNSEEN'),
+  (4, 0, '5-LOW'), (4, 0, '2-HIGH'), (4, 1, '3-MEDIUM'), (4, 1, '1-URGENT'), (4, 2, '4-NOT SPECIFIED'))
+  AS t(cohort_id, clause_id, field)),
+v AS (SELECT *, field <> 'Z-BOGUS' AS known,
+             field IN (SELECT o_orderpriority FROM orders) AS seen FROM c)
+SELECT cohort_id, clause_id, field,
+       CASE WHEN NOT known THEN 'field is not in the template' ELSE 'field does not occur in the data' END AS message
+FROM v WHERE NOT (known AND seen)
+UNION ALL
+SELECT cohort_id, clause_id, NULL, 'no valid field in clause: cohort has no result'
+FROM v GROUP BY cohort_id, clause_id HAVING NOT bool_or(known AND seen)
 """)
 def cohort_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     crit = cohort.parse_cohort_text(_queries(spark, COHORTS))
@@ -102,20 +109,31 @@ def cohort_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("flag_counts", oracle="""
-SELECT o_orderpriority AS field, count(DISTINCT o_custkey) AS n_patients
-FROM orders GROUP BY o_orderpriority
+SELECT f.field, count(DISTINCT o_custkey) AS n_patients
+FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('9-UNSEEN')) AS f(field)
+LEFT JOIN orders ON o_orderpriority = f.field GROUP BY f.field
 """)
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.flag_counts(priority_flags(spark, sf_dir))
+    return cohort.flag_counts(priority_flags(spark, sf_dir), priority_template(spark))
 
 
 @register("flag_intersection", oracle="""
-SELECT 1 AS cohort_id, count(*) AS n_patients FROM (
-  SELECT o_custkey FROM orders GROUP BY o_custkey
-  HAVING bool_or(o_orderpriority = '1-URGENT') AND bool_or(o_orderpriority = '2-HIGH'))
+SELECT 1 AS cohort_id, o_custkey AS patient_id FROM orders GROUP BY o_custkey
+HAVING bool_or(o_orderpriority = '1-URGENT') AND bool_or(o_orderpriority = '2-HIGH')
 """)
 def flag_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Z-BOGUS is not in the template and is skipped, as in the reference.
     crit = cohort.parse_cohort_text(_queries(spark, [(1, "1-URGENT, 2-HIGH, Z-BOGUS")]))
-    m = cohort.cohort_intersection(priority_flags(spark, sf_dir), crit, priority_template(spark))
-    return cohort.cohort_sizes(m)
+    return cohort.cohort_intersection(priority_flags(spark, sf_dir), crit, priority_template(spark))
+
+
+@register("cohort_everybody", oracle="""
+SELECT 1 AS cohort_id, o_custkey AS patient_id FROM orders GROUP BY o_custkey HAVING bool_or(o_orderpriority = '1-URGENT')
+UNION ALL
+SELECT 2, o_custkey FROM orders GROUP BY o_custkey
+""")
+def cohort_everybody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort whose query is empty has all patients."""
+    asked = _queries(spark, [(1, "1-URGENT"), (2, "  ")])
+    return cohort.cohort_members(priority_flags(spark, sf_dir), cohort.parse_cohort_text(asked),
+                                 priority_template(spark), asked)

@@ -32,19 +32,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_template_join_is_broadcast(spark):
-    plan = _plan(QUERIES["section_extraction"](spark, SF))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+def test_cohorts_read_the_flags_once(spark):
+    df = QUERIES["cohort_many"](spark, SF)
+    df.collect()  # the plan that ran: what two branches share is reused
+    plan = _plan(df).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
 
 
-def test_cohort_flags_not_joined_by_shuffle(spark):
-    # flags meet the criteria in a broadcast join; any exchange by field is
-    # a distinct over partially aggregated field names
-    plan = _plan(QUERIES["cohort_many"](spark, SF))
-    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
-
-
-def test_text_queries_have_no_exchange_but_the_spread(spark):
+def test_text_queries_have_no_exchange(spark):
     for name in ("text_clean", "paragraphs_html", "fenced_json", "text_between"):
-        plan = _plan(QUERIES[name](spark, SF))
-        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+        assert "Exchange" not in _plan(QUERIES[name](spark, SF))
