@@ -2,11 +2,9 @@
 ML7, PRJ13, PRJ17).
 
 DBSCAN is expressed as graph work on DataFrames: eps-neighbour edges from
-the tiled cosine join, core points by degree, connected components of the
-core graph by iterative min-label propagation (each round a join plus a
-partially aggregated ``min``, lineage cut with ``checkpoint()`` into the
-cluster's checkpoint folder), border points to their lowest-numbered
-neighbouring cluster.
+the tiled cosine join, core points by degree, connected components of the core
+graph by star contraction, border points to their lowest-numbered neighbouring
+cluster.  The edges and every round live in the shared folder.
 """
 
 from __future__ import annotations
@@ -19,19 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import provider_from_file
+from quire.operators.graph import connected_components
 from quire.operators.similarity import cosine_edges
 from quire.plans import scan
-from quire.plans.broadcast import collect_bounded
-from quire.session import checkpoint_dir
+from quire.session import shared_table
 
 # Fixed values of the reference ------------------------------------------------
 DEFAULT_EPS = 0.2
 DEFAULT_MIN_SAMPLES = 2
 COMMON_PROVIDERS = 3
 JITTER = 0.02
+NOISE = -1
 # -------------------------------------------------------------------------------
-# PCA covariance is features x features on the driver: bound the width.
-MAX_PCA_FEATURES = 10_000
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -39,51 +36,6 @@ def _undirected(edges: DataFrame) -> DataFrame:
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _jump(labels: DataFrame) -> DataFrame:
-    """Pointer jumping: each vertex takes its root's root when smaller."""
-    parent = labels.select(F.col("v").alias("_r"), F.col("root").alias("_rr"))
-    return (labels.join(parent, F.col("root") == F.col("_r"), "left")
-            .select("v", F.least("root", F.coalesce("_rr", "root")).alias("root")))
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(v, root)``: smallest vertex id of each vertex's component.
-
-    ``edges(src, dst)`` may be one-directional.  Each round hooks every root
-    to the smallest root found across its edges (a ``min`` per root with
-    partial aggregation, so a hub vertex is not one hot group), moves the
-    vertices of hooked roots, and shortcuts one level of the root chains.
-    Labels are ids of the same component and never grow, so the fixed point
-    is the component minimum, and a round changed something exactly when
-    the sum of all labels went down: one aggregate per round, no join
-    against the previous round.  Every round is checkpointed into the
-    shared checkpoint folder, which keeps the lineage short.
-    """
-    spark = vertices.sparkSession
-    checkpoint_dir(spark)
-    und = _undirected(edges).checkpoint()
-    verts = vertices.select("v").unionByName(und.select(F.col("src").alias("v"))).distinct()
-    labels = verts.select("v", F.col("v").alias("root")).checkpoint()
-
-    def total(df: DataFrame):
-        return df.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-
-    current = total(labels)
-    while True:
-        l1 = labels.select(F.col("v").alias("_u"), F.col("root").alias("_a"))
-        l2 = labels.select(F.col("v").alias("_w"), F.col("root").alias("_b"))
-        cross = (und.join(l1, und.src == l1._u).join(l2, und.dst == l2._w)
-                 .where(F.col("_a") > F.col("_b")))
-        hooks = cross.groupBy("_a").agg(F.min("_b").alias("_p"))
-        moved = (labels.join(hooks, labels.root == hooks._a, "left")
-                 .select("v", F.least("root", F.coalesce("_p", "root")).alias("root")))
-        labels = _jump(moved).checkpoint()
-        new_total = total(labels)
-        if new_total is None or new_total == current:
-            return labels
-        current = new_total
-
-
 def dbscan(points: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
            id_col: str = "id", vec_col: str = "vec", edges: DataFrame | None = None) -> DataFrame:
     """``(id, cluster_id)``; noise is -1.
@@ -95,7 +47,7 @@ def dbscan(points: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAU
     """
     pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     e = edges if edges is not None else cosine_edges(pts, eps, "id", "vec")
-    e = e.select("src", "dst").persist()
+    e = shared_table(e.select("src", "dst"))
     und = _undirected(e)
     deg = und.groupBy("src").agg(F.count("*").alias("_n"))
     core = (pts.select("id").join(deg, pts.id == deg.src, "left")
@@ -103,7 +55,9 @@ def dbscan(points: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAU
     core_ids = core.where("is_core").select(F.col("id").alias("v"))
     core_edges = (e.join(core_ids.withColumnRenamed("v", "src"), "src", "left_semi")
                   .join(core_ids.withColumnRenamed("v", "dst"), "dst", "left_semi"))
-    comp = connected_components(core_ids, core_edges)
+    linked = connected_components(core_edges).withColumnRenamed("v", "_v")
+    comp = (core_ids.join(linked, F.col("v") == F.col("_v"), "left")
+            .select("v", F.coalesce("root", "v").alias("root")))
     roots = comp.select("root").distinct()
     numbered = scan.row_number(roots, [], ["root"], "_rank") \
         .select("root", (F.col("_rank") - 1).alias("cluster_id"))
@@ -125,8 +79,9 @@ def noise_count(labels: DataFrame) -> DataFrame:
 
 # AGG6, AGG7 -------------------------------------------------------------------------
 def centroids(members: DataFrame, cluster_col: str = "cluster_id", vec_col: str = "vec") -> DataFrame:
-    """Element-wise mean vector per cluster (partial aggregation of vectors)."""
-    v = members.select(cluster_col, array_to_vector(vec_col).alias("_v"))
+    """Element-wise mean vector per cluster (partial aggregation of vectors);
+    noise is no cluster."""
+    v = members.where(F.col(cluster_col) != NOISE).select(cluster_col, array_to_vector(vec_col).alias("_v"))
     return v.groupBy(cluster_col).agg(
         vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"),
         F.count("*").alias("n_members"))
@@ -150,7 +105,7 @@ def representatives(members: DataFrame, cluster_col: str = "cluster_id", id_col:
 def provider_counts(members: DataFrame, cluster_col: str = "cluster_id",
                     file_col: str = "file") -> DataFrame:
     """Members per (cluster, provider); provider from the file name (SCL7)."""
-    m = members.where(F.col(cluster_col) != -1)
+    m = members.where(F.col(cluster_col) != NOISE)
     return m.groupBy(cluster_col, provider_from_file(file_col).alias("provider")) \
         .agg(F.count("*").alias("n_members"))
 
@@ -184,10 +139,13 @@ def one_hot(rows: DataFrame, id_col: str, cat_cols: Sequence[str]) -> DataFrame:
     return out.distinct()
 
 
-def variance_filter(indicators: DataFrame, id_col: str, threshold: float = 0.01) -> DataFrame:
+def variance_filter(indicators: DataFrame, id_col: str, threshold: float = 0.01,
+                    records: DataFrame | None = None) -> DataFrame:
     """Population variance ``p(1-p)`` of each 0/1 feature; ``keep`` when it
-    exceeds ``threshold`` (scikit-learn's VarianceThreshold semantics)."""
-    n = indicators.select(F.count_distinct(id_col)).first()[0]  # one scalar
+    exceeds ``threshold`` (scikit-learn's VarianceThreshold semantics).  Give
+    ``records`` if some of them have no indicator at all."""
+    people = indicators if records is None else records
+    n = people.select(F.count_distinct(id_col)).first()[0]  # one scalar
     f = indicators.groupBy("feature").agg(F.count_distinct(id_col).alias("n_true"))
     p = F.col("n_true") / F.lit(float(n))
     return f.select("feature", "n_true", (p * (1 - p)).alias("variance"),
@@ -199,23 +157,19 @@ def pca_loadings(indicators: DataFrame, id_col: str, k: int = 2, top_n: int = 20
     """Centred PCA on the 0/1 matrix; the ``top_n`` features with the largest
     absolute loading per component (sign is arbitrary).
 
-    The feature count bounds the matrix width (a form has hundreds of
-    fields); the covariance is computed by Spark ML over all rows.
+    Records are sparse vectors over the feature vocabulary; Spark ML centres
+    them while it computes the covariance over all rows.  (Covariance and
+    loadings have one row per feature on the driver, as that estimator has it.)
     """
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
-    feats = [r["feature"] for r in collect_bounded(
-        indicators.select("feature").distinct().orderBy("feature"), MAX_PCA_FEATURES, "feature list")]
-    wide = (indicators.groupBy(id_col).pivot("feature", feats).agg(F.lit(1.0))
-            .na.fill(0.0))
-    vec = VectorAssembler(inputCols=feats, outputCol="_x").transform(wide)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_x", outputCol="_c") \
-        .fit(vec).transform(vec)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    pc = model.pc.toArray()
-    spark = indicators.sparkSession
+    from pyspark.ml.feature import PCA, CountVectorizer
+
+    sets = indicators.groupBy(id_col).agg(F.collect_set("feature").alias("_f"))
+    width = indicators.agg(F.count_distinct("feature")).first()[0]
+    words = CountVectorizer(inputCol="_f", outputCol="_x", binary=True, vocabSize=max(1, width), minDF=1.0).fit(sets)
+    model = PCA(k=k, inputCol="_x", outputCol="_p").fit(words.transform(sets))
+    pc, feats = model.pc.toArray(), words.vocabulary
     rows = [(int(c), feats[i], float(abs(pc[i, c]))) for c in range(k) for i in range(len(feats))]
-    df = spark.createDataFrame(rows, "component int, feature string, abs_loading double")
+    df = indicators.sparkSession.createDataFrame(rows, "component int, feature string, abs_loading double")
     return _top_by(df, top_n)
 
 

@@ -5,9 +5,10 @@ frequent key (a third of all rows) produces a quadratic burst in one task.
 Instead the items are hashed into ``b`` blocks and every unordered block
 pair ``(i, j)``, ``i <= j``, is one tile: each item is copied into the ``b``
 tiles of its block, and each tile is one ``applyInPandas`` group that does a
-dense numpy product over at most ``2n/b`` items.  Work per tile is bounded
-by the block size regardless of key frequencies; the copy factor is ``b``.
-Only pairs that pass the threshold leave the tile.
+dense numpy product over the items of two blocks.  The number of blocks follows
+the number of items, so that a block holds about ``TILE_ROWS`` of them: work and
+memory of a tile are bounded whatever the key frequencies, and the copy factor
+is ``b``.  Only pairs that pass the threshold leave the tile.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import shuffle_partitions
 
 # Rows of the left side multiplied at once inside a tile (bounds memory).
 ROW_CHUNK = 2048
 
 
-def default_blocks(df: DataFrame) -> int:
-    """Blocks so that the number of tiles b(b+1)/2 is about the shuffle width."""
-    p = shuffle_partitions(df.sparkSession)
-    return max(1, int(math.floor((math.sqrt(8 * p + 1) - 1) / 2)))
+# Items of a block, about (they are dealt by a hash).
+TILE_ROWS = 4096
+
+
+def block_count(items: DataFrame, tile_rows: int = TILE_ROWS) -> int:
+    return max(1, -(-items.count() // tile_rows))
+
+
+def _id_type(df: DataFrame, id_col: str) -> str:
+    return df.schema[id_col].dataType.simpleString()
 
 
 def tiles(items: DataFrame, id_col: str, blocks: int) -> DataFrame:
@@ -52,7 +58,8 @@ def cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str =
     Vectors are normalised inside the tile (float64), so unit length is
     not required of the input.
     """
-    b = blocks or default_blocks(vecs)
+    b = blocks or block_count(vecs)
+    kind = _id_type(vecs, id_col)
     t = tiles(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "id", b)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,23 +91,26 @@ def cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str =
         return pd.DataFrame({"src": np.concatenate(out_s), "dst": np.concatenate(out_d),
                              "dist": np.concatenate(out_x)})
 
-    return t.groupBy("_ti", "_tj").applyInPandas(run, "src long, dst long, dist double")
+    return t.groupBy("_ti", "_tj").applyInPandas(run, f"src {kind}, dst {kind}, dist double")
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
-                  min_similarity: float = 0.0, blocks: int | None = None) -> DataFrame:
-    """Pairs ``(a < b)`` with ``|A & B| / |A | B| > min_similarity`` (so at
-    least one common item), with intersection and union sizes.
+                  min_similarity: float = 0.5, blocks: int | None = None) -> DataFrame:
+    """Pairs ``(a < b)`` with ``|A & B| / |A | B| >= min_similarity``, with
+    intersection and union sizes; the threshold must be positive (at 0 nearly
+    all pairs would come out).
 
     ``sets(id, item)`` is the long form of 0/1 rows; duplicates are removed
-    first.  Pairs absent from the output have similarity 0.  Items are form
+    first.  Items are form
     fields (a bounded vocabulary), so each tile works on a dense 0/1 matrix
     of its rows by the items present in the tile, multiplied in row chunks.
     """
-    b = blocks or default_blocks(sets)
+    if min_similarity <= 0:
+        raise ValueError("jaccard_pairs needs a positive threshold")
+    kind = _id_type(sets, id_col)
     per = (sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))
            .distinct().groupBy("id").agg(F.collect_list("item").alias("items")))
-    t = tiles(per, "id", b)
+    t = tiles(per, "id", blocks or block_count(per))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = int(pdf["_ti"].iloc[0]), int(pdf["_tj"].iloc[0])
@@ -129,7 +139,7 @@ def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
             na, nb = sizes[a][aa][keep], sizes[ri][bb][keep]
             union = (na + nb - iv).astype(np.int64)
             sim = iv / union
-            sel = sim > min_similarity
+            sel = sim >= min_similarity
             s_, d_ = src[keep][sel], dst[keep][sel]
             parts.append(pd.DataFrame({"a": np.minimum(s_, d_), "b": np.maximum(s_, d_),
                                        "inter": iv[sel], "union": union[sel],
@@ -139,7 +149,7 @@ def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
         return pd.concat(parts, ignore_index=True)
 
     return t.groupBy("_ti", "_tj").applyInPandas(
-        run, "a long, b long, inter long, union long, jaccard double")
+        run, f"a {kind}, b {kind}, inter long, union long, jaccard double")
 
 
 def jaccard(a_items, b_items) -> float:

@@ -1,11 +1,11 @@
 """Synthetic population: config clean-up, quotas, generation and validation
 (PRJ16, AGG8, SCL23, SCL24, JN3, SCL29, SCL30, JN7, AGG9 - AGG11, SET2).
 
-Configuration (quota rows, exclusive groups) is small and is turned into
-literal expressions after a size check; the population is a DataFrame of
-patient ids of any size.  Randomness is a seeded md5 hash, so results are
-reproducible and the same in every engine.  Ranking inside a group that
-holds every patient uses the skew-safe scan, never a one-task window.
+Configuration (quota rows, exclusive groups) and population are DataFrames of
+any size; configuration meets the population in joins that Spark chooses.
+Randomness is a seeded md5 hash, so results are reproducible and the same in
+every engine.  Ranking inside a group that holds every patient uses the
+skew-safe scan, never a one-task window.
 """
 
 from __future__ import annotations
@@ -13,12 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import (RANGE_TEXT, as_int, is_range, range_bounds, rescale,
-                                  seeded_int, ws_trim)
+from quire.functions.text import as_int, is_range, range_bounds, rescale, seeded_int, ws_trim
 from quire.plans import scan
-from quire.plans.broadcast import collect_bounded
+from quire.plans.product import with_table
 
-MAX_CONFIG_ROWS = 100_000
 # Fixed values of the reference --------------------------------------------------
 FALLBACK_MARK = "Unknown"  # an exclusive group's shortfall goes to the field containing it
 CONFIG_TOTAL = 100  # config counts are per 100 patients
@@ -76,10 +74,7 @@ def dedup_config(rows: DataFrame, pos_col: str = "pos") -> DataFrame:
         F.when(~F.col("_rng"), F.col("_sum")).cast("long").alias("count"),
         F.when(F.col("_rng"), F.col("_last")).alias("range_text"),
         "first_pos", F.col("_rng").cast("int").alias("_kord"))
-    # one row per distinct config field: configuration-sized, so a single
-    # ordered window is fine here
-    w = Window.orderBy("_kord", "first_pos", "field")
-    return both.withColumn("out_pos", F.row_number().over(w).cast("long")).drop("_kord")
+    return scan.row_number(both, [], ["_kord", "first_pos", "field"], "out_pos").drop("_kord")
 
 
 # SCL23 --------------------------------------------------------------------------------
@@ -93,57 +88,48 @@ def scale_config(config: DataFrame, total: int | Column, config_total: int = CON
 
 
 # JN3 ----------------------------------------------------------------------------------
-def _quota_arrays(config: DataFrame, groups: DataFrame, n_patients: int) -> dict:
-    """group_id -> [(upper rank, field)], with the reference's shortfall rule."""
-    counts = {r["field"]: int(r["count"] or 0) for r in collect_bounded(
-        config.where(F.col("kind") == "count").select("field", "count"), MAX_CONFIG_ROWS, "config")}
-    rows = collect_bounded(groups.select("group_id", "field", "pos"), MAX_CONFIG_ROWS, "groups")
-    by_group: dict[int, list[tuple[int, str]]] = {}
-    for r in sorted(rows, key=lambda r: (r["group_id"], r["pos"])):
-        by_group.setdefault(r["group_id"], []).append(r["field"])
-    out = {}
-    for g, fields in by_group.items():
-        quota = [counts.get(f, 0) for f in fields]
-        total = sum(quota)
-        if total < n_patients:
-            fb = next((i for i, f in enumerate(fields) if FALLBACK_MARK in f), len(fields) - 1)
-            quota[fb] += n_patients - total
-        hi, bounds = 0, []
-        for f, q in zip(fields, quota):
-            hi += q
-            bounds.append((hi, f))
-        out[g] = bounds
-    return out
+def quota_bounds(config: DataFrame, groups: DataFrame, n_patients: int) -> DataFrame:
+    """``(group_id, field, above, upto)``: the ranks ``above < rank <= upto`` of a
+    group get the field.
+
+    A field's quota is its configured count, 0 without one.  What a group's
+    quotas leave of the patients goes to its first field that holds
+    ``FALLBACK_MARK``, else to its last.
+    """
+    quota = config.where(F.col("kind") == "count").select("field", F.col("count").alias("quota"))
+    rows = groups.select("group_id", "field", "pos").join(quota, "field", "left").fillna(0, ["quota"])
+    marked = F.min(F.when(F.col("field").contains(FALLBACK_MARK), F.col("pos")))
+    per_group = rows.groupBy("group_id").agg(
+        F.greatest(F.lit(n_patients) - F.sum("quota"), F.lit(0)).alias("short"),
+        F.coalesce(marked, F.max("pos")).alias("fallback"))
+    filled = rows.join(per_group, "group_id").withColumn(
+        "quota", F.col("quota") + F.when(F.col("pos") == F.col("fallback"), F.col("short")).otherwise(0))
+    upto = F.sum("quota").over(Window.partitionBy("group_id").orderBy("pos"))
+    return filled.withColumn("upto", upto).select(
+        "group_id", "field", (F.col("upto") - F.col("quota")).alias("above"), "upto")
 
 
 def assign_exclusive(patients: DataFrame, config: DataFrame, groups: DataFrame,
                      id_col: str = "patient_id", seed: str = "0") -> DataFrame:
     """For each exclusive group: order patients by a seeded hash, give the
-    first n1 the first field, the next n2 the second, and so on; the
-    shortfall goes to the field containing ``Unknown`` (else the last), an
-    overshoot is cut (late fields lose).  ``(patient_id, group_id, field)``.
-
-    The quota bounds are a literal per group (config-sized), looked up by a
-    range search on the rank: no join and no nested loop.
+    first n1 the first field, the next n2 the second, and so on (see
+    :func:`quota_bounds`); an overshoot is cut, so that late fields lose.
+    ``(patient_id, group_id, field)``.
     """
-    n = patients.count()
-    bounds = _quota_arrays(config, groups, n)
-    gids = F.array(*[F.lit(g) for g in sorted(bounds)])
-    p = patients.select(id_col, F.explode(gids).alias("group_id"))
+    bounds = quota_bounds(config, groups, patients.count())
+    ids = groups.select("group_id").distinct()
+    p = with_table(patients.select(id_col), ids, ["group_id"], ["group_id"], id_col, "_g") \
+        .select(id_col, F.inline("_g"))
     p = p.withColumn("_k", _key(id_col, "group_id", seed=seed))
     ranked = scan.row_number(p, ["group_id"], ["_k", id_col], "_rn")
-    table = F.create_map(*[x for g in sorted(bounds) for x in (
-        F.lit(g), F.array(*[F.struct(F.lit(h).alias("hi"), F.lit(f).alias("field"))
-                            for h, f in bounds[g]]))])
-    hit = F.filter(F.element_at(table, F.col("group_id")), lambda b: b["hi"] >= F.col("_rn"))
-    return (ranked.select(id_col, "group_id", F.get(hit, 0)["field"].alias("field"))
-            .where(F.col("field").isNotNull()))
+    inside = (F.col("_rn") > F.col("above")) & (F.col("_rn") <= F.col("upto"))
+    return ranked.join(bounds, "group_id").where(inside).select(id_col, "group_id", "field")
 
 
 # SET2 ---------------------------------------------------------------------------------
 def remaining_config(config: DataFrame, groups: DataFrame) -> DataFrame:
     """Config fields outside every exclusive group."""
-    return config.join(F.broadcast(groups.select("field").distinct()), "field", "left_anti")
+    return config.join(groups.select("field").distinct(), "field", "left_anti")
 
 
 # SCL29, SCL30 -------------------------------------------------------------------------
@@ -153,31 +139,20 @@ def assign_remaining(patients: DataFrame, config: DataFrame, groups: DataFrame,
     ``[lo, hi]`` (as text); a positive count flags that many distinct
     patients chosen by seeded hash.  Long form ``(patient_id, field,
     is_true, value)``."""
-    rest = collect_bounded(remaining_config(config, groups), MAX_CONFIG_ROWS, "config")
-    rng = [(r["field"], r["range_text"]) for r in rest if r["kind"] == "range"]
-    cnt = [(r["field"], int(r["count"])) for r in rest if r["kind"] == "count" and (r["count"] or 0) > 0]
-    parts = []
-    if rng:
-        arr = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("rt")) for f, t in rng])
-        r = patients.select(id_col, F.inline(arr))
-        lo, hi = range_bounds("rt")
-        parts.append(r.select(id_col, "field", F.lit(None).cast("boolean").alias("is_true"),
-                              seeded_int(lo, hi, id_col, "field", seed=seed).cast("string")
-                              .alias("value")))
-    if cnt:
-        arr = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("k")) for f, k in cnt])
-        r = patients.select(id_col, F.inline(arr)).withColumn("_k", _key(id_col, "field", seed=seed))
-        ranked = scan.row_number(r, ["field"], ["_k", id_col], "_rn")
-        parts.append(ranked.where(F.col("_rn") <= F.col("k"))
-                     .select(id_col, "field", F.lit(True).alias("is_true"),
-                             F.lit(None).cast("string").alias("value")))
-    if not parts:
-        return patients.sparkSession.createDataFrame(
-            [], f"{id_col} string, field string, is_true boolean, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rest = remaining_config(config, groups)
+
+    def each(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return with_table(patients.select(id_col), rows, columns, ["field"], id_col, "_c").select(id_col, F.inline("_c"))
+
+    lo, hi = range_bounds("range_text")
+    ranged = each(rest.where(F.col("kind") == "range"), ["field", "range_text"]).select(
+        id_col, "field", F.lit(None).cast("boolean").alias("is_true"),
+        seeded_int(lo, hi, id_col, "field", seed=seed).cast("string").alias("value"))
+    counted = each(rest.where((F.col("kind") == "count") & (F.col("count") > 0)), ["field", "count"]) \
+        .withColumn("_k", _key(id_col, "field", seed=seed))
+    ranked = scan.row_number(counted, ["field"], ["_k", id_col], "_rn")
+    return ranged.unionByName(ranked.where(F.col("_rn") <= F.col("count")).select(
+        id_col, "field", F.lit(True).alias("is_true"), F.lit(None).cast("string").alias("value")))
 
 
 def generate(patients: DataFrame, config: DataFrame, groups: DataFrame,
@@ -189,34 +164,31 @@ def generate(patients: DataFrame, config: DataFrame, groups: DataFrame,
 
 
 # JN7 + AGG9 ------------------------------------------------------------------------------
-def validate_counts(flags: DataFrame, config: DataFrame, id_col: str = "patient_id") -> DataFrame:
+def validate_counts(flags: DataFrame, config: DataFrame, id_col: str = "patient_id",
+                    patients: DataFrame | None = None) -> DataFrame:
     """Per config field: int -> records whose value is exactly true, pass when
     equal to the expected count; range -> records with an integer value
-    inside the bounds, out of the total."""
-    total = flags.select(F.count_distinct(id_col)).first()[0]
-    cfg = collect_bounded(config.select("field", "kind", "count", "range_text"),
-                          MAX_CONFIG_ROWS, "config")
-    cfg_df = flags.sparkSession.createDataFrame(
-        [(r["field"], r["kind"], r["count"], r["range_text"]) for r in cfg],
-        "field string, kind string, expected long, range_text string")
+    inside the bounds, out of the total (of ``patients`` where given, so that
+    records without any field count too)."""
+    people = flags if patients is None else patients
+    total = people.agg(F.count_distinct(id_col)).first()[0]  # one number
+    cfg = config.select("field", "kind", F.col("count").cast("long").alias("expected"), "range_text")
     lo, hi = range_bounds("range_text")
-    j = flags.join(F.broadcast(cfg_df), "field")
     v = as_int("value")
     hit = F.when(F.col("kind") == "count", F.coalesce(F.col("is_true"), F.lit(False))) \
         .otherwise(v.isNotNull() & (v >= lo) & (v <= hi))
-    actual = j.where(hit).groupBy("field", "kind").agg(F.count_distinct(id_col).alias("actual"))
-    out = cfg_df.join(actual, ["field", "kind"], "left").withColumn(
-        "actual", F.coalesce("actual", F.lit(0)))
-    return out.select("field", "kind", "expected", "range_text", "actual",
-                      F.when(F.col("kind") == "count", F.col("actual") == F.col("expected"))
-                      .alias("passed"),
-                      F.lit(total).cast("long").alias("total"))
+    actual = flags.join(cfg, "field").where(hit).groupBy("field", "kind").agg(
+        F.count_distinct(id_col).alias("actual"))
+    return cfg.join(actual, ["field", "kind"], "left").select(
+        "field", "kind", "expected", "range_text", F.coalesce("actual", F.lit(0).cast("long")).alias("actual"),
+        F.when(F.col("kind") == "count", F.coalesce("actual", F.lit(0)) == F.col("expected")).alias("passed"),
+        F.lit(total).cast("long").alias("total"))
 
 
 # AGG10 ------------------------------------------------------------------------------------
 def violations(flags: DataFrame, groups: DataFrame, id_col: str = "patient_id") -> DataFrame:
     """Record and group with more than one true field; fields in group order."""
-    g = F.broadcast(groups.select("group_id", "field", "pos"))
+    g = groups.select("group_id", "field", "pos")
     t = flags.where(F.coalesce(F.col("is_true"), F.lit(False))).join(g, "field")
     per = t.groupBy(id_col, "group_id").agg(
         F.count("*").alias("n_true"),
@@ -235,22 +207,13 @@ def violation_preview(v: DataFrame, id_col: str = "patient_id", k: int = VIOLATI
 def coverage_gaps(patients: DataFrame, flags: DataFrame, groups: DataFrame,
                   id_col: str = "patient_id") -> DataFrame:
     """Patient and group with no true field of the group."""
-    gids = [r["group_id"] for r in collect_bounded(groups.select("group_id").distinct(),
-                                                   MAX_CONFIG_ROWS, "groups")]
-    pg = patients.select(id_col, F.explode(F.array(*[F.lit(g) for g in sorted(gids)])).alias("group_id"))
-    g = F.broadcast(groups.select("group_id", "field"))
-    covered = (flags.where(F.coalesce(F.col("is_true"), F.lit(False))).join(g, "field")
-               .select(id_col, "group_id").distinct())
+    pg = with_table(patients.select(id_col), groups.select("group_id").distinct(), ["group_id"], ["group_id"],
+                    id_col, "_g").select(id_col, F.inline("_g"))
+    covered = (flags.where(F.coalesce(F.col("is_true"), F.lit(False)))
+               .join(groups.select("group_id", "field"), "field").select(id_col, "group_id").distinct())
     return pg.join(covered, [id_col, "group_id"], "left_anti")
 
 
-def range_rows(config: DataFrame) -> DataFrame:
-    """SCL24 on config: ``lo``/``hi`` of range rows."""
-    lo, hi = range_bounds("range_text")
-    return config.where(F.col("range_text").rlike(RANGE_TEXT)).select("field", lo.alias("lo"),
-                                                                       hi.alias("hi"))
-
-
 def _json_string(c: str) -> Column:
     """A string as a quoted, escaped JSON literal."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")

@@ -68,6 +68,31 @@ def noise_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.noise_count(dbscan(spark, sf_dir))
 
 
+@register("dbscan_names", oracle="SELECT 'v' || CAST(id AS VARCHAR) AS id, cluster_id = -1 AS noise FROM ("
+          + _dbscan_sql(2) + ")")
+def dbscan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String ids (clusters are then numbered by name, so only noise is compared)."""
+    named = points(spark, sf_dir).withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string")))
+    return cluster.dbscan(named, EPS, 2).select("id", (F.col("cluster_id") == cluster.NOISE).alias("noise"))
+
+
+@register("cluster_representative", oracle=f"""
+WITH l AS ({_dbscan_sql(2)}),
+x AS (SELECT cluster_id, vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i
+      FROM embeddings JOIN l ON l.id = vec_id WHERE cluster_id <> -1),
+c AS (SELECT cluster_id, i, avg(v) AS m FROM x GROUP BY cluster_id, i),
+d AS (SELECT x.cluster_id, x.vec_id, round(sqrt(sum((x.v - c.m) * (x.v - c.m))), 5) AS dist
+      FROM x JOIN c ON x.cluster_id = c.cluster_id AND x.i = c.i GROUP BY x.cluster_id, x.vec_id)
+SELECT cluster_id, count(*) AS n_members, min(dist) AS nearest FROM d GROUP BY cluster_id
+""")
+def cluster_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG6 and AGG7 over real DBSCAN labels: noise has no centroid."""
+    m = dbscan(spark, sf_dir).join(points(spark, sf_dir), "id")
+    r = cluster.representatives(m).join(points(spark, sf_dir).withColumnRenamed("id", "rep_id"), "rep_id")
+    d2 = F.aggregate(F.zip_with("vec", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return r.select("cluster_id", "n_members", F.round(F.sqrt(d2), 5).alias("nearest"))
+
+
 @register("centroid_representative", oracle="""
 WITH x AS (SELECT label, vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
 c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i),
@@ -93,17 +118,19 @@ def centroid_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT DISTINCT user_id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS feat FROM events),
 s AS (SELECT user_id, count(*) AS sz FROM f GROUP BY user_id),
 i AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS inter
-      FROM f a JOIN f b ON a.feat = b.feat AND a.user_id < b.user_id GROUP BY 1, 2)
-SELECT i.a, i.b, i.inter, sa.sz + sb.sz - i.inter AS "union",
+      FROM f a JOIN f b ON a.feat = b.feat AND 'U' || CAST(a.user_id AS VARCHAR) < 'U' || CAST(b.user_id AS VARCHAR) GROUP BY 1, 2)
+SELECT 'U' || CAST(i.a AS VARCHAR) AS a, 'U' || CAST(i.b AS VARCHAR) AS b, i.inter, sa.sz + sb.sz - i.inter AS "union",
        round(i.inter / (sa.sz + sb.sz - i.inter), 6) AS jaccard
 FROM i JOIN s sa ON sa.user_id = i.a JOIN s sb ON sb.user_id = i.b
+WHERE i.inter >= 0.3 * (sa.sz + sb.sz - i.inter)
 """)
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    sets = ev.select(F.col("user_id").alias("id"),
+    # string ids, as the record reader yields them
+    sets = ev.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("id"),
                      F.concat(F.col("event_type"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
                      .alias("item"))
-    p = similarity.jaccard_pairs(sets)
+    p = similarity.jaccard_pairs(sets, min_similarity=0.3)
     return p.select("a", "b", "inter", "union", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -125,18 +152,14 @@ def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("unit_vectors", oracle="""
-SELECT vec_id, round(embedding[1] * (label + 1) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]),
-         lambda x: (x * (label + 1)) * (x * (label + 1))))), 5) AS x1,
-       round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm_in
-FROM embeddings
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 5) AS x FROM x
 """)
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
-    u = cluster.normalise(scaled)
-    norm_in = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0),
-                                 lambda acc, x: acc + x * x))
-    return e.select("vec_id", F.round(F.get(u, 0), 5).alias("x1"), F.round(norm_in, 5).alias("norm_in"))
+    return e.select("vec_id", F.posexplode(cluster.normalise(scaled)).alias("i", "x")) \
+        .select("vec_id", "i", F.round("x", 5).alias("x"))
 
 
 @register("minmax", oracle="""

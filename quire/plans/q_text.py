@@ -105,14 +105,16 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("cell_clean", oracle=r"""
-SELECT doc_id,
-  regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g'),
-                                '^[''"]+', ''), '[''",\s]+$', '') AS cell
+SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda line:
+  regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'),
+                                '^[''"]+', ''), '['',"\s]+$', '')), chr(10))) AS cells_md5
 FROM documents
 """)
 def cell_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text, cleaned as a cell."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.clean_cell(F.substring_index("text", "\n", 1)).alias("cell"))
+    cells = F.transform(F.split("text", "\n"), T.clean_cell)
+    return d.select("doc_id", F.md5(F.array_join(cells, "\n")).alias("cells_md5"))
 
 
 @register("think_strip", oracle=r"""

@@ -4,9 +4,10 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import cluster, similarity
+from quire.operators import cluster, graph, similarity
 from tests.conftest import rows
 
 
@@ -85,7 +86,7 @@ def test_jaccard_brute_force(spark):
     rnd = random.Random(11)
     sets = {u: {rnd.randrange(12) for _ in range(rnd.randrange(0, 6))} for u in range(30)}
     df = spark.createDataFrame([(u, str(i)) for u, s in sets.items() for i in s], "id long, item string")
-    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, blocks=3).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, min_similarity=1e-9, blocks=3).collect()}
     for a, b in itertools.combinations(range(30), 2):
         j = similarity.jaccard(sets[a], sets[b]) if (sets[a] or sets[b]) else 1.0
         if sets[a] & sets[b]:
@@ -150,3 +151,29 @@ def test_approx_jaccard_subset(spark):
     assert set(approx) <= set(exact) | {k for k, v in approx.items() if v >= 0.5}
     assert all(abs(approx[k] - exact[k]) < 1e-9 for k in approx if k in exact)
     assert len(set(approx) & set(exact)) >= 0.8 * len(exact)
+
+
+def test_tile_rows_follow_the_data(spark):
+    df = spark.range(10).select(F.col("id"))
+    assert similarity.block_count(df, tile_rows=4) == 3 and similarity.block_count(df.where("false")) == 1
+    assert similarity.TILE_ROWS <= 8192
+
+
+def test_similarity_needs_a_threshold(spark):
+    df = spark.createDataFrame([("a", "x")], "id string, item string")
+    with pytest.raises(ValueError):
+        similarity.jaccard_pairs(df, min_similarity=0.0)
+
+
+def test_string_ids_and_components(spark):
+    sets = spark.createDataFrame([("P1", "x"), ("P1", "y"), ("P2", "x"), ("P2", "y"), ("P10", "x")], "id string, item string")
+    got = sorted((r["a"], r["b"], r["jaccard"]) for r in similarity.jaccard_pairs(sets, min_similarity=0.5).collect())
+    assert got == [("P1", "P10", 0.5), ("P1", "P2", 1.0), ("P10", "P2", 0.5)]
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(25)] + [("z", "y"), ("q", "q")], "src string, dst string")
+    found = {r["v"]: r["root"] for r in graph.connected_components(edges).collect()}
+    assert found == {**{f"n{i:02d}": "n00" for i in range(26)}, "z": "y", "y": "y"}
+
+
+def test_noise_has_no_representative(spark):
+    m = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.8, 0.2]), (-1, 3, [0.0, 1.0])], "cluster_id long, id long, vec array<double>")
+    assert [r["cluster_id"] for r in cluster.representatives(m).collect()] == [0]
