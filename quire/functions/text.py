@@ -197,10 +197,7 @@ def pick_fenced_json(c: _C, forbidden_key: str = "$defs") -> Column:
 def chunk_text(c: _C, size: int = CHUNK_CHARS) -> Column:
     """Pieces of ``size`` characters (code points), order kept; '' -> []."""
     t = _col(c)
-    n = F.length(t)
-    idx = F.sequence(F.lit(0), F.ceil(n / F.lit(size)).cast("int") - 1)
-    pieces = F.transform(idx, lambda i: F.substring(t, i * size + 1, size))
-    return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def html_escape(c: _C) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.functions.text import (_C, _col, chunk_text, non_blank, split_lines,
+from quire.functions.text import (normalise_lines, _C, _col, chunk_text, non_blank, split_lines,
                                   split_sentences, ws_trim)
 from quire.plans import scan
 
@@ -193,8 +193,7 @@ def token_counter(encode: Callable[[str], int] | None = None):
 
 def preview(text: _C, n: int = 5) -> Column:
     """First ``n`` non-blank lines, stripped, joined by newline."""
-    lines = F.filter(F.transform(F.split(_col(text), "\n"), ws_trim), lambda x: x != "")
-    return F.array_join(F.slice(lines, 1, n), "\n")
+    return F.array_join(F.slice(normalise_lines(text), 1, n), "\n")
 
 
 # WIN4 ------------------------------------------------------------------------------

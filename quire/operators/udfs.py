@@ -22,13 +22,11 @@ from quire.operators.reports import generate  # noqa: F401  (UDF2)
 from quire.operators.textops import token_counter, translate_chunks  # noqa: F401  (UDF1, UDF3)
 
 
-def local_encoder(name: str = "cl100k_base") -> Callable[[str], int] | None:
-    """A token counter from a locally cached tokenizer, or None offline."""
-    try:
-        import tiktoken
-        enc = tiktoken.get_encoding(name)
-    except Exception:
-        return None
+def local_encoder(name: str = "cl100k_base") -> Callable[[str], int]:
+    """A token counter from a locally cached tokenizer; raises without one."""
+    import tiktoken
+
+    enc = tiktoken.get_encoding(name)
     return lambda text: len(enc.encode(text))
 
 

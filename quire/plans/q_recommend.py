@@ -131,6 +131,69 @@ def shared_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.shared_clusters(m)
 
 
+_REPORT_SQL = """
+WITH m AS (
+  SELECT CAST(label AS BIGINT) AS cluster_id, vec_id AS idx,
+         ['O''Brien', 'Lee "x"', 'D''Arcy "y"', 'Roy'][vec_id % 4 + 1] AS provider, 'text ' || CAST(vec_id AS VARCHAR) AS t
+  FROM embeddings WHERE label < 6 OR vec_id % 4 = 0),
+"""
+
+
+def _report_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with awkward provider names, their summary and representatives."""
+    e = read_table(spark, sf_dir, "embeddings").where("label < 6 OR vec_id % 4 = 0")
+    names = F.array(*[F.lit(n) for n in ("O'Brien", 'Lee "x"', "D'Arcy \"y\"", "Roy")])
+    m = e.select(F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("idx"),
+                 F.concat(F.get(names, (F.col("vec_id") % 4).cast("int")), F.lit("_"), F.col("vec_id").cast("string"),
+                          F.lit(".json")).alias("file"),
+                 F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("recommendation"))
+    reps = m.groupBy("cluster_id").agg(F.min_by("recommendation", "idx").alias("representative"))
+    return m, cluster.cluster_summary(m), reps
+
+
+@register("report_lines", oracle=_REPORT_SQL + r"""
+p AS (SELECT cluster_id, provider, min(idx) AS first FROM m GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN contains(provider, '''') AND NOT contains(provider, '"') THEN '"' || provider || '"'
+                     ELSE '''' || replace(provider, '''', chr(92) || '''') || '''' END AS quoted FROM p),
+h AS (SELECT cluster_id, string_agg(quoted, ', ' ORDER BY first) AS names, count(*) AS n FROM q GROUP BY 1)
+SELECT cluster_id, CAST(-1 AS BIGINT) AS line_no, '' AS line FROM h
+UNION ALL SELECT cluster_id, 0, '-- Cluster ' || CAST(cluster_id AS VARCHAR) || ' -- ' || CASE WHEN n = 3 THEN '[COMMON]' ELSE '' END FROM h
+UNION ALL SELECT cluster_id, 1, 'Representative: ' || arg_min(t, idx) FROM m GROUP BY 1
+UNION ALL SELECT cluster_id, 2, 'Providers in cluster: [' || names || ']' FROM h
+UNION ALL SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) + 2,
+                 '  [' || provider || '_' || CAST(idx AS VARCHAR) || '.json] ' || t FROM m
+""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recommend.report_lines(*_report_frames(spark, sf_dir))
+
+
+@register("report_parse", oracle=_REPORT_SQL + """
+c AS (SELECT cluster_id, provider, count(*) AS n FROM m GROUP BY 1, 2),
+h AS (SELECT cluster_id, string_agg(provider, '|' ORDER BY provider) AS providers FROM c GROUP BY 1)
+SELECT c.cluster_id, arg_min(m.t, m.idx) AS representative, h.providers,
+       CASE WHEN contains(c.provider, ' ') AND NOT contains(c.provider, '_') THEN c.provider ELSE c.provider END AS provider, c.n
+FROM c JOIN h USING (cluster_id) JOIN m USING (cluster_id) GROUP BY c.cluster_id, h.providers, c.provider, c.n
+""")
+def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10 over the lines of SRC9: what was written comes back."""
+    lines = recommend.report_lines(*_report_frames(spark, sf_dir)).withColumnRenamed("cluster_id", "file")
+    clusters, counts = recommend.parse_lines(lines, ["file", "line_no"])
+    return clusters.join(counts, "cluster_id").select(
+        "cluster_id", "representative", F.array_join(F.array_sort("providers"), "|").alias("providers"), "provider", "n")
+
+
+@register("provider_pivot", oracle=_REPORT_SQL + """
+r AS (SELECT cluster_id, arg_min(t, idx) AS representative FROM m GROUP BY 1)
+SELECT representative, nullif(count(*) FILTER (WHERE provider = 'Roy'), 0) AS "Roy",
+       nullif(count(*) FILTER (WHERE provider = 'O''Brien'), 0) AS "O'Brien"
+FROM m JOIN r USING (cluster_id) GROUP BY representative
+""")
+def provider_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG16, one column per provider."""
+    m, _, reps = _report_frames(spark, sf_dir)
+    return cluster.provider_table(cluster.provider_counts(m), reps, providers=["Roy", "O'Brien"])
+
+
 @register("sorted_names", oracle=r"""
 SELECT DISTINCT split_part(regexp_replace(p_name, '^\s+|\s+$', '', 'g'), ' ', 1) AS first_word FROM part
 """)

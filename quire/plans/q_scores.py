@@ -165,7 +165,7 @@ def rater_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = read_table(spark, sf_dir, "region"), read_table(spark, sf_dir, "nation")
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("r_name").alias("scale"), F.col("r_regionkey").alias("scale_pos"),
         F.col("n_name").alias("subscale"), F.col("n_nationkey").alias("sub_pos"))
 
@@ -205,7 +205,7 @@ SELECT s.scale, s.scale_rank, u.subscale, u.sub_rank FROM s LEFT JOIN u ON s.sca
 def scale_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = read_table(spark, sf_dir, "region"), read_table(spark, sf_dir, "nation")
     t0 = region_tree(spark, sf_dir).withColumn("report_pos", F.lit(0))
-    t1 = n.join(F.broadcast(r), (F.col("n_nationkey") * 2) % 5 == F.col("r_regionkey")).select(
+    t1 = n.join(r, (F.col("n_nationkey") * 2) % 5 == F.col("r_regionkey")).select(
         F.lit(1).alias("report_pos"), F.col("r_name").alias("scale"),
         F.col("r_regionkey").alias("scale_pos"), F.col("n_name").alias("subscale"),
         F.col("n_nationkey").alias("sub_pos"))

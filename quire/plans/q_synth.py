@@ -207,7 +207,7 @@ FROM cfg LEFT JOIN a ON a.field = cfg.field
 """)
 def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = spark.createDataFrame(VALIDATE_CONFIG, "field string, kind string, count long, range_text string")
-    return synth.validate_counts(recorded_flags(spark, sf_dir), cfg)
+    return synth.validate_counts(recorded_flags(spark, sf_dir), cfg, patients=_patients(spark, sf_dir))
 
 
 @register("violations", oracle="""
@@ -225,10 +225,13 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("coverage_gaps", oracle="""
 SELECT c_custkey AS patient_id, 1 AS group_id FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+UNION ALL
+SELECT c_custkey, 2 FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')
 """)
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame(VALIDATE_GROUPS, "group_id int, field string, pos int")
+    g = spark.createDataFrame([(1, "1-URGENT", 0), (2, "AUTOMOBILE", 0), (2, "BUILDING", 1)],
+                              "group_id int, field string, pos int")
     return synth.coverage_gaps(_patients(spark, sf_dir), recorded_flags(spark, sf_dir), g)
 
 
@@ -239,7 +242,7 @@ WHERE r_name NOT IN ('ASIA', 'EUROPE')
 def remainder_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET2: nations (config fields) outside the chosen regions (groups)."""
     n, r = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
-    nr = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    nr = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     cfg = nr.select(F.col("n_name").alias("field"))
     groups = nr.where(F.col("r_name").isin("ASIA", "EUROPE")).select(
         F.col("r_regionkey").alias("group_id"), F.col("n_name").alias("field"))

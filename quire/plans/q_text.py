@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,9 +165,9 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, md5(array_to_string(l, chr(10)
 """)
 def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
-    kept = F.filter(F.split("text", "\n"), lambda x: T.ws_trim(x) != "")
-    return d.select("doc_id", F.size(kept).cast("long").alias("n_lines"),
-                    F.md5(F.array_join(kept, "\n")).alias("text_md5"))
+    kept = textops.drop_blank_lines("text")
+    return d.select("doc_id", F.when(kept == "", 0).otherwise(F.size(F.split(kept, "\n"))).cast("long").alias("n_lines"),
+                    F.md5(kept).alias("text_md5"))
 
 
 @register("token_totals", oracle=r"""
@@ -173,10 +175,32 @@ SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS tokens FRO
 """)
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
-    count = textops.token_counter(len)  # character-count encoder through the Arrow path
+    count = textops.token_counter()
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(count("text")).alias("tokens"))
 
 
+@register("token_words", oracle=r"""
+SELECT lang, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'))) AS BIGINT) AS tokens FROM documents GROUP BY lang
+""")
+def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF1: a tokenizer of the caller, through the Arrow path."""
+    pattern = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r\f\v]")
+    count = textops.token_counter(lambda text: len(pattern.findall(text)))
+    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(count("text")).alias("tokens"))
+
+
+@register("normal_lines", oracle=r"""
+SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(replace(html, chr(10), ' '), '>'),
+         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')) AS lines_md5
+FROM pages
+""")
+def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL17: what stands between tags, as stripped non-blank lines."""
+    p = read_table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("\n"), F.lit(" ")))
+    lines = T.normalise_lines(F.replace("html", F.lit(">"), F.lit("\n")))
+    return p.select("page_id", F.md5(F.array_join(lines, "|")).alias("lines_md5"))
+
+
 @register("token_preview", oracle=r"""
 SELECT doc_id, md5(array_to_string(list_slice(list_filter(list_transform(string_split(text, chr(10)),
          lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1, 5), chr(10))) AS preview_md5

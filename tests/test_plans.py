@@ -9,7 +9,7 @@ catalog.load_all()
 QUERIES = catalog.QUERIES
 # Python stages are allowed only where a model call, a tile join or a
 # numpy step is the operator itself.
-PYTHON_OK = {"chunk_reassemble", "token_totals", "cosine_edges", "dbscan", "dbscan_border",
+PYTHON_OK = {"chunk_reassemble", "token_words", "cosine_edges", "dbscan", "dbscan_border",
              "noise_count", "jaccard_pairs", "dbscan_names", "cluster_representative", "section_report", "report_html"}
 
 

@@ -117,8 +117,12 @@ def test_udf_surface(spark):
     d = spark.createDataFrame([(1, "ab cd"), (2, "")], "id int, text string")
     assert [r[0] for r in d.orderBy("id").select(textops.token_counter()("text")).collect()] == [5, 0]
     assert [r[0] for r in d.orderBy("id").select(textops.token_counter(len)("text")).collect()] == [5, 0]
-    enc = udfs.local_encoder()
-    assert enc is None or enc("a b") >= 1
+    try:
+        assert udfs.local_encoder()("a b") >= 1
+    except AssertionError:
+        raise
+    except Exception:  # no cached vocabulary here: it says so instead of counting something else
+        pass
     e = udfs.embed(d, "text", encoder=lambda ts: np.array([[len(t), 1.0] for t in ts]))
     vecs = {r["id"]: r["embedding"] for r in e.collect()}
     assert abs(sum(x * x for x in vecs[1]) - 1) < 1e-6
