@@ -175,5 +175,5 @@ def ordered_dedup(rows: DataFrame, group_cols: Sequence[str], item_col: str,
     items = scan.row_number(items, group_cols, ["_first", item_col], "item_pos")
     groups = rows.groupBy(*group_cols).agg(first.alias("_gfirst"))
     groups = scan.row_number(groups, list(sheet_cols), ["_gfirst", *group_cols], "group_pos")
-    return (items.join(groups.drop("_gfirst"), group_cols)
+    return (scan.join_null_safe(items, groups.drop("_gfirst"), group_cols, "inner")
             .select(*group_cols, "group_pos", item_col, "item_pos"))

@@ -93,13 +93,6 @@ def tree_array(tree=None) -> Column:
         for p, lab, sc, sp, isc, sub in tree_rows(tree=tree)])
 
 
-def tree_frame(spark: SparkSession, variant: str = "Relationship") -> DataFrame:
-    tree = (VARIANTS.get(variant) or DEFAULT_VARIANT)[1]
-    return spark.createDataFrame(
-        tree_rows(tree=tree),
-        "row_pos int, label string, scale string, scale_pos int, is_scale boolean, sub_pos int")
-
-
 # SCL1 - SCL5 --------------------------------------------------------------------
 def parse_headers(reports: DataFrame, text_col: str = "text") -> DataFrame:
     """Rater header per report: test date, relationship, form type, label."""
@@ -183,6 +176,9 @@ def combined_table(reports: DataFrame, scores: DataFrame, patient_col: str, rate
     scale tree inlined, so the patient x tree product is never shuffled.
     ``raters`` fixes the column order (e.g. newest first, SRT1).
     """
+    # of several scores of one rater for a label the highest is shown; use
+    # combined_long for a column per report
+    scores = scores.groupBy(patient_col, rater_col, "label").agg(F.max("t_score").alias("t_score"))
     maps = scores.groupBy(patient_col, rater_col).agg(
         F.map_from_entries(F.collect_list(F.struct("label", F.col("t_score").cast("string"))))
         .alias("_m"))
@@ -199,6 +195,37 @@ def combined_table(reports: DataFrame, scores: DataFrame, patient_col: str, rate
     return rows.select(patient_col, "row_pos", "label", *cells)
 
 
+def combined_long(reports: DataFrame, scores: DataFrame, patient_col: str, report_col: str,
+                  label_col: str = "rater_label", pos_col: str = "report_pos", trees: DataFrame | None = None,
+                  tree=None) -> DataFrame:
+    """AGG15 in long form: ``(patient, rater_pos, rater label, row_pos, label,
+    display)``, a row for every report of a patient, newest first, and every row
+    of the patient's scale tree.  No report is left out, whoever the rater is,
+    and two reports of one rater stay two.
+
+    With ``trees`` (see :func:`scale_union`, grouped by patient) the tree is the
+    union over the patient's reports; otherwise it is the fixed ``tree``.
+    """
+    ranked = rater_order(reports, [patient_col], label_col, pos_col) \
+        .select(patient_col, report_col, label_col, F.col("rater_pos"))
+    if trees is None:
+        cells = ranked.select("*", F.inline(tree_array(tree))).select(*ranked.columns, "row_pos", "label", "scale")
+    else:
+        u = scale_union(trees, [patient_col])
+        row = [F.col("scale_rank"), F.coalesce("sub_rank", F.lit(0).cast("long"))]
+        rows = u.select(patient_col, "scale", F.col("scale").alias("label"), row[0].alias("_a"),
+                        F.lit(0).cast("long").alias("_b")).unionByName(
+            u.where(F.col("subscale").isNotNull()).select(patient_col, "scale", F.col("subscale").alias("label"),
+                                                          row[0].alias("_a"), row[1].alias("_b"))).distinct()
+        rows = scan.row_number(rows, [patient_col], ["_a", "_b", "label"], "_n") \
+            .select(patient_col, "scale", "label", (F.col("_n") - 1).alias("row_pos"))
+        cells = ranked.join(rows, patient_col).select(*ranked.columns, "row_pos", "label", "scale")
+    best = scores.groupBy(patient_col, report_col, "label").agg(F.max("t_score").alias("_t"))
+    shown = score_display(F.coalesce(F.col("_t").cast("string"), F.lit(MISSING)), is_adaptive_scale(F.col("scale")), MISSING)
+    return (cells.join(best, [patient_col, report_col, "label"], "left")
+            .select(patient_col, "rater_pos", label_col, "row_pos", "label", shown.alias("display")))
+
+
 # AGG14 -------------------------------------------------------------------------------
 def scale_union(trees: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Union of scale trees over reports, first-seen order, no duplicates.
@@ -211,7 +238,7 @@ def scale_union(trees: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     subs = trees.where(F.col("subscale").isNotNull()).groupBy(*g, "scale", "subscale").agg(
         F.min(F.struct("report_pos", "sub_pos")).alias("_f"))
     subs = scan.row_number(subs, [*g, "scale"], ["_f", "subscale"], "sub_rank")
-    return (scales.drop("_f").join(subs.drop("_f"), [*g, "scale"], "left")
+    return (scan.join_null_safe(scales.drop("_f"), subs.drop("_f"), [*g, "scale"], "left")
             .select(*g, "scale", "scale_rank", "subscale", "sub_rank"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import records
+from quire.operators import cluster, records
 from quire.plans import scan
 from quire.plans.catalog import register
 from quire.session import read_table
@@ -217,3 +217,62 @@ FROM f JOIN u ON f.user_id = u.user_id
 def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     return records.ordered_dedup(e, ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@register("section_sheet", oracle="""
+WITH x AS (
+  SELECT CASE user_id % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'two' END AS sheet, event_id AS pos,
+         CASE WHEN event_id % 5 = 0 THEN 'S' || CAST(event_id % 3 AS VARCHAR) ELSE 'V' || CAST(event_id % 7 AS VARCHAR) END AS item,
+         CASE WHEN event_id % 41 = 0 THEN 'A, B' WHEN event_id % 43 = 0 THEN 'C' END AS sec
+  FROM events WHERE event_id % 17 <> 0 OR event_id % 5 = 0),
+f AS (SELECT sheet, pos, item, coalesce(last_value(sec IGNORE NULLS) OVER (
+        PARTITION BY sheet ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unclassified') AS secs FROM x),
+e AS (SELECT sheet, pos, item, trim(unnest(string_split(secs, ','))) AS section,
+             unnest(range(len(string_split(secs, ',')))) AS p FROM f),
+g AS (SELECT sheet, section, row_number() OVER (PARTITION BY sheet ORDER BY min(pos * 10 + p)) AS group_pos FROM e GROUP BY 1, 2),
+i AS (SELECT sheet, section, item, row_number() OVER (PARTITION BY sheet, section ORDER BY min(pos * 10 + p)) AS item_pos
+      FROM e GROUP BY 1, 2, 3)
+SELECT coalesce(i.sheet, 'none') AS sheet, i.section, g.group_pos, i.item, i.item_pos
+FROM i JOIN g ON g.sheet IS NOT DISTINCT FROM i.sheet AND g.section = i.section
+""")
+def section_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN1: several sheets, one of them without a name; rows without an item set no section."""
+    e, n = read_table(spark, sf_dir, "events"), F.col("event_id")
+    empty = (n % 17 == 0) & (n % 5 != 0)
+    sheet = e.select(
+        F.when(F.col("user_id") % 3 == 0, "one").when(F.col("user_id") % 3 == 1, "two").alias("sheet"),
+        n.alias("row"), F.when(empty, " ").otherwise(F.concat(F.lit("V"), (n % 7).cast("string"))).alias("Variable"),
+        F.when(n % 5 == 0, F.concat(F.lit("S"), (n % 3).cast("string"))).alias("Sub Variable"),
+        F.when(n % 41 == 0, "A, B").when(n % 43 == 0, "C").alias("Report Section"))
+    s = records.section_sheet(sheet, sheet_col="sheet")
+    return s.select(F.coalesce("sheet", F.lit("none")).alias("sheet"), "section", "group_pos", "item", "item_pos")
+
+
+@register("null_group_scans", oracle="""
+WITH e AS (SELECT event_id, value, event_type, CASE WHEN user_id % 3 <> 0 THEN user_id END AS u FROM events)
+SELECT event_id, row_number() OVER w AS rn, count(*) FILTER (WHERE event_type = 'click') OVER w AS clicks,
+       last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS signup,
+       lag(event_id) OVER (PARTITION BY u ORDER BY event_id) AS prev
+FROM e WINDOW w AS (PARTITION BY u ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def null_group_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ordered scans where the key of a third of the users is null."""
+    e = read_table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("u"))
+    kind = F.col("event_type")
+    e = scan.row_number(e, ["u"], ["event_id"], "rn")
+    e = scan.running_sum(e, ["u"], ["event_id"], F.when(kind == "click", 1).otherwise(0).cast("long"), "clicks")
+    e = scan.forward_fill(e, ["u"], ["event_id"], F.when(kind == "signup", F.col("event_id")), "signup")
+    e = scan.previous_value(e, ["u"], ["event_id"], F.col("event_id"), "prev")
+    return e.select("event_id", "rn", "clicks", "signup", "prev")
+
+
+@register("flag_matrix", oracle="""
+SELECT DISTINCT o_custkey AS patient_id, o_orderpriority AS feature FROM orders WHERE o_orderstatus = 'F'
+""")
+def flag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ17: true flags alone become indicators; null and false ones don't."""
+    o = read_table(spark, sf_dir, "orders")
+    flags = o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("field"),
+                     F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("is_true"))
+    return cluster.flag_matrix(flags)

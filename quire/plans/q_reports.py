@@ -53,7 +53,29 @@ def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.collect_sections(requested, answers, ["conv_id"])
 
 
-@register("report_html")
+_SECTION = "'<section id=\"section-' || CAST(id AS VARCHAR) || '\"><h2>' || section || '</h2><pre>' || text || '</pre></section>'"
+_LINK = "'<li><a href=\"#section-' || CAST(id AS VARCHAR) || '\">' || section || '</a></li>'"
+
+
+@register("report_html", oracle=f"""
+WITH d AS (SELECT conv_id, role AS section, arg_max(text, turn) AS data FROM conversations GROUP BY 1, 2),
+req AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (SELECT * FROM (VALUES ('assistant', 0), ('user', 1), ('system', 2), ('summary', 3)) AS t(section, id)),
+x AS (
+  SELECT req.conv_id, s.section, s.id,
+    CASE WHEN d.data IS NULL THEN 'Missing'
+         WHEN ({PROMPT_OVERHEAD} + length(d.data)) % 2 = 1
+           THEN 'Error: odd prompt of ' || CAST({PROMPT_OVERHEAD} + length(d.data) AS VARCHAR) || ' characters'
+         ELSE 'ANSWER ' || CAST({PROMPT_OVERHEAD} + length(d.data) AS VARCHAR) END AS text
+  FROM req CROSS JOIN s LEFT JOIN d ON d.conv_id = req.conv_id AND d.section = s.section),
+h AS (
+  SELECT conv_id, '<!DOCTYPE html><html><head><meta charset="UTF-8"><title>Report</title></head><body>'
+    || '<table><tr><th>Name</th><td>Conversation ' || CAST(conv_id AS VARCHAR) || '</td></tr><tr><th>Date of birth</th><td>N/A</td></tr>'
+    || '<tr><th>Dates of service</th><td>N/A</td></tr><tr><th>Age</th><td>Unknown</td></tr></table><nav><ul>'
+    || string_agg({_LINK}, '' ORDER BY id) || '</ul></nav>' || string_agg({_SECTION}, '' ORDER BY id) || '</body></html>' AS html
+  FROM x GROUP BY conv_id)
+SELECT conv_id, md5(html) AS html_md5, CAST(length(html) AS INT) AS n_chars FROM h
+""")
 def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ15 + SCL26: lead section first, empty ones skipped, one HTML per conversation."""
     requested, answers = _section_answers(spark, sf_dir)
@@ -75,3 +97,25 @@ def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     nnz = F.size(F.filter("embedding", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("doc_id", nnz.alias("nnz"), F.round(norm, 4).alias("norm"))
+
+
+def _letter_shares(texts: list[str]):
+    import numpy as np
+
+    return np.array([[t.count(c) for c in "aeio"] for t in texts], dtype=float)
+
+
+@register("embed_injected", oracle="""
+WITH c AS (SELECT doc_id, [length(text) - length(replace(text, 'a', '')), length(text) - length(replace(text, 'e', '')),
+                           length(text) - length(replace(text, 'i', '')), length(text) - length(replace(text, 'o', ''))] AS v
+           FROM documents),
+x AS (SELECT doc_id, unnest(v) AS v, unnest(range(4)) AS i FROM c)
+SELECT doc_id, CAST(i AS INT) AS i,
+       round(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 0), 0), 3) AS x FROM x
+""")
+def embed_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF4 with an encoder of the caller: unit vectors come back."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = udfs.embed(d, "text", encoder=_letter_shares)
+    return e.select("doc_id", F.posexplode("embedding").alias("i", "x")).select(
+        "doc_id", "i", F.round(F.col("x").cast("double"), 3).alias("x"))

@@ -146,6 +146,58 @@ def combined_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      has("N").alias("n_n"), has("R").alias("n_r"))
 
 
+@register("combined_cells", oracle=SEVERITY_SQL.replace("r AS (SELECT DISTINCT", """o AS (
+  SELECT l_orderkey, l_returnflag AS rater,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(min(l_shipdate) AS DATE) DESC, l_returnflag) AS rater_pos
+  FROM lineitem GROUP BY 1, 2),
+r AS (SELECT DISTINCT""", 1) + """
+SELECT rater_pos, label, coalesce(CAST(v AS VARCHAR) || CASE WHEN adaptive THEN '*' ELSE '' END, 'n/a') AS display,
+       count(*) AS n
+FROM t JOIN o ON o.l_orderkey = t.l_orderkey AND o.rater = t.rater GROUP BY 1, 2, 3
+""")
+def combined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG15, long form: every cell of every report, newest report first."""
+    li = read_table(spark, sf_dir, "lineitem")
+    _, s = _rater_scores(spark, sf_dir)
+    label = F.concat(F.date_format(F.min("l_shipdate"), "M/d/yyyy"), F.lit(", (Mother)"))
+    reports = li.groupBy("l_orderkey", F.col("l_returnflag").alias("rater")).agg(label.alias("rater_label")) \
+        .withColumn("report_pos", F.ascii("rater"))
+    cells = scores.combined_long(reports, s, "l_orderkey", "rater")
+    return cells.groupBy("rater_pos", "label", "display").agg(F.count("*").alias("n"))
+
+
+def _labels_sql(labels) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in labels) + "]"
+
+
+@register("score_zip_forms", oracle=f"""
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, [18, 20, 25][l_linenumber % 3 + 1] AS k,
+         CASE WHEN l_returnflag = 'R' THEN {_labels_sql(scores.OTHER_LABELS)}
+              ELSE {_labels_sql(scores.PARENT_LABELS)} END AS labels FROM lineitem),
+x AS (SELECT labels, q, unnest(range(CAST(least(k, len(labels)) AS BIGINT))) AS pos FROM r)
+SELECT labels[pos + 1] AS label, CAST(pos AS INT) AS pos, count(*) AS n_scores, CAST(sum(q + pos) AS BIGINT) AS sum_scores
+FROM x GROUP BY 1, 2
+""")
+def score_zip_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6 with 18, 20 and 25 numbers for both forms: labels differ by form and
+    numbers beyond the labels are cut."""
+    li = read_table(spark, sf_dir, "lineitem")
+    teacher = F.col("l_returnflag") == "R"
+    k = F.get(F.array(F.lit(18), F.lit(20), F.lit(25)), F.col("l_linenumber") % 3)
+    numbers = F.transform(F.sequence(F.lit(0), k - 1), lambda i: (F.col("l_quantity").cast("int") + i).cast("string"))
+    text = F.concat(
+        F.lit("Behavior Assessment System for Children "),
+        F.when(teacher, F.lit("Teacher Rating Scales")).otherwise(F.lit("Parent Rating Scales")),
+        F.lit(" Test Date: 1/2/2020"), F.when(teacher, F.lit(" Rater Position: ")).otherwise(F.lit(" Relationship: ")),
+        F.lit("M Age: 9 Norm Group 1: General VALIDITY INDEX SUMMARY General Combined "),
+        F.array_join(numbers, " "), F.lit(" Percentile 50"))
+    r = scores.parse_headers(li.select("l_orderkey", "l_linenumber", text.alias("text")))
+    z = scores.zip_scores(r, ["l_orderkey", "l_linenumber"])
+    return z.groupBy("label", "pos").agg(F.count("*").alias("n_scores"),
+                                         F.sum(F.col("t_score").cast("long")).alias("sum_scores"))
+
+
 @register("rater_order", oracle="""
 SELECT o_custkey, o_orderkey,
        row_number() OVER (PARTITION BY o_custkey

@@ -55,7 +55,7 @@ def _edges(seg: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     return lo.union(hi).distinct()
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys`` with nulls equal; the keys come out once."""
     named = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
                          *[c for c in right.columns if c not in keys])
@@ -75,10 +75,10 @@ def _scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     w_local = Window.partitionBy(SEG, *g).orderBy(*_cols(o))
     loc = shared_table(seg.withColumn("_local", local(w_local)))
     edges = F.broadcast(_edges(loc, g))  # at most two rows a segment
-    summ = _null_safe(loc, edges, [SEG, *g], "inner").groupBy(SEG, *g).agg(summary.alias("_sum"))
+    summ = join_null_safe(loc, edges, [SEG, *g], "inner").groupBy(SEG, *g).agg(summary.alias("_sum"))
     w_seg = Window.partitionBy(*g).orderBy(SEG)
     car = summ.select(SEG, *g, carry(w_seg).alias("_carry"))
-    res = _null_safe(loc, F.broadcast(car), [SEG, *g], "left")
+    res = join_null_safe(loc, F.broadcast(car), [SEG, *g], "left")
     return res.withColumn(out, combine(F.col("_local"), F.col("_carry"))) \
         .drop("_v", "_local", "_carry", SEG)
 

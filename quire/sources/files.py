@@ -73,11 +73,6 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
                     F.posexplode("_fields").alias("field_pos", "field"))
 
 
-def template_fields(template: DataFrame) -> DataFrame:
-    """Flat list of the template's field names."""
-    return template.select("field").distinct()
-
-
 # SRC3, SRC8 ------------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = ()) -> None:

@@ -10,7 +10,8 @@ QUERIES = catalog.QUERIES
 # Python stages are allowed only where a model call, a tile join or a
 # numpy step is the operator itself.
 PYTHON_OK = {"chunk_reassemble", "token_words", "cosine_edges", "dbscan", "dbscan_border",
-             "noise_count", "jaccard_pairs", "dbscan_names", "cluster_representative", "section_report", "report_html"}
+             "noise_count", "jaccard_pairs", "dbscan_names", "cluster_representative", "section_report", "report_html",
+             "embed_injected"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
