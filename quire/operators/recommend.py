@@ -38,8 +38,11 @@ def parse_answers(answers: DataFrame, file_col: str = "file", text_col: str = "t
 
 
 def answer_rejects(answers: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
-    return (parse_answers(answers, file_col, text_col).where(F.col("json").isNull())
-            .select(file_col, F.lit("no valid JSON block without '$defs'").alias("reason")))
+    """``(file, reason)`` of the answers that give no recommendation rows."""
+    reason = (F.when(F.col("json").isNull(), "no valid JSON block without '$defs'")
+              .when(F.col("themes").isNull(), "themes is not a list"))
+    return (parse_answers(answers, file_col, text_col).select(file_col, reason.alias("reason"))
+            .where(F.col("reason").isNotNull()))
 
 
 def flatten_themes(answers: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:

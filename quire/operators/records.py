@@ -63,6 +63,16 @@ def extract_sections(fields: DataFrame, template: DataFrame, sections: Sequence[
             .select(id_col, "section", "field", "value", "section_pos", "field_pos"))
 
 
+def empty_sections(fields: DataFrame, template: DataFrame, sections: Sequence[str],
+                   id_col: str = "record_id") -> DataFrame:
+    """``(record, section)``: requested sections of which a record has no field,
+    unknown ones included (:func:`extract_sections` has no row for them)."""
+    asked = F.explode(F.array(*[F.lit(s) for s in dict.fromkeys(sections)]).cast("array<string>")).alias("section")
+    every = fields.select(id_col).distinct().select(id_col, asked)
+    return every.join(extract_sections(fields, template, sections, id_col).select(id_col, "section").distinct(),
+                      [id_col, "section"], "left_anti")
+
+
 # PRJ4 -------------------------------------------------------------------------
 def invert_template(template: DataFrame) -> DataFrame:
     """field -> section; a field listed in several sections keeps the last."""

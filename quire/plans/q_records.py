@@ -14,6 +14,7 @@ from quire.operators import cluster, records
 from quire.plans import scan
 from quire.plans.catalog import register
 from quire.session import read_table
+from quire.sources import files
 
 # An extra template row that never occurs in the data.
 EXTRA_SECTION = ("OTHER", 99, "ATLANTIS", 99)
@@ -276,3 +277,64 @@ def flag_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("field"),
                      F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("is_true"))
     return cluster.flag_matrix(flags)
+
+
+def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per event, of several shapes, some of them no record."""
+    e, n = read_table(spark, sf_dir, "events"), F.col("event_id")
+    text = (F.when(n % 7 == 0, F.concat(F.lit("{broken "), F.col("props")))
+            .when(n % 7 == 1, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+            .when(n % 7 == 2, F.lit("{}"))
+            .when(n % 7 == 3, F.lit('{"A": true, "B": "true", "C": false, "D": 0, "E": 1, "patient_id": "x"}'))
+            .otherwise(F.col("props")))
+    return e.select(n.alias("patient_id"), text.alias("json"))
+
+
+@register("json_records", oracle="""
+WITH e AS (SELECT event_id AS patient_id, event_id % 7 AS m, CAST(props ->> '$.k' AS INT) AS k FROM events)
+SELECT patient_id, 'k' AS field, k = 1 AS is_true, CASE WHEN k <> 0 THEN CAST(k AS VARCHAR) END AS value FROM e WHERE m > 3
+UNION ALL
+SELECT patient_id, f.field, f.is_true, f.value FROM e, (VALUES ('A', true, NULL), ('B', false, 'true'), ('C', false, NULL),
+  ('D', false, NULL), ('E', true, '1')) AS f(field, is_true, value) WHERE m = 3
+""")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: JSON true and the string "true" stay apart."""
+    return files.flags_from_json(_json_records(spark, sf_dir))
+
+
+@register("json_rejects", oracle="""
+SELECT event_id AS patient_id, ['not valid JSON', 'not an object', 'no field'][event_id % 7 + 1] AS reason
+FROM events WHERE event_id % 7 < 3
+""")
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.json_rejects(_json_records(spark, sf_dir))
+
+
+@register("nested_mapped", oracle=f"""
+WITH {T_SQL}
+SELECT CAST(c_custkey AS VARCHAR) AS record_id, section, field, CASE WHEN c_nationkey = field_pos THEN c_mktsegment END AS value,
+       CAST(dense_rank() OVER (PARTITION BY c_custkey ORDER BY section_pos) - 1 AS INT) AS section_pos,
+       CAST(row_number() OVER (PARTITION BY c_custkey, section ORDER BY field_pos) - 1 AS INT) AS field_pos
+FROM customer, t
+""")
+def nested_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3 nested: mapped records written as JSON and read back, in order."""
+    c = read_table(spark, sf_dir, "customer")
+    fields = c.join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("record_id"), F.col("n_name").alias("field"), F.col("c_mktsegment").alias("value"))
+    mapped = records.project_template(fields, region_template(spark, sf_dir))
+    text = files.nested_records(mapped).select(F.concat(F.lit("["), "json", F.lit("]")).alias("t"))
+    return files.flatten_mapped(text.select(files.mapped_from_json("t").alias("nested")))
+
+
+@register("empty_sections", oracle="""
+SELECT c_custkey AS record_id, s.section FROM customer JOIN nation ON n_nationkey = c_nationkey
+JOIN region ON r_regionkey = n_regionkey, (VALUES ('ASIA'), ('EUROPE'), ('NOWHERE')) AS s(section)
+WHERE s.section <> r_name
+""")
+def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ3: requested sections that a record has nothing for, unknown ones too."""
+    c = read_table(spark, sf_dir, "customer")
+    fields = c.join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("record_id"), F.col("n_name").alias("field"), F.col("c_mktsegment").alias("value"))
+    return records.empty_sections(fields, region_template(spark, sf_dir), ["ASIA", "EUROPE", "NOWHERE"])

@@ -225,12 +225,12 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("answer_rejects", oracle="""
 SELECT 'e' || CAST(event_id AS VARCHAR) || '.json' AS file,
-       'no valid JSON block without ''$defs''' AS reason
-FROM events WHERE event_type = 'error'
+       CASE WHEN event_type = 'error' THEN 'no valid JSON block without ''$defs''' ELSE 'themes is not a list' END AS reason
+FROM events
 """)
 def answer_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL12 reject table: error events answer with a schema block and a
-    broken block only."""
+    broken block only, the others with a block that has no themes."""
     e = read_table(spark, sf_dir, "events")
     good = F.concat(F.lit("final ```json\n"), F.col("props"), F.lit("\n```"))
     decoys = '```json\n{"$defs": {"a": 1}}\n``` draft ```json {not json} ``` '

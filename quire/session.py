@@ -61,12 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, until :func:`clear_shared`."""
+    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written once into the shared folder and read back: all later uses
     see the same rows, also after the loss of an executor.  The table lives
     until :func:`clear_shared`."""
     spark = df.sparkSession
-    path = f"{_shared_root(spark)}/{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

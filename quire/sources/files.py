@@ -9,6 +9,7 @@ single-file writes on the driver.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,11 +45,27 @@ def read_record_folder(spark: SparkSession, data_dir: str, file: str = "form.jso
     Values go through VARIANT so JSON ``true`` and the string ``"true"``
     stay apart: ``is_true`` is a boolean true or the number 1 (pandas
     ``== True``); ``value`` keeps strings and other numbers as text (NULL
-    for booleans and zero, which are falsy).  Unparsable files give no rows.
+    for booleans and zero, which are falsy).  Unparsable files give no rows
+    (see :func:`read_record_rejects`).
     """
-    raw = (spark.read.text(f"{data_dir.rstrip('/')}/*/{file}", wholetext=True)
-           .select(_parent(_path()).alias(id_col), F.try_parse_json("value").alias("_v")))
-    m = raw.select(id_col, F.try_variant_get("_v", "$", "map<string,variant>").alias("_m"))
+    return flags_from_json(_record_files(spark, data_dir, file, id_col), id_col)
+
+
+def read_record_rejects(spark: SparkSession, data_dir: str, file: str = "form.json",
+                        id_col: str = "patient_id") -> DataFrame:
+    """``(patient_id, reason)`` of the record files that give no record (files
+    without a byte are not listed by Spark's readers and so not reported)."""
+    return json_rejects(_record_files(spark, data_dir, file, id_col), id_col)
+
+
+def _record_files(spark: SparkSession, data_dir: str, file: str, id_col: str) -> DataFrame:
+    return (spark.read.text(f"{data_dir.rstrip('/')}/*/{file}", wholetext=True)
+            .select(_parent(_path()).alias(id_col), F.col("value").alias("json")))
+
+
+def flags_from_json(records: DataFrame, id_col: str = "patient_id", json_col: str = "json") -> DataFrame:
+    """SRC1's rule on ``(id, json)`` rows; see :func:`read_record_folder`."""
+    m = records.select(id_col, F.try_variant_get(F.try_parse_json(json_col), "$", "map<string,variant>").alias("_m"))
     e = m.select(id_col, F.explode("_m").alias("field", "_x")).where(F.col("field") != id_col)
     t = F.schema_of_variant("_x")
     num = t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
@@ -62,6 +79,16 @@ def read_record_folder(spark: SparkSession, data_dir: str, file: str = "form.jso
     return e.select(id_col, "field", is_true.alias("is_true"), value.alias("value"))
 
 
+def json_rejects(records: DataFrame, id_col: str = "patient_id", json_col: str = "json") -> DataFrame:
+    """Records that :func:`flags_from_json` has no row for, with the reason."""
+    v = F.try_parse_json(json_col)
+    m = F.try_variant_get(v, "$", "map<string,variant>")
+    fields = F.filter(F.map_keys(m), lambda k: k != id_col)
+    reason = (F.when(F.col(json_col).isNull() | v.isNull(), "not valid JSON")
+              .when(m.isNull(), "not an object").when(F.size(fields) == 0, "no field"))
+    return records.select(id_col, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 # SRC2 ---------------------------------------------------------------------------
 def read_template(spark: SparkSession, path: str) -> DataFrame:
     """JSON ``{section: [field, ...]}`` -> ``(section, section_pos, field, field_pos)``,
@@ -161,22 +188,65 @@ def source_type(name: Column | str, tags: Sequence[str] = SOURCE_TAGS) -> Column
     return out
 
 
+# SRC3, nested form ------------------------------------------------------------------
+NESTED_SCHEMA = "array<struct<patient_id: string, mapped_data: map<string, map<string, string>>>>"
+
+
+def mapped_from_json(text: Column | str) -> Column:
+    """The array of nested records ``{patient_id, mapped_data: {section: {field:
+    value}}}`` in a JSON text; null if it isn't one."""
+    return F.from_json(F.col(text) if isinstance(text, str) else text, NESTED_SCHEMA)
+
+
+def flatten_mapped(nested: DataFrame, nested_col: str = "nested", id_col: str = "record_id") -> DataFrame:
+    """Nested records to ``(record, section, field, value, section_pos, field_pos)``."""
+    r = nested.select(F.explode(nested_col).alias("_r"))
+    s = r.select(F.col("_r.patient_id").alias(id_col), F.posexplode("_r.mapped_data").alias("section_pos", "section", "_f"))
+    return s.select(id_col, "section", F.posexplode("_f").alias("field_pos", "field", "value"), "section_pos") \
+        .select(id_col, "section", "field", "value", "section_pos", "field_pos")
+
+
+def read_nested_mapped(spark: SparkSession, path: str, id_col: str = "record_id") -> DataFrame:
+    """Files that each hold one array of nested records."""
+    raw = spark.read.text(path, wholetext=True).select(mapped_from_json("value").alias("nested"))
+    return flatten_mapped(raw, "nested", id_col)
+
+
+def nested_records(mapped: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """``(record, json)``: each record in the nested form, sections and fields in
+    their order, null values kept as null."""
+    fields = mapped.groupBy(id_col, "section").agg(
+        F.min("section_pos").alias("_p"),
+        F.array_sort(F.collect_list(F.struct("field_pos", "field", "value"))).alias("_f"))
+    entry = F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"], x["value"])))
+    data = fields.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_p", "section"))).alias("_o"),
+                                      F.map_from_entries(F.collect_list(F.struct("section", entry))).alias("_d"))
+    ordered = F.map_from_entries(F.transform("_o", lambda x: F.struct(x["section"], F.element_at("_d", x["section"]))))
+    return data.select(id_col, F.to_json(F.struct(F.col(id_col).cast("string").alias("patient_id"),
+                                                  ordered.alias("mapped_data")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 # SRC15 -----------------------------------------------------------------------------
 def read_config_sheet(spark: SparkSession, path: str, skip_rows: int = 2,
                       columns: Sequence[str] = ("Variable", "n", "count")) -> DataFrame:
     """CSV config sheet after ``skip_rows`` heading rows; the next row is the
     header; wanted columns missing from the sheet become NULL.  ``pos`` is
-    the row position (single file, read in order)."""
-    raw = spark.read.option("header", False).csv(path).withColumn(
-        "_i", F.monotonically_increasing_id())
-    rows = raw.where(F.col("_i") >= skip_rows)
-    header = rows.orderBy("_i").limit(1).collect()
-    if not header:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", pos long")
-    names = {c: (header[0][c] or "").strip() for c in raw.columns if c != "_i"}
-    body = rows.where(F.col("_i") > header[0]["_i"])
-    sel = [F.col("_i").alias("pos")]
-    for want in columns:
-        src = next((c for c, n in names.items() if n == want), None)
-        sel.append((F.col(src) if src else F.lit(None).cast("string")).alias(want))
-    return body.select(*sel)
+    the row position (single file, read in order; a cell holds no line break)."""
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    return sheet_rows(raw, skip_rows, columns)
+
+
+def sheet_rows(lines: DataFrame, skip_rows: int = 2, columns: Sequence[str] = ("Variable", "n", "count")) -> DataFrame:
+    """SRC15's rule on ``(pos, line)`` rows of a sheet, blank lines included, so
+    that they count as rows: the header is row ``skip_rows``, counted from 0 (one
+    row comes to the driver); blank lines after it are no data."""
+    head = lines.where(F.col("pos") == skip_rows).limit(1).collect()
+    empty = [F.lit(None).cast("string").alias(c) for c in columns]
+    if not head:
+        return lines.where(F.lit(False)).select("pos", *empty)
+    names = [(x or "").strip() for x in next(csv.reader([head[0]["line"] or ""]), [])]
+    schema = ", ".join(f"_c{i} string" for i in range(max(1, len(names))))
+    body = lines.where((F.col("pos") > skip_rows) & (F.trim("line") != "")).select(
+        "pos", F.from_csv("line", schema).alias("_r"))
+    return body.select("pos", *[
+        (F.col(f"_r._c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in columns])

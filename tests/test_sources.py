@@ -136,3 +136,43 @@ def test_record_folder_numeric_one_is_true(spark, tmp_dir):
     write(tmp_dir, "P9/form.json", json.dumps({"A": 1, "B": 2, "C": False}))
     got = rows(files.read_record_folder(spark, tmp_dir), "field", "is_true", "value")
     assert got == [("A", True, "1"), ("B", False, "2"), ("C", False, None)]
+
+
+def test_record_rejects(spark, tmp_dir):
+    for name, text in (("P1", '{"A": true}'), ("P2", "{broken"), ("P3", "[1]"), ("P4", '{"patient_id": "x"}'), ("P5", " ")):
+        write(tmp_dir, f"{name}/form.json", text)
+    assert rows(files.read_record_rejects(spark, tmp_dir)) == [
+        ("P2", "not valid JSON"), ("P3", "not an object"), ("P4", "no field"), ("P5", "not valid JSON")]
+    assert rows(files.read_record_folder(spark, tmp_dir), "patient_id", "field") == [("P1", "A")]
+
+
+def test_nested_records_round_trip(spark, tmp_dir):
+    write(tmp_dir, "all.json", json.dumps([
+        {"patient_id": "P1", "mapped_data": {"Zoo": {"b": "1", "a": None}, "Art": {}}},
+        {"patient_id": "P2", "mapped_data": {"Art": {"x": "é \"q\""}}}], indent=4))
+    m = files.read_nested_mapped(spark, os.path.join(tmp_dir, "all.json"))
+    got = rows(m, "record_id", "section_pos", "section", "field_pos", "field", "value")
+    assert got == [("P1", 0, "Zoo", 0, "b", "1"), ("P1", 0, "Zoo", 1, "a", None), ("P2", 0, "Art", 0, "x", 'é "q"')]
+    back = dict(rows(files.nested_records(m), "record_id", "json"))
+    assert json.loads(back["P1"]) == {"patient_id": "P1", "mapped_data": {"Zoo": {"b": "1", "a": None}}}
+
+
+def test_blank_rows_keep_the_header_in_place(spark, tmp_dir):
+    write(tmp_dir, "b.csv", "title,,\n\nVariable,count,n\n\n\"A, b\",13,x\nAge,6 - 18,\n")
+    c = files.read_config_sheet(spark, os.path.join(tmp_dir, "b.csv"))
+    assert [tuple(r) for r in c.orderBy("pos").collect()] == [(4, "A, b", "x", "13"), (5, "Age", None, "6 - 18")]
+    write(tmp_dir, "e.csv", "only\n")
+    assert files.read_config_sheet(spark, os.path.join(tmp_dir, "e.csv")).count() == 0
+
+
+def test_report_names_with_quotes(spark, tmp_dir):
+    m = spark.createDataFrame([(0, "O'Brien_1.json", "rest", 0), (0, 'Lee "x"_2.json', "rest more", 1), (0, "D'A \"q\"_3.json", "r", 2)],
+                              "cluster_id int, file string, recommendation string, idx int")
+    reps = spark.createDataFrame([(0, "rest")], "cluster_id int, representative string")
+    path = os.path.join(tmp_dir, "quoted")
+    recommend.write_report(recommend.report_lines(m, cluster.cluster_summary(m), reps), path)
+    lines = [r[0] for r in spark.read.text(path).collect()]
+    assert recommend.TITLE in lines and """Providers in cluster: ["O'Brien", 'Lee "x"', 'D\\'A "q"']""" in lines
+    clusters, counts = recommend.parse_report(spark, path)
+    assert clusters.first()["providers"] == ["O'Brien", 'Lee "x"', "D'A \"q\""]
+    assert sorted(r["n"] for r in counts.collect()) == [1, 1, 1]
