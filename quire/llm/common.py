@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_dir
+from quire.session import shared_path, shared_table  # noqa: F401  (for the operators)
 
 # Fixed value: what separates words (ASCII white space).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -45,20 +44,6 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, salt: str) -> DataFram
     return df if n <= rows else df.where(hash_fraction(key, salt=salt) < F.lit(rows / n))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared checkpoint folder and read it back:
-    a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def batch_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values, a small slice at a time."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch_rows, record_batches, shared_table, words
-from quire.llm.components import connected_components
+from quire.operators.graph import connected_components
 
 # Different fingerprints in one segment bucket up to which its pairs are made.
 BUCKET_PAIRS = 128
@@ -154,7 +154,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: in
     fps = shared_table(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(links(fps, bits, bucket_pairs), "a", "b")
-    of = shared_table(nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    of = shared_table(nodes.join(roots, nodes["fp"] == roots["v"], "left")
                       .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     low = of.groupBy("root").agg(F.min("least").alias("component"))
     return fps.join(of.join(low, "root").select("fp", "root", "component"), "fp")

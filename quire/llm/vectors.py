@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import hash_fraction, shared_table
-from quire.llm.components import connected_components
+from quire.operators.graph import connected_components
 
 CELL = 4096  # vectors of a label for each pivot; also home vectors of a tile
 PIVOTS = 64  # most pivots of a label (about: they are chosen by a hash)
@@ -153,7 +153,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     roots = connected_components(found, "node", "root")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of = (counted.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    of = (counted.join(roots.withColumnRenamed("v", "member"), F.col("node") == F.col("member"), "left")
           .select("node", "links", F.coalesce("root", "node").alias("component")))
     per_group = groups.join(of, "node")
     linked = valid.join(per_group, ["label", "v"]).select(

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from quire.llm import simhash
-from quire.llm.components import connected_components
+from quire.operators.graph import connected_components
 
 
 def brute_components(values, linked):
@@ -65,14 +65,14 @@ def test_links_connect_what_brute_force_connects(spark):
         edges = simhash.links(table, 2, bucket_pairs=limit)
         for r in edges.collect():
             assert bin((r["a"] ^ r["b"]) % (1 << 64)).count("1") <= 2
-        found = {r["node"]: r["root"] for r in connected_components(edges, "a", "b").collect()}
+        found = {r["v"]: r["root"] for r in connected_components(edges, "a", "b").collect()}
         assert {v: found.get(v, v) for v in values} == wanted
 
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)],
                                   "a long, b long")
-    found = {r["node"]: r["root"] for r in connected_components(edges, "a", "b").collect()}
+    found = {r["v"]: r["root"] for r in connected_components(edges, "a", "b").collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
