@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.dates import date_before_comma
-from quire.functions.text import (between_markers, is_adaptive_scale, number_run, numeric_score,
-                                  rater_label, rater_relationship, rater_type, score_display,
-                                  severity_band, test_date)
+from quire.functions.text import (
+    between_markers, html_escape, is_adaptive_scale, number_run,
+    numeric_score, rater_label, rater_relationship, rater_type,
+    score_display, severity_band, test_date,
+)
 from quire.plans import scan
 from quire.plans.barrier import with_computed
 
@@ -60,6 +62,17 @@ SCORE_SPAN = ("VALIDITY INDEX SUMMARY", "Percentile")
 # Plot split: positions after this composite are the adaptive part.
 PROFILE_SPLIT_AFTER = "Behavioral Symptoms Index"
 MISSING = "n/a"
+# Cell colours of the score table by (severity, adaptive scale), and its notes.
+CELL_STYLES = {
+    ("significant", True): "background-color: darkblue; color: white;",
+    ("at risk", True): "background-color: lightblue; color: black;",
+    ("significant", False): "background-color: red; color: white;",
+    ("at risk", False): "background-color: orange; color: white;",
+}
+HIGHER_NOTE = ("Higher scores represent greater endorsed concerns (scores above 60 are considered “at risk” "
+               "and above 70 are considered clinically significant)")
+REVERSED_NOTE = ("*Reverse scored, such that lower scores reflect greater endorsed concerns (scores below 40 are considered "
+                 "“at risk,” and below 30 are considered of significant concern)")
 # -----------------------------------------------------------------------------
 
 VARIANTS = {"Relationship": (PARENT_LABELS, PARENT_TREE)}
@@ -199,7 +212,7 @@ def combined_long(reports: DataFrame, scores: DataFrame, patient_col: str, repor
                   label_col: str = "rater_label", pos_col: str = "report_pos", trees: DataFrame | None = None,
                   tree=None) -> DataFrame:
     """AGG15 in long form: ``(patient, rater_pos, rater label, row_pos, label,
-    display)``, a row for every report of a patient, newest first, and every row
+    is_scale, display, style)``, a row for every report of a patient, newest first, and every row
     of the patient's scale tree.  No report is left out, whoever the rater is,
     and two reports of one rater stay two.
 
@@ -221,9 +234,37 @@ def combined_long(reports: DataFrame, scores: DataFrame, patient_col: str, repor
             .select(patient_col, "scale", "label", (F.col("_n") - 1).alias("row_pos"))
         cells = ranked.join(rows, patient_col).select(*ranked.columns, "row_pos", "label", "scale")
     best = scores.groupBy(patient_col, report_col, "label").agg(F.max("t_score").alias("_t"))
-    shown = score_display(F.coalesce(F.col("_t").cast("string"), F.lit(MISSING)), is_adaptive_scale(F.col("scale")), MISSING)
+    adaptive = is_adaptive_scale(F.col("scale"))
+    shown = score_display(F.coalesce(F.col("_t").cast("string"), F.lit(MISSING)), adaptive, MISSING)
+    band = severity_band(F.col("_t").cast("string"), adaptive)
+    style = F.coalesce(*[F.when((band == b) & (adaptive == a), F.lit(c)) for (b, a), c in CELL_STYLES.items()], F.lit(""))
     return (cells.join(best, [patient_col, report_col, "label"], "left")
-            .select(patient_col, "rater_pos", label_col, "row_pos", "label", shown.alias("display")))
+            .select(patient_col, "rater_pos", label_col, "row_pos", "label", (F.col("label") == F.col("scale")).alias("is_scale"),
+                    shown.alias("display"), style.alias("style")))
+
+
+def score_table_html(cells: DataFrame, patient_col: str, title: Column, label_col: str = "rater_label") -> DataFrame:
+    """SCL26: ``(patient, html)``, the score table of every patient from the rows
+    of :func:`combined_long`: a column per report, newest first, scales in bold,
+    subscales indented, cells coloured by severity.  One report gives the single
+    table.  ``title`` is an expression over the patient column; texts are escaped.
+    """
+    def cell(x: Column) -> Column:
+        return F.concat(F.lit('<td style="text-align: center; '), x["style"], F.lit('">'), html_escape(x["display"]), F.lit("</td>"))
+
+    def row(x: Column) -> Column:
+        name = F.when(x["is_scale"], F.concat(F.lit("<td><strong>"), html_escape(x["label"]), F.lit("</strong></td>"))) \
+            .otherwise(F.concat(F.lit('<td style="padding-left: 20px;">'), html_escape(x["label"]), F.lit("</td>")))
+        return F.concat(F.lit("<tr>"), name, F.array_join(F.transform(x["c"], cell), ""), F.lit("</tr>"))
+
+    rows = cells.groupBy(patient_col, "row_pos", "label", "is_scale").agg(
+        F.array_sort(F.collect_list(F.struct("rater_pos", "display", "style", F.col(label_col).alias("head")))).alias("c"))
+    per = rows.groupBy(patient_col).agg(F.array_sort(F.collect_list(F.struct("row_pos", "label", "is_scale", "c"))).alias("r"))
+    heads = F.array_join(F.transform(F.col("r")[0]["c"], lambda x: F.concat(F.lit("<th>"), html_escape(x["head"]), F.lit("</th>"))), "")
+    return per.select(patient_col, F.concat(
+        F.lit("<h1>"), html_escape(title), F.lit("</h1><p>" + HIGHER_NOTE + "</p><table><thead><tr><th>Scales</th>"), heads,
+        F.lit("</tr></thead><tbody>"), F.array_join(F.transform("r", row), ""),
+        F.lit("</tbody></table><p>" + REVERSED_NOTE + "</p>")).alias("html"))
 
 
 # AGG14 -------------------------------------------------------------------------------

@@ -157,13 +157,46 @@ FROM t JOIN o ON o.l_orderkey = t.l_orderkey AND o.rater = t.rater GROUP BY 1, 2
 """)
 def combined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15, long form: every cell of every report, newest report first."""
+    return _cells(spark, sf_dir).groupBy("rater_pos", "label", "display").agg(F.count("*").alias("n"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     _, s = _rater_scores(spark, sf_dir)
     label = F.concat(F.date_format(F.min("l_shipdate"), "M/d/yyyy"), F.lit(", (Mother)"))
     reports = li.groupBy("l_orderkey", F.col("l_returnflag").alias("rater")).agg(label.alias("rater_label")) \
         .withColumn("report_pos", F.ascii("rater"))
-    cells = scores.combined_long(reports, s, "l_orderkey", "rater")
-    return cells.groupBy("rater_pos", "label", "display").agg(F.count("*").alias("n"))
+    return scores.combined_long(reports, s, "l_orderkey", "rater")
+
+
+@register("score_table_html", oracle=SEVERITY_SQL.replace("r AS (SELECT DISTINCT", """o AS (
+  SELECT l_orderkey, l_returnflag AS rater, strftime(min(l_shipdate), '%-m/%-d/%Y') || ', (Mother)' AS head,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(min(l_shipdate) AS DATE) DESC, l_returnflag) AS rater_pos
+  FROM lineitem GROUP BY 1, 2),
+r AS (SELECT DISTINCT""", 1) + """,
+c AS (SELECT o.l_orderkey, o.rater_pos, o.head, p.row_pos, t.label,
+             p.label IN ('Externalizing Problems', 'Internalizing Problems', 'Behavioral Symptoms Index', 'Adaptive Skills') AS is_scale,
+             '<td style="text-align: center; ' ||
+             CASE WHEN t.adaptive AND v <= 30 THEN 'background-color: darkblue; color: white;'
+                  WHEN t.adaptive AND v <= 40 THEN 'background-color: lightblue; color: black;'
+                  WHEN NOT t.adaptive AND v >= 70 THEN 'background-color: red; color: white;'
+                  WHEN NOT t.adaptive AND v >= 60 THEN 'background-color: orange; color: white;' ELSE '' END || '">' ||
+             coalesce(CAST(v AS VARCHAR) || CASE WHEN t.adaptive THEN '*' ELSE '' END, 'n/a') || '</td>' AS td
+      FROM t JOIN o ON o.l_orderkey = t.l_orderkey AND o.rater = t.rater JOIN tree p ON p.label = t.label),
+w AS (SELECT l_orderkey, row_pos, '<tr>' || CASE WHEN is_scale THEN '<td><strong>' || label || '</strong></td>'
+               ELSE '<td style="padding-left: 20px;">' || label || '</td>' END || string_agg(td, '' ORDER BY rater_pos) || '</tr>' AS tr,
+             string_agg('<th>' || head || '</th>', '' ORDER BY rater_pos) AS heads
+      FROM c GROUP BY l_orderkey, row_pos, label, is_scale)
+SELECT l_orderkey, md5('<h1>Report ' || CAST(l_orderkey AS VARCHAR) || '</h1><p>' || '""" + scores.HIGHER_NOTE + """'
+  || '</p><table><thead><tr><th>Scales</th>' || min(heads) || '</tr></thead><tbody>' || string_agg(tr, '' ORDER BY row_pos)
+  || '</tbody></table><p>' || '""" + scores.REVERSED_NOTE + """' || '</p>') AS html_md5
+FROM w GROUP BY l_orderkey
+""")
+def score_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL26: the combined score table of every order as HTML."""
+    title = F.concat(F.lit("Report "), F.col("l_orderkey").cast("string"))
+    html = scores.score_table_html(_cells(spark, sf_dir), "l_orderkey", title)
+    return html.select("l_orderkey", F.md5("html").alias("html_md5"))
 
 
 def _labels_sql(labels) -> str:
