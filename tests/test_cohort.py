@@ -1,6 +1,7 @@
 """Cohort queries on fixture F3 (values read from the reference's rules)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import cohort
 from tests.conftest import rows
@@ -123,3 +124,15 @@ def test_cohort_matches_rule(spark, records, terms):
     crit = cohort.parse_cohort_text(spark.createDataFrame([(1, query)], "cohort_id int, query string"))
     got = [r[0] for r in rows(cohort.cohort_members(flags, crit, tmpl), "patient_id")]
     assert got == _cohort_rule(records, TEMPLATE, query)
+
+
+def test_many_criteria_and_empty_queries(spark):
+    n = 120_000
+    flags = spark.createDataFrame([("p1", "f5", True, None), ("p2", "f6", None, "x")], "patient_id string, field string, is_true boolean, value string")
+    crit = spark.range(n).select(F.col("id").cast("int").alias("cohort_id"), F.lit(0).alias("clause_id"), F.lit("OR").alias("kind"),
+                                 F.concat(F.lit("f"), "id").alias("field"))
+    asked = spark.createDataFrame([(5,), (6,), (7,), (-1,)], "cohort_id int")
+    got = cohort.cohort_members(flags, crit, crit.select("field"), asked)
+    assert rows(got, "cohort_id", "patient_id") == [(-1, "p1"), (-1, "p2"), (5, "p1"), (6, "p2")]
+    fields = spark.createDataFrame([("f5",), ("f9",)], "field string")
+    assert rows(cohort.flag_counts(flags, fields), "field", "n_patients") == [("f5", 1), ("f9", 0)]

@@ -106,3 +106,12 @@ def test_merge_sources_and_routing(spark):
     got = rows(records.merge_sources(typed, "source_file"), "record_id", "section", "field", "value")
     # the later file name (byte order: 'epic...' after 'X_...') wins
     assert got == [("p", "S", "f", "new")]
+
+
+def test_large_templates_have_a_result(spark):
+    n = 60_000
+    t = spark.range(n).select(F.lit("S").alias("section"), F.lit(0).alias("section_pos"),
+                              F.concat(F.lit("f"), "id").alias("field"), F.col("id").cast("int").alias("field_pos"))
+    f = spark.createDataFrame([("r1", "f7", "x", 0), ("r2", "none", "y", 0)], "record_id string, field string, value string, ord int")
+    out = records.project_template(f, t)
+    assert out.count() == 2 * n and [tuple(r) for r in out.where("value IS NOT NULL").select("record_id", "field", "value").collect()] == [("r1", "f7", "x")]

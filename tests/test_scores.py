@@ -104,3 +104,29 @@ def test_profile_split(spark):
         "scale string, scale_pos int, subscale string, sub_pos int")
     p = scores.profile_positions(tree).collect()
     assert {r["split_at"] for r in p} == {12}  # composite at position 11
+
+
+def test_combined_long_over_the_union_tree(spark):
+    reports = spark.createDataFrame(
+        [("P", "r1", "1/2/2020, (Mother)", 0), ("P", "r2", "3/4/2021, (Mother)", 1), ("P", "r3", "no date", 2), ("Q", "q1", "1/1/2020, (x)", 0)],
+        "patient string, report string, rater_label string, report_pos int")
+    values = spark.createDataFrame([("P", "r1", "a", "71"), ("P", "r2", "a", "50"), ("P", "r2", "a", "61"), ("P", "r3", "b", "7"), ("Q", "q1", "z", "1")],
+                                   "patient string, report string, label string, t_score string")
+    trees = spark.createDataFrame(
+        [("P", 0, "S", 0, "a", 0), ("P", 1, "S", 0, "b", 0), ("P", 1, "T", 1, "c", 0), ("Q", 0, "U", 0, "z", 0)],
+        "patient string, report_pos int, scale string, scale_pos int, subscale string, sub_pos int")
+    got = scores.combined_long(reports, values, "patient", "report", trees=trees)
+    p = got.where("patient = 'P'").orderBy("rater_pos", "row_pos").collect()
+    assert [r["label"] for r in p if r["rater_pos"] == 1] == ["S", "a", "b", "T", "c"]
+    cells = {(r["rater_pos"], r["label"]): r["display"] for r in p}
+    assert len(p) == 15 and (cells[1, "a"], cells[2, "a"], cells[3, "b"], cells[3, "c"]) == ("61", "71", "7", "n/a")
+    assert {r["rater_label"] for r in p if r["rater_pos"] == 1} == {"3/4/2021, (Mother)"}
+    assert rows(got.where("patient = 'Q'"), "row_pos", "label", "display") == [(0, "U", "n/a"), (1, "z", "1")]
+    html = {r["patient"]: r["html"] for r in scores.score_table_html(got, "patient", F.lit("<T>")).collect()}
+    assert "&lt;T&gt;" in html["P"] and html["P"].count("<tr>") == 6 and "background-color: red" in html["P"]
+
+
+def test_two_reports_of_one_rater_do_not_stop_the_table(spark):
+    values = spark.createDataFrame([("P", "M", "Anxiety", 50), ("P", "M", "Anxiety", 60)], "patient string, rater string, label string, t_score int")
+    wide = scores.combined_table(values.select("patient", "rater"), values, "patient", "rater", ["M"])
+    assert {r["M"] for r in wide.where("label = 'Anxiety'").collect()} == {"60"}
