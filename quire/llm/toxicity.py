@@ -3,14 +3,14 @@
 Words and their stems (leading letters), counted once a document, get log-odds
 between toxic and clean training documents under a Dirichlet prior (the pooled
 counts, ``prior`` pseudo-tokens) and keep what is beyond ``z`` standard errors
-of them.  A token scores the highest odds of its stems, its k-th repetition a
-k-th of that, and every token costs ``drift``, so that clean text drifts
+of them.  A token scores the highest odds of its stems, wherever and however
+often it occurs, and every token costs ``drift``, so that clean text drifts
 downwards.  A linear scan finds all maximal scoring
 segments of a document.  The scale of their scores under clean text (the
 positive root of the moment equation) turns a score into an E-value for the
 document's length; segments with E below ``e_value`` are significant passages.
-The summed surprise of a document's passages is calibrated to a probability
-on the training documents.
+The summed surprise of a document's passages, in which a word's k-th mention
+weighs a k-th, is calibrated to a probability on the training documents.
 """
 
 from __future__ import annotations
@@ -97,24 +97,38 @@ class Model:
             known[token] = max((self.odds[x] for x in stems(token) if x in self.odds), default=0.0)
         return known[token]
 
-    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], int]:
-        """Significant ``(first, last, score, e_value)`` by token, and the number of tokens."""
+    def _scan(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], list[str], list[float]]:
+        """Significant ``(first, last, score, e_value)`` by token, the tokens and their odds."""
         found, known = tokens(text), self._known
         odds = [known[t] if t in known else self._token_odds(t, known) for t in found]
         places = [k for k, x in enumerate(odds) if x]
-        if not places:
-            return [], len(found)
-        times: Counter = Counter()  # odds are of documents: a word's k-th time tells a k-th as much
-        for k in places:
-            times[found[k]] += 1
-            odds[k] /= times[found[k]]
         segments = maximal_segments(places, [odds[k] for k in places], self.drift)
         expected = ((a, b, s, self.rate * len(found) * math.exp(-self.decay * s)) for a, b, s in segments)
-        return [x for x in expected if x[3] < self.e_value], len(found)
+        return [x for x in expected if x[3] < self.e_value], found, odds
+
+    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], int]:
+        """Significant ``(first, last, score, e_value)`` by token, and the number of tokens."""
+        significant, found, _ = self._scan(text)
+        return significant, len(found)
 
     def surprise(self, text: str | None) -> float:
-        """Logarithm of the summed -ln E of the passages (0: none)."""
-        return math.log1p(sum(-math.log(max(e, 1e-300)) for *_, e in self.passages(text)[0]))
+        """Logarithm of the summed -ln E of the passages (0: none).
+
+        Odds are of documents, so a passage weighs as much as its words are new:
+        a word's k-th mention in the passages counts a k-th of its odds.
+        """
+        significant, found, odds = self._scan(text)
+        times: Counter = Counter()
+        total = 0.0
+        for first, last, _, e in significant:
+            whole = fresh = 0.0
+            for k in range(first, last + 1):
+                if odds[k] > 0:
+                    times[found[k]] += 1
+                    whole += odds[k]
+                    fresh += odds[k] / times[found[k]]
+            total -= math.log(max(e, 1e-300)) * fresh / whole
+        return math.log1p(total)
 
     def probability(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * self.surprise(text) + self.offset))))

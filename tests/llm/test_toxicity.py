@@ -85,3 +85,15 @@ def test_without_labels_nothing_is_toxic(spark):
     assert toxicity.without_toxic(docs, model).count() == docs.count()
     empty = docs.where("false")
     assert toxicity.passages(empty, toxicity.fit(empty, labels, train=F.lit(True))).count() == 0
+
+
+def test_repeated_passages_are_all_found():
+    model = toxicity.Model({"vile": 6.0, "rotten": 5.0}, 0.5, 1.0, 0.001, 0.05, 1.0, 0.0)
+    once = ["plain"] * 300 + ["vile", "rotten"]
+    for copies in (1, 2, 50):
+        found, n = model.passages(" ".join(once * copies + ["plain"] * 300))
+        assert n == 302 * copies + 300
+        assert [(a, b) for a, b, *_ in found] == [(302 * k + 300, 302 * k + 301) for k in range(copies)]
+        assert {s for _, _, s, _ in found} == {10.0}
+    surprises = [model.surprise(" ".join((once * k + ["plain"] * 302 * (3 - k)))) for k in (0, 1, 2, 3)]
+    assert surprises[0] == 0 and surprises == sorted(set(surprises))
