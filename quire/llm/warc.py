@@ -8,8 +8,11 @@ The reader walks through the members (or the records of an uncompressed file).
 Where a check fails (member checksum, version line, header, lengths, digests,
 record end) it looks for the next gzip member or version line from which a
 whole record can be read, goes on there, and logs the bytes in between as a
-quarantined gap with the reason.  A file is read in one piece, so the writer
-bounds the records of a file (``FILE_RECORDS``).
+quarantined gap with the reason.  Inside a member it does the same over the
+unpacked bytes; of a cut or damaged member those before the fault are read, and
+where the member is damaged a record counts as whole only if a digest proves it.
+A file is read in one piece, so the writer bounds the records of a file
+(``FILE_RECORDS``).
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FULL_LENGTH = "X-Payload-Length"
 _CHUNK = 1 << 14
 _END = b"\r\n\r\n"
+_CUT, _DAMAGED = "member cut off", "member damaged"
 
 
 def payload_digest(payload: Column) -> Column:
@@ -107,7 +111,11 @@ def write(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", file_r
 
 @dataclass(frozen=True)
 class Found:
-    """A record (``headers`` set) or a quarantined gap (``reason`` set) of a file."""
+    """A record (``headers`` set) or a quarantined gap (``reason`` set) of a file.
+
+    Inside a gzip member, start and end are the member's (up to what can be read
+    next, if it isn't whole); a gap's reason names the unpacked bytes.
+    """
 
     start: int
     end: int
@@ -120,8 +128,9 @@ class _Damage(Exception):
     pass
 
 
-def _parse(data: memoryview, start: int, limit: int) -> tuple[int, dict[str, str], bytes]:
-    """A whole record at ``start``: its end, headers and block."""
+def _parse(data: memoryview, start: int, limit: int, proof: bool = False) -> tuple[int, dict[str, str], bytes]:
+    """A whole record at ``start``: its end, headers and block.  With ``proof``
+    it must have a digest."""
     if bytes(data[start:start + len(_VERSION)]) != _VERSION:
         raise _Damage("no version line")
     size = 1024
@@ -146,16 +155,22 @@ def _parse(data: memoryview, start: int, limit: int) -> tuple[int, dict[str, str
     if bytes(data[stop:stop + len(_END)]) != _END:
         raise _Damage("no record end")
     block = bytes(data[begin:stop])
-    _check(headers, "warc-block-digest", block)
+    proved = _check(headers, "warc-block-digest", block)
     if headers["warc-type"] == "response":
-        _check(headers, "warc-payload-digest", payload_of(headers, block))
+        proved = _check(headers, "warc-payload-digest", payload_of(headers, block)) or proved
+    if proof and not proved:
+        raise _Damage("no digest to prove the record")
     return stop + len(_END), headers, block
 
 
-def _check(headers: dict[str, str], name: str, data: bytes) -> None:
+def _check(headers: dict[str, str], name: str, data: bytes) -> bool:
+    """Whether there is a digest to check (it is right then)."""
     kind, _, value = headers.get(name, "").partition(":")
-    if kind.lower() == "sha1" and value != base64.b32encode(hashlib.sha1(data).digest()).decode():
+    if kind.lower() != "sha1":
+        return False
+    if value != base64.b32encode(hashlib.sha1(data).digest()).decode():
         raise _Damage(f"wrong {name}")
+    return True
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -165,46 +180,98 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block.partition(_END)[2]
 
 
-def _unpack(data: memoryview, start: int) -> tuple[int, bytes]:
-    """A whole gzip member at ``start``: its end and contents (checksum tested)."""
-    unpacker, parts, at = zlib.decompressobj(31), [], start
+def _unpack(data: memoryview, start: int, limit: int) -> tuple[int, bytes, str | None]:
+    """The gzip member at ``start``: its end, contents and fault.  A whole member
+    (checksum tested) has none; of another one the contents are what unpacks
+    before the fault, and the end is where that is."""
+    unpacker, parts, at, step = zlib.decompressobj(31), [], start, _CHUNK
+    while not unpacker.eof:
+        if at >= limit:
+            return at, b"".join(parts), _CUT
+        before = unpacker.copy()
+        try:
+            parts.append(unpacker.decompress(data[at:min(at + step, limit)]))
+            at = min(at + step, limit)
+        except zlib.error:
+            if step == 1:
+                parts.extend(_last_bytes(before, bytes(data[at:at + 1])))
+                return at, b"".join(parts), _DAMAGED
+            unpacker, step = before, max(1, step // 16)
+    return at - len(unpacker.unused_data), b"".join(parts), None
+
+
+def _last_bytes(unpacker, data: bytes) -> Iterator[bytes]:
+    """What still unpacks before the fault that is in ``data``."""
     try:
-        while not unpacker.eof:
-            if at >= len(data):
-                raise _Damage("member cut off")
-            parts.append(unpacker.decompress(data[at:at + _CHUNK]))
-            at = min(at + _CHUNK, len(data))
+        while part := unpacker.decompress(data, 1):
+            yield part
+            data = unpacker.unconsumed_tail
     except zlib.error:
-        raise _Damage("member damaged") from None
-    return at - len(unpacker.unused_data), b"".join(parts)
+        return
 
 
-def _read_at(data: memoryview, start: int) -> tuple[int, list[Found]]:
-    """Everything of the member or record at ``start``, and where it ends."""
-    if bytes(data[start:start + len(_MEMBER)]) == _MEMBER:
-        end, inside = _unpack(data, start)
-        view, at, found = memoryview(inside), 0, []
-        while at < len(inside):
-            at, headers, block = _parse(view, at, len(inside))
-            found.append(Found(start, end, headers, block))
-        return end, found
-    end, headers, block = _parse(data, start, len(data))
-    return end, [Found(start, end, headers, block)]
+def _inside(contents: bytes, start: int, end: int, fault: str | None) -> Iterator[Found]:
+    """All whole records of a member's contents, and the gaps between them, in
+    order; the last gap is the member's fault, if it has one."""
+    view, at, size, proof = memoryview(contents), 0, len(contents), fault == _DAMAGED
+    while at < size:
+        try:
+            stop, headers, block = _parse(view, at, size, proof)
+            yield Found(start, end, headers, block)
+        except _Damage as damage:
+            stop = _next_version(contents, view, at + 1, proof)
+            if stop == size and fault:
+                break
+            yield Found(start, end, reason=f"{damage} (unpacked bytes {at} to {stop})")
+        at = stop
+    if fault:
+        yield Found(start, end, reason=f"{fault} (unpacked bytes {at} to {size})" if size else fault)
+
+
+def _next_version(contents: bytes, view: memoryview, start: int, proof: bool) -> int:
+    """The next place of a member's contents from which a whole record can be read, or the end."""
+    while (start := contents.find(_VERSION, start)) >= 0:
+        try:
+            _parse(view, start, len(contents), proof)
+            return start
+        except _Damage:
+            start += 1
+    return len(contents)
 
 
 def salvage(content: bytes) -> Iterator[Found]:
     """All whole records of an archive, and the gaps between them, in order."""
     data, at = memoryview(content), 0
     while at < len(content):
-        try:
-            end, found = _read_at(data, at)
-        except _Damage as damage:
-            end, found = _next(content, data, at + 1), []
-            yield Found(at, end, reason=str(damage))
-        yield from found
+        if bytes(data[at:at + len(_MEMBER)]) == _MEMBER:
+            end, contents, fault = _unpack(data, at, len(content))
+            if fault:
+                stop, end = end, _next(content, data, at + 1)
+                if stop > end:  # it ran into what can be read by itself
+                    _, contents, fault = _unpack(data, at, end)
+            yield from _inside(contents, at, end, fault)
+        else:
+            try:
+                end, headers, block = _parse(data, at, len(content))
+                yield Found(at, end, headers, block)
+            except _Damage as damage:
+                end = _next(content, data, at + 1)
+                yield Found(at, end, reason=str(damage))
         at = end
 
 
+def _readable(data: memoryview, start: int) -> bool:
+    """Whether a whole record, or an empty member, can be read at ``start``."""
+    if bytes(data[start:start + len(_MEMBER)]) == _MEMBER:
+        end, contents, fault = _unpack(data, start, len(data))
+        return not (contents or fault) or any(f.headers for f in _inside(contents, start, end, fault))
+    try:
+        _parse(data, start, len(data))
+        return True
+    except _Damage:
+        return False
+
+
 def _next(content: bytes, data: memoryview, start: int) -> int:
     """The next place from which something whole can be read, or the end."""
     places = {_MEMBER: -2, _VERSION: -2}
@@ -216,11 +283,9 @@ def _next(content: bytes, data: memoryview, start: int) -> int:
         if not ahead:
             return len(content)
         start = min(ahead)
-        try:
-            _read_at(data, start)
+        if _readable(data, start):
             return start
-        except _Damage:
-            start += 1
+        start += 1
 
 
 def read_back(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

@@ -95,3 +95,76 @@ def test_long_payloads_alone_are_revisited(spark, tmp_dir):
     assert plan == {1: None, 2: None, 3: None, 4: 3}
     warc.write(warc.planned(pages.where("false")), f"{tmp_dir}/none")
     assert warc.planned(pages.where("false")).count() == 0
+
+
+def _wide(ids, digests=True):
+    """Records with random payloads, which hardly pack, so that a fault stays where it is."""
+    rng = random.Random(3)
+    found = []
+    for i in ids:
+        payload = rng.randbytes(3_000).hex().encode()
+        r = warc.record(i, f"http://h/{i}", payload, digest(payload), None, "2000-01-01T00:00:00Z")
+        found.append(r if digests else b"\r\n".join(x for x in r.split(b"\r\n") if b"-Digest: " not in x))
+    return found
+
+
+def _kept(data):
+    return [int(i.rpartition(":")[2].strip(">")) for i in _ids(data)]
+
+
+def test_bad_record_inside_a_member():
+    records = _wide(range(6))
+    records[2] = records[2][:-100] + b"#" + records[2][-99:]
+    records[4] = b"garbage\n" + records[4]
+    for data in (warc.member(b"".join(records)), warc.member(b"".join(records)) + warc.member(_records(1)[0])):
+        assert _kept(data)[:5] == [0, 1, 3, 4, 5] and len(_kept(data)) == (5 if data.count(warc._MEMBER) == 1 else 6)
+        gaps = [f.reason for f in warc.salvage(data) if f.reason]
+        at = len(records[0]) + len(records[1])
+        after = sum(map(len, records[:4]))
+        assert gaps == [f"wrong warc-block-digest (unpacked bytes {at} to {at + len(records[2])})",
+                        f"no version line (unpacked bytes {after} to {after + 8})"]
+
+
+def test_cut_or_corrupt_member_keeps_what_unpacks():
+    for digests in (True, False):
+        records = _wide(range(6), digests)
+        whole = b"".join(records)
+        packed = warc.member(whole)
+        tail = warc.member(_records(1)[0])
+        for data in (packed[:len(packed) * 7 // 12], packed[:len(packed) * 7 // 12] + tail):
+            assert _kept(data)[:3] == [0, 1, 2] and len(_kept(data)) == 3 + data.endswith(tail)
+            gaps = [f for f in warc.salvage(data) if f.reason]
+            assert len(gaps) == 1 and gaps[0].reason.startswith(
+                f"member cut off (unpacked bytes {len(whole) // 2} to ")
+        assert _kept(packed[:-8]) == list(range(6))
+    records = _wide(range(6))
+    packed = warc.member(b"".join(records))
+    middle = len(packed) * 7 // 12
+    hurt = packed[:middle] + b"\xff" * 40 + packed[middle + 40:]
+    assert _kept(hurt)[:3] == [0, 1, 2] and 3 not in _kept(hurt) and _kept(hurt + tail)[-1] == 0
+    wrong_sum = packed[:-8] + b"\0\0\0\0" + packed[-4:]
+    assert _kept(wrong_sum) == list(range(6)) and [f.reason for f in warc.salvage(wrong_sum) if f.reason]
+    packed = warc.member(b"".join(_wide(range(6), False)))  # without a digest nothing proves them
+    assert _kept(packed[:-8] + b"\0\0\0\0" + packed[-4:]) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2), st.integers(0, 100_000), st.integers(1, 30), st.sampled_from(["flip", "cut", "add"]))
+def test_damage_to_members_of_several_records(victim, place, size, kind):
+    packs = [warc.member(b"".join(_wide(range(4 * k, 4 * k + 4)))) for k in range(3)]
+    hurt = bytearray(packs[victim])
+    at = place % len(hurt)
+    if kind == "flip":
+        hurt[at:at + size] = bytes(x ^ 0x5A for x in hurt[at:at + size])
+    elif kind == "cut":
+        del hurt[at:at + size]
+    else:
+        hurt[at:at] = b"\x00\xff" * size
+    data = b"".join([*packs[:victim], bytes(hurt), *packs[victim + 1:]])
+    others = [i for i in range(12) if i // 4 != victim]
+    assert [i for i in _kept(data) if i in others] == others
+    blocks = {f.block for k in range(3) for f in warc.salvage(b"".join(_wide(range(4 * k, 4 * k + 4))))}
+    assert all(f.block in blocks for f in warc.salvage(data) if f.headers)
+    # (the payloads pack evenly: what ends well before the damage is there)
+    ahead = [4 * victim + k for k in range(4) if (k + 1) / 4 < at / len(packs[victim]) - 0.05]
+    assert at < 200 or [i for i in _kept(data) if i in ahead] == ahead
