@@ -6,14 +6,17 @@ subdomains, or a host with leading path segments.  Every capture is cut into all
 keys that could cover it, and meets by equality the intervals of these keys that
 are valid when it was fetched.  Intervals are cut along fixed spans of days and
 the span is part of the join key, so that neither long histories nor a host
-with a third of all captures make one large group.  Only built-in functions run.
+with a third of all captures make one large group; for the same reason histories
+are read by segmented scans.  Only built-in functions run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.plans import scan
+
 SPAN_DAYS = 28
 # What the entries say.
 ADD, REMOVE = "add", "remove"
@@ -55,10 +58,15 @@ def intervals(entries: DataFrame, list_col: str = "list", key_col: str = "key",
          .where(F.col("action").isin(ADD, REMOVE)).dropna()
          # one row for each time: the removal, if there is one
          .groupBy("list", "key", "at").agg((F.max("action") == ADD).alias("on")))
-    w = Window.partitionBy("list", "key").orderBy("at")
-    changes = e.withColumn("was", F.lag("on", 1, False).over(w)).where(F.col("on") != F.col("was"))
-    return (changes.withColumn("until", F.lead("at").over(w)).where("on")
-            .select("list", "key", F.col("at").alias("since"), "until"))
+    by = ["list", "key"]
+    changes = (scan.previous_value(e, by, ["at"], F.col("on"), "was")
+               .where(F.col("on") != F.coalesce(F.col("was"), F.lit(False))).drop("was"))
+    # additions and removals take turns: a removal ends what the change before it began
+    changes = scan.previous_value(changes, by, ["at"], F.col("at"), "since")
+    ended = changes.where(~F.col("on")).select(*by, "since", F.col("at").alias("until"))
+    still = (changes.groupBy(*by).agg(F.max(F.struct("at", "on")).alias("last")).where("last.on")
+             .select(*by, F.col("last.at").alias("since"), F.lit(None).cast(e.schema["at"].dataType).alias("until")))
+    return ended.union(still)
 
 
 def _span(at: Column) -> Column:

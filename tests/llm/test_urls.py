@@ -1,7 +1,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from quire.llm import urls
+from quire.plans import scan
 
 DAY = dt.date(2024, 1, 1)
 HOSTS = ["a.com", "x.a.com", "y.x.a.com", "b.org", "ba.com"]
@@ -75,3 +78,22 @@ def test_empty_tables(spark):
     c = spark.createDataFrame([(1, "http://a.com", DAY)], "page_id long, url string, fetched date")
     assert [r["blocked"] for r in urls.evaluate(c, urls.intervals(e)).collect()] == [False]
     assert urls.evaluate(c.where("false"), urls.intervals(e)).count() == 0
+
+
+def test_a_long_history_is_more_than_one_segment(spark, monkeypatch):
+    n, read, write = 2_000, [], scan.shared_table
+
+    def keep(df):
+        written = write(df)
+        read.append([r["count"] for r in written.groupBy(scan.SEG).count().collect()])
+        return written
+
+    monkeypatch.setattr(scan, "shared_table", keep)
+    day = F.date_add(F.lit(DAY), F.col("id").cast("int"))
+    action = F.when(F.col("id") % 2 == 0, "add").otherwise("remove")
+    e = spark.range(2 * n + 1).select(F.lit("block").alias("list"), F.lit("a.com").alias("key"), action.alias("action"),
+                                      day.alias("at"))
+    found = urls.intervals(e).collect()
+    assert sorted((r["since"], r["until"] or dt.date.max) for r in found) == [
+        (DAY + dt.timedelta(2 * k), DAY + dt.timedelta(2 * k + 1) if k < n else dt.date.max) for k in range(n + 1)]
+    assert len(read) == 2 and all(sum(rows) == 2 * n + 1 and max(rows) < 2 * n for rows in read)
