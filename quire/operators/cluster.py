@@ -1,10 +1,8 @@
 """Density clustering and cluster facts (ML4, AGG3 - AGG7, ML1 - ML3, ML5 -
 ML7, PRJ13, PRJ17).
 
-DBSCAN is expressed as graph work on DataFrames: eps-neighbour edges from
-the tiled cosine join, core points by degree, connected components of the core
-graph by star contraction, border points to their lowest-numbered neighbouring
-cluster.  The edges and every round live in the shared folder.
+DBSCAN runs over metric cells: each counts the neighbours of its vectors, then
+returns the connected parts of its core points, which star contraction joins.
 """
 
 from __future__ import annotations
@@ -17,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import provider_from_file
+from quire.operators import metric
 from quire.operators.graph import connected_components
-from quire.operators.similarity import cosine_edges
 from quire.plans import scan
+from quire.plans.hot import join_by_weight
 from quire.session import shared_table
 
 # Fixed values of the reference ------------------------------------------------
@@ -31,44 +30,46 @@ NOISE = -1
 # -------------------------------------------------------------------------------
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
 def dbscan(points: DataFrame, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
-           id_col: str = "id", vec_col: str = "vec", edges: DataFrame | None = None) -> DataFrame:
-    """``(id, cluster_id)``; noise is -1.
+           id_col: str = "id", vec_col: str = "vec", cell: int = metric.CELL) -> DataFrame:
+    """``(id, cluster_id)`` for every row; noise is -1.
 
     Same labels as scikit-learn's DBSCAN on a precomputed cosine distance
     matrix: neighbours within ``eps`` (inclusive) counting the point itself,
     clusters numbered by their smallest core point, a border point joins the
-    lowest-numbered cluster among its core neighbours.
+    lowest-numbered cluster among its core neighbours.  Repeated rows are points
+    of their own.  Rows with a null id, and vectors that are null, empty, zero
+    or hold null or non-finite components are noise.
+
+    Equal vectors are one node with a weight.  Tiles of metric cells give each
+    node its number of neighbours, then the connected parts of core nodes and
+    the few core neighbours of the others: no edge table exists.
     """
-    pts = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    e = edges if edges is not None else cosine_edges(pts, eps, "id", "vec")
-    e = shared_table(e.select("src", "dst"))
-    und = _undirected(e)
-    deg = und.groupBy("src").agg(F.count("*").alias("_n"))
-    core = (pts.select("id").join(deg, pts.id == deg.src, "left")
-            .select("id", ((F.coalesce("_n", F.lit(0)) + 1) >= min_samples).alias("is_core")))
-    core_ids = core.where("is_core").select(F.col("id").alias("v"))
-    core_edges = (e.join(core_ids.withColumnRenamed("v", "src"), "src", "left_semi")
-                  .join(core_ids.withColumnRenamed("v", "dst"), "dst", "left_semi"))
-    linked = connected_components(core_edges).withColumnRenamed("v", "_v")
-    comp = (core_ids.join(linked, F.col("v") == F.col("_v"), "left")
-            .select("v", F.coalesce("root", "v").alias("root")))
-    roots = comp.select("root").distinct()
-    numbered = scan.row_number(roots, [], ["root"], "_rank") \
-        .select("root", (F.col("_rank") - 1).alias("cluster_id"))
-    core_lab = comp.join(numbered, "root").select(F.col("v").alias("id"), "cluster_id")
-    border = (und.join(core_lab.withColumnRenamed("id", "dst"), "dst")
-              .join(core.where(~F.col("is_core")).select(F.col("id").alias("src")), "src")
-              .groupBy("src").agg(F.min("cluster_id").alias("cluster_id"))
-              .withColumnRenamed("src", "id"))
-    lab = core_lab.unionByName(border)
-    return (pts.select("id").join(lab, "id", "left")
-            .select("id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id")))
+    rows = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    fine = rows.where(F.col("id").isNotNull() & metric.usable("v"))
+    groups = fine.groupBy("v").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first"))
+    nodes = shared_table(groups.withColumn("node", F.monotonically_increasing_id()))
+    members = metric.cells(nodes.select("node", "v", "weight"), eps, cell=cell)
+
+    near = metric.by_tile(members, eps, metric.count_kernel, "node long, near long", cell=cell)
+    core = shared_table(near.groupBy("node").agg((F.sum("near") >= min_samples).alias("core")))
+    marked = shared_table(members.join(core, "node"))
+    parts = shared_table(metric.by_tile(marked, eps, metric.part_kernel, "node long, other long, border boolean",
+                                        extra=("core",), cell=cell))
+    linked = connected_components(parts.where(~F.col("border")), "node", "other").withColumnRenamed("v", "_node")
+    of = (core.where("core").join(linked, F.col("node") == F.col("_node"), "left")
+          .select("node", F.coalesce("root", "node").alias("root")))
+    of = shared_table(of.join(nodes.select("node", "first"), "node"))
+    numbered = scan.row_number(of.groupBy("root").agg(F.min("first").alias("first")), [], ["first"], "_rank")
+    core_label = of.join(numbered.select("root", (F.col("_rank") - 1).alias("cluster_id")), "root").select("node", "cluster_id")
+    border = (parts.where("border").join(core_label.withColumnRenamed("node", "other"), "other")
+              .groupBy("node").agg(F.min("cluster_id").alias("cluster_id")))
+    label = core_label.unionByName(border)
+    by_vector = shared_table(nodes.join(label, "node", "left")
+                             .select("v", "weight", F.coalesce("cluster_id", F.lit(NOISE)).cast("long").alias("cluster_id")))
+    rest = rows.where(~(F.col("id").isNotNull() & metric.usable("v")))
+    return (join_by_weight(fine, by_vector, ["v"], "weight").select("id", "cluster_id")
+            .unionByName(rest.select("id", F.lit(NOISE).cast("long").alias("cluster_id"))))
 
 
 # AGG5 -------------------------------------------------------------------------------

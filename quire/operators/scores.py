@@ -177,6 +177,13 @@ def rater_order(reports: DataFrame, group_cols: Sequence[str], label_col: str =
     return scan.row_number(r, group_cols, ["_neg_days", pos_col], out).drop("_neg_days")
 
 
+def highest(score: str) -> Column:
+    """The highest of several scores by number, numbers or texts (as
+    :func:`zip_scores` gives them); a text that is no number is below all."""
+    as_number = F.col(score).cast("string").try_cast("double")
+    return F.max(F.struct(as_number.alias("n"), F.col(score).alias("s")))["s"]
+
+
 # AGG15 -------------------------------------------------------------------------------
 def combined_table(reports: DataFrame, scores: DataFrame, patient_col: str, rater_col: str,
                    raters: Sequence[str], tree=None) -> DataFrame:
@@ -191,7 +198,7 @@ def combined_table(reports: DataFrame, scores: DataFrame, patient_col: str, rate
     """
     # of several scores of one rater for a label the highest is shown; use
     # combined_long for a column per report
-    scores = scores.groupBy(patient_col, rater_col, "label").agg(F.max("t_score").alias("t_score"))
+    scores = scores.groupBy(patient_col, rater_col, "label").agg(highest("t_score").alias("t_score"))
     maps = scores.groupBy(patient_col, rater_col).agg(
         F.map_from_entries(F.collect_list(F.struct("label", F.col("t_score").cast("string"))))
         .alias("_m"))
@@ -233,7 +240,7 @@ def combined_long(reports: DataFrame, scores: DataFrame, patient_col: str, repor
         rows = scan.row_number(rows, [patient_col], ["_a", "_b", "label"], "_n") \
             .select(patient_col, "scale", "label", (F.col("_n") - 1).alias("row_pos"))
         cells = ranked.join(rows, patient_col).select(*ranked.columns, "row_pos", "label", "scale")
-    best = scores.groupBy(patient_col, report_col, "label").agg(F.max("t_score").alias("_t"))
+    best = scores.groupBy(patient_col, report_col, "label").agg(highest("t_score").alias("_t"))
     adaptive = is_adaptive_scale(F.col("scale"))
     shown = score_display(F.coalesce(F.col("_t").cast("string"), F.lit(MISSING)), adaptive, MISSING)
     band = severity_band(F.col("_t").cast("string"), adaptive)

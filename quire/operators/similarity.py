@@ -1,155 +1,141 @@
-"""Exact all-pairs similarity joins by tiles (JN1 Jaccard, JN2 cosine).
-
-An inverted-index self join emits every pair that shares a key, so one
-frequent key (a third of all rows) produces a quadratic burst in one task.
-Instead the items are hashed into ``b`` blocks and every unordered block
-pair ``(i, j)``, ``i <= j``, is one tile: each item is copied into the ``b``
-tiles of its block, and each tile is one ``applyInPandas`` group that does a
-dense numpy product over the items of two blocks.  The number of blocks follows
-the number of items, so that a block holds about ``TILE_ROWS`` of them: work and
-memory of a tile are bounded whatever the key frequencies, and the copy factor
-is ``b``.  Only pairs that pass the threshold leave the tile.
+"""Exact similarity joins: JN1 (Jaccard of sets), JN2 (cosine of vectors).
+
+Neither compares all pairs.  Vectors are cut into metric cells (see
+:mod:`quire.operators.metric`).  Sets are joined on the rarest items of their
+prefixes: two sets with a Jaccard similarity of ``t`` share one of the first
+``n - ceil(t n) + 1`` items of each, in any common order.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators import metric
+from quire.plans.hot import join_by_weight
+from quire.session import shared_table
 
-# Rows of the left side multiplied at once inside a tile (bounds memory).
-ROW_CHUNK = 2048
-
-
-# Items of a block, about (they are dealt by a hash).
-TILE_ROWS = 4096
-
-
-def block_count(items: DataFrame, tile_rows: int = TILE_ROWS) -> int:
-    return max(1, -(-items.count() // tile_rows))
-
-
-def _id_type(df: DataFrame, id_col: str) -> str:
-    return df.schema[id_col].dataType.simpleString()
-
-
-def tiles(items: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    """Copy each item into every tile that contains its block.
-
-    Adds ``_ti <= _tj`` (the tile) and ``_blk`` (the item's own block).
-    """
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-    v = items.withColumn("_blk", blk)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")
-    r = v.select("*", other)
-    return (r.select("*", F.least("_blk", "_other").alias("_ti"),
-                     F.greatest("_blk", "_other").alias("_tj"))
-            .drop("_other"))
+# Sets of a prefix item that are compared in one task, squared; more are split.
+PREFIX_BLOCK = 2048
 
 
 def cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vec",
-                 blocks: int | None = None) -> DataFrame:
-    """Pairs ``(src < dst)`` with cosine distance ``clip(1 - cos, 0, 1) <= eps``.
+                 cell: int = metric.CELL) -> DataFrame:
+    """Pairs ``(src < dst, dist)`` with cosine distance ``clip(1 - cos, 0, 1) <= eps``.
 
-    Vectors are normalised inside the tile (float64), so unit length is
-    not required of the input.
+    Null, empty and zero vectors, those with null or non-finite components, and
+    null ids link with nothing; neither do vectors of different length.  Vectors
+    need not have length one.  Repeated ids are one point (its smallest vector).
     """
-    b = blocks or block_count(vecs)
-    kind = _id_type(vecs, id_col)
-    t = tiles(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")), "id", b)
-
+    points = (vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+              .where(F.col("id").isNotNull() & metric.usable("v")).groupBy("id").agg(F.min("v").alias("v")))
+    # node numbers in the order of the ids: src < dst holds for both
+    ordered = points.repartitionByRange("id").sortWithinPartitions("id")
+    named = shared_table(ordered.withColumn("node", F.monotonically_increasing_id()))
+    members = metric.cells(named.select("node", "v", F.lit(1).cast("long").alias("weight")), eps, cell=cell)
+    found = metric.by_tile(members, eps, metric.pair_kernel, "a long, b long, dist double", cell=cell)
+    names = named.select("node", "id")
+    return (found.join(names.select(F.col("node").alias("a"), F.col("id").alias("src")), "a")
+            .join(names.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst", "dist"))
+
+
+def _prefixes(sets: DataFrame, id_col: str, item_col: str, t: float) -> tuple[DataFrame, DataFrame]:
+    """Sets as sorted token arrays, and one row for each prefix token of each set.
+
+    Tokens are numbers of the items, rarest first.
+    """
+    rows = shared_table(sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))
+                        .where("id IS NOT NULL AND item IS NOT NULL").distinct())
+    items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    ranked = items.repartitionByRange("n", "item").sortWithinPartitions("n", "item")
+    ranked = shared_table(ranked.withColumn("token", F.monotonically_increasing_id()))
+    tokens = join_by_weight(rows, ranked, ["item"], "n").groupBy("id").agg(
+        F.sort_array(F.collect_list("token")).alias("tokens"))
+    whole = shared_table(tokens.withColumn("set", F.monotonically_increasing_id()))
+    n = F.size("tokens")
+    # a little longer than the bound, against rounding
+    length = F.least(n, n - F.ceil(n * t - 1e-9).cast("int") + 1)
+    prefix = whole.select("set", "tokens", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("place", "token"))
+    return whole.select("set", "id"), prefix
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    return np.concatenate(lists), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _verify(t: float):
+    """Pairs of one prefix token's sets.  A pair is looked at only under its
+    smallest common token, and counted only if length and place allow ``t``."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ti, tj = int(pdf["_ti"].iloc[0]), int(pdf["_tj"].iloc[0])
-        ids = pdf["id"].to_numpy()
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]]) if len(pdf) else \
-            np.zeros((0, 0))
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-        blk = pdf["_blk"].to_numpy()
-        left, right = blk == ti, blk == tj
-        li, ri = np.nonzero(left)[0], np.nonzero(right)[0]
-        out_s, out_d, out_x = [], [], []
-        for s in range(0, len(li), ROW_CHUNK):
-            a = li[s:s + ROW_CHUNK]
-            sim = m[a] @ m[ri].T
-            dist = np.clip(1.0 - sim, 0.0, 1.0)
-            ok = dist <= eps
-            aa, bb = np.nonzero(ok)
-            src, dst = ids[a][aa], ids[ri][bb]
-            keep = src < dst if ti == tj else src != dst
-            src, dst, dd = src[keep], dst[keep], dist[aa, bb][keep]
-            lo, hi = np.minimum(src, dst), np.maximum(src, dst)
-            out_s.append(lo)
-            out_d.append(hi)
-            out_x.append(dd)
-        if not out_s:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        return pd.DataFrame({"src": np.concatenate(out_s), "dst": np.concatenate(out_d),
-                             "dist": np.concatenate(out_x)})
-
-    return t.groupBy("_ti", "_tj").applyInPandas(run, f"src {kind}, dst {kind}, dist double")
+        token = pdf["token"].iloc[0]
+        down, across = pdf["down"].iloc[0], pdf["across"].iloc[0]
+        left, right = pdf[pdf["block"] == down], pdf[pdf["block"] == across]
+        lists = [np.asarray(x, dtype=np.int64) for x in right["tokens"]]
+        parts = []
+        if len(left) and len(right):
+            flat, offsets = _flat(lists)
+            vocabulary, flat = np.unique(flat, return_inverse=True)
+            sizes, places, sets = np.diff(offsets), right["place"].to_numpy(), right["set"].to_numpy()
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            earlier = flat < np.searchsorted(vocabulary, token)
+            has = np.zeros(len(vocabulary), dtype=bool)
+            for set_, own, place in zip(left["set"], left["tokens"], left["place"]):
+                own = np.asarray(own, dtype=np.int64)
+                most = np.minimum(len(own) - place, sizes - places)  # common tokens from here on
+                fits = most >= t / (1 + t) * (len(own) + sizes) - 1e-9
+                fits &= np.minimum(sizes, len(own)) >= t * np.maximum(sizes, len(own)) - 1e-9
+                fits &= (sets > set_) if down == across else (sets != set_)
+                if not fits.any():
+                    continue
+                spot = np.searchsorted(vocabulary, own)
+                mine = spot[(spot < len(vocabulary)) & (vocabulary[np.minimum(spot, len(vocabulary) - 1)] == own)]
+                has[mine] = True
+                hit = has[flat]
+                has[mine] = False
+                before = np.bincount(owner[hit & earlier], minlength=len(lists))
+                fits &= before == 0  # others meet under a smaller token
+                if not fits.any():
+                    continue
+                inter = np.bincount(owner[hit], minlength=len(lists))
+                union = len(own) + sizes - inter
+                fits &= inter / union >= t
+                k = np.flatnonzero(fits)
+                parts.append(pd.DataFrame({"a": set_, "b": sets[k], "inter": inter[k], "union": union[k],
+                                           "jaccard": inter[k] / union[k]}))
+        if not parts:
+            return pd.DataFrame({"a": [], "b": [], "inter": [], "union": [], "jaccard": []})
+        return pd.concat(parts)
+    return run
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
-                  min_similarity: float = 0.5, blocks: int | None = None) -> DataFrame:
+                  min_similarity: float = 0.5, block: int = PREFIX_BLOCK) -> DataFrame:
     """Pairs ``(a < b)`` with ``|A & B| / |A | B| >= min_similarity``, with
     intersection and union sizes; the threshold must be positive (at 0 nearly
     all pairs would come out).
 
-    ``sets(id, item)`` is the long form of 0/1 rows; duplicates are removed
-    first.  Items are form
-    fields (a bounded vocabulary), so each tile works on a dense 0/1 matrix
-    of its rows by the items present in the tile, multiplied in row chunks.
+    ``sets(id, item)`` is the long form of 0/1 rows; repeated rows count once,
+    rows with a null id or item not at all.  A prefix item of very many sets is
+    split into blocks of about ``block`` sets, compared two by two.
     """
     if min_similarity <= 0:
         raise ValueError("jaccard_pairs needs a positive threshold")
-    kind = _id_type(sets, id_col)
-    per = (sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))
-           .distinct().groupBy("id").agg(F.collect_list("item").alias("items")))
-    t = tiles(per, "id", blocks or block_count(per))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ti, tj = int(pdf["_ti"].iloc[0]), int(pdf["_tj"].iloc[0])
-        ids = pdf["id"].to_numpy()
-        lists = [list(x) for x in pdf["items"]]
-        vocab = {}
-        rows, cols = [], []
-        for r, items in enumerate(lists):
-            for it in items:
-                rows.append(r)
-                cols.append(vocab.setdefault(it, len(vocab)))
-        mat = np.zeros((len(lists), max(1, len(vocab))), dtype=np.float32)
-        if rows:
-            mat[np.array(rows), np.array(cols)] = 1.0
-        sizes = mat.sum(axis=1)
-        blk = pdf["_blk"].to_numpy()
-        li, ri = np.nonzero(blk == ti)[0], np.nonzero(blk == tj)[0]
-        parts = []
-        for s in range(0, len(li), ROW_CHUNK):
-            a = li[s:s + ROW_CHUNK]
-            inter = mat[a] @ mat[ri].T
-            aa, bb = np.nonzero(inter > 0)
-            src, dst = ids[a][aa], ids[ri][bb]
-            keep = src < dst if ti == tj else src != dst
-            iv = inter[aa, bb][keep].astype(np.int64)
-            na, nb = sizes[a][aa][keep], sizes[ri][bb][keep]
-            union = (na + nb - iv).astype(np.int64)
-            sim = iv / union
-            sel = sim >= min_similarity
-            s_, d_ = src[keep][sel], dst[keep][sel]
-            parts.append(pd.DataFrame({"a": np.minimum(s_, d_), "b": np.maximum(s_, d_),
-                                       "inter": iv[sel], "union": union[sel],
-                                       "jaccard": sim[sel]}))
-        if not parts:
-            return pd.DataFrame({"a": [], "b": [], "inter": [], "union": [], "jaccard": []})
-        return pd.concat(parts, ignore_index=True)
-
-    return t.groupBy("_ti", "_tj").applyInPandas(
-        run, f"a {kind}, b {kind}, inter long, union long, jaccard double")
+    names, prefix = _prefixes(sets, id_col, item_col, min_similarity)
+    many = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    dealt = prefix.join(many.withColumn("blocks", F.ceil(F.col("n") / block)), "token")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tiles = dealt.select("token", "set", "tokens", "place", "block", other).select(
+        "token", "set", "tokens", "place", "block", F.least("block", "other").alias("down"),
+        F.greatest("block", "other").alias("across"))
+    found = tiles.groupBy("token", "down", "across").applyInPandas(
+        _verify(min_similarity), "a long, b long, inter long, union long, jaccard double")
+    a, b = (names.select(F.col("set").alias(s), F.col("id").alias(f"_{s}")) for s in ("a", "b"))
+    return found.join(a, "a").join(b, "b").select(
+        F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "inter", "union", "jaccard")
 
 
 def jaccard(a_items, b_items) -> float:
@@ -158,53 +144,3 @@ def jaccard(a_items, b_items) -> float:
     if not sa and not sb:
         return 1.0
     return len(sa & sb) / len(sa | sb)
-
-
-def approx_cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vec",
-                        bucket_length: float = 0.5, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate alternative to :func:`cosine_edges` for very large inputs.
-
-    Unit vectors satisfy ``|a - b|^2 = 2 * (1 - cos)``, so cosine distance
-    ``<= eps`` is Euclidean distance ``<= sqrt(2 * eps)``.  Spark ML's
-    bucketed random projection LSH proposes candidate pairs by bucket
-    (an equi-join on hash buckets, no all-pairs tile), and every returned
-    pair is checked with its exact distance.  Pairs can be missed (recall
-    below 1, tunable with ``num_tables`` and ``bucket_length``); none is
-    wrong.  Use :func:`cosine_edges` when the exact answer is required.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.zip_with(F.col(vec_col), F.array_repeat(norm, F.size(vec_col)),
-                      lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
-    v = vecs.select(F.col(id_col).alias("id"), array_to_vector(unit).alias("_u"))
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(v)
-    radius = math.sqrt(2.0 * eps)
-    pairs = lsh.approxSimilarityJoin(v, v, radius, distCol="_d")
-    return (pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"),
-                         (F.col("_d") * F.col("_d") / 2.0).alias("dist"))
-            .where((F.col("src") < F.col("dst")) & (F.col("dist") <= eps)))
-
-
-def approx_jaccard_pairs(sets: DataFrame, max_distance: float, id_col: str = "id",
-                         item_col: str = "item", num_tables: int = 8,
-                         num_features: int = 1 << 18, seed: int = 7) -> DataFrame:
-    """Approximate Jaccard pairs for very large inputs: MinHash LSH
-    candidates by bucket (no all-pairs tile), each with its exact Jaccard
-    distance, kept when ``1 - jaccard <= max_distance``.  Pairs can be
-    missed (recall below 1); none is wrong.  Items are hashed into
-    ``num_features`` slots, so distinct items may collide.
-    """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    per = (sets.select(F.col(id_col).alias("id"), F.col(item_col).cast("string").alias("item"))
-           .distinct().groupBy("id").agg(F.collect_list("item").alias("_items")))
-    tf = HashingTF(inputCol="_items", outputCol="_v", numFeatures=num_features, binary=True)
-    v = tf.transform(per).where(F.size("_items") > 0)
-    lsh = MinHashLSH(inputCol="_v", outputCol="_h", numHashTables=num_tables, seed=seed).fit(v)
-    pairs = lsh.approxSimilarityJoin(v, v, max_distance, distCol="_d")
-    return (pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
-                         (1.0 - F.col("_d")).alias("jaccard"))
-            .where(F.col("a") < F.col("b")))

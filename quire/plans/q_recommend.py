@@ -131,20 +131,25 @@ def shared_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.shared_clusters(m)
 
 
+_PROVIDERS = ("O'Brien", 'Lee "x"', "D'Arcy \"y\"", "Roy")
+
+# labels up to 5 have all four providers, 6 has one, 7 two, 8 three, 9 four
 _REPORT_SQL = """
 WITH m AS (
   SELECT CAST(label AS BIGINT) AS cluster_id, vec_id AS idx,
-         ['O''Brien', 'Lee "x"', 'D''Arcy "y"', 'Roy'][vec_id % 4 + 1] AS provider, 'text ' || CAST(vec_id AS VARCHAR) AS t
-  FROM embeddings WHERE label < 6 OR vec_id % 4 = 0),
+         ['O''Brien', 'Lee "x"', 'D''Arcy "y"', 'Roy'][vec_id % (CASE WHEN label BETWEEN 6 AND 8 THEN label - 5 ELSE 4 END) + 1]
+         AS provider, 'text ' || CAST(vec_id AS VARCHAR) AS t
+  FROM embeddings),
 """
 
 
 def _report_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members with awkward provider names, their summary and representatives."""
-    e = read_table(spark, sf_dir, "embeddings").where("label < 6 OR vec_id % 4 = 0")
-    names = F.array(*[F.lit(n) for n in ("O'Brien", 'Lee "x"', "D'Arcy \"y\"", "Roy")])
+    e = read_table(spark, sf_dir, "embeddings")
+    names = F.array(*[F.lit(n) for n in _PROVIDERS])
+    many = F.when(F.col("label").between(6, 8), F.col("label") - 5).otherwise(len(_PROVIDERS))
     m = e.select(F.col("label").cast("long").alias("cluster_id"), F.col("vec_id").alias("idx"),
-                 F.concat(F.get(names, (F.col("vec_id") % 4).cast("int")), F.lit("_"), F.col("vec_id").cast("string"),
+                 F.concat(F.get(names, (F.col("vec_id") % many).cast("int")), F.lit("_"), F.col("vec_id").cast("string"),
                           F.lit(".json")).alias("file"),
                  F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("recommendation"))
     reps = m.groupBy("cluster_id").agg(F.min_by("recommendation", "idx").alias("representative"))
@@ -170,8 +175,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("report_parse", oracle=_REPORT_SQL + """
 c AS (SELECT cluster_id, provider, count(*) AS n FROM m GROUP BY 1, 2),
 h AS (SELECT cluster_id, string_agg(provider, '|' ORDER BY provider) AS providers FROM c GROUP BY 1)
-SELECT c.cluster_id, arg_min(m.t, m.idx) AS representative, h.providers,
-       CASE WHEN contains(c.provider, ' ') AND NOT contains(c.provider, '_') THEN c.provider ELSE c.provider END AS provider, c.n
+SELECT c.cluster_id, arg_min(m.t, m.idx) AS representative, h.providers, c.provider, c.n
 FROM c JOIN h USING (cluster_id) JOIN m USING (cluster_id) GROUP BY c.cluster_id, h.providers, c.provider, c.n
 """)
 def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,14 +188,15 @@ def report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("provider_pivot", oracle=_REPORT_SQL + """
 r AS (SELECT cluster_id, arg_min(t, idx) AS representative FROM m GROUP BY 1)
-SELECT representative, nullif(count(*) FILTER (WHERE provider = 'Roy'), 0) AS "Roy",
-       nullif(count(*) FILTER (WHERE provider = 'O''Brien'), 0) AS "O'Brien"
+SELECT representative, """ + ", ".join(
+    "nullif(count(*) FILTER (WHERE provider = '{}'), 0) AS \"{}\"".format(p.replace("'", "''"), p.replace('"', '""'))
+    for p in _PROVIDERS) + """
 FROM m JOIN r USING (cluster_id) GROUP BY representative
 """)
 def provider_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG16, one column per provider."""
     m, _, reps = _report_frames(spark, sf_dir)
-    return cluster.provider_table(cluster.provider_counts(m), reps, providers=["Roy", "O'Brien"])
+    return cluster.provider_table(cluster.provider_counts(m), reps, providers=_PROVIDERS)
 
 
 @register("sorted_names", oracle=r"""

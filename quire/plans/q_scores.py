@@ -84,6 +84,10 @@ def _rater_scores(spark: SparkSession, sf_dir: str):
     return reports, s
 
 
+def _labels_sql(labels) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in labels) + "]"
+
+
 TREE_SQL = "tree(row_pos, label, adaptive) AS (VALUES " + ", ".join(
     f"({p}, '{lab}', {str(sc == 'Adaptive Skills').upper()})"
     for p, lab, sc, _sp, _isc, _sub in scores.tree_rows()) + ")"
@@ -92,10 +96,7 @@ SEVERITY_SQL = f"""
 WITH {TREE_SQL},
 s AS (
   SELECT l_orderkey, l_returnflag AS rater,
-         (['Hyperactivity', 'Aggression', 'Conduct Problems', 'Externalizing Problems', 'Anxiety',
-           'Depression', 'Somatization', 'Internalizing Problems', 'Attention Problems', 'Atypicality',
-           'Withdrawal', 'Behavioral Symptoms Index', 'Adaptability', 'Social Skills', 'Leadership',
-           'Functional Communication', 'Activities of Daily Living', 'Adaptive Skills'])[(l_linenumber * 3) % 18 + 1] AS label,
+         ({_labels_sql(scores.PARENT_LABELS)})[(l_linenumber * 3) % 18 + 1] AS label,
          max(CAST(l_quantity AS INT) + 20) AS v
   FROM lineitem GROUP BY 1, 2, 3),
 r AS (SELECT DISTINCT l_orderkey, l_returnflag AS rater FROM lineitem),
@@ -146,6 +147,41 @@ def combined_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      has("N").alias("n_n"), has("R").alias("n_r"))
 
 
+def numbered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report text per order line: 18 numbers from the quantity, the first
+    number from 1 to 99 (so that texts and numbers order differently)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    first = F.pmod(F.col("l_quantity").cast("int") * F.col("l_linenumber"), F.lit(99)) + 1
+    numbers = F.concat(F.array(first.cast("string")),
+                       F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: (F.col("l_quantity").cast("int") + i).cast("string")))
+    text = F.concat(F.lit("Behavior Assessment System for Children Parent Rating Scales Test Date: 1/2/2020 Relationship: "),
+                    F.col("l_returnflag"), F.lit(" Age: 9 Norm Group 1: General VALIDITY INDEX SUMMARY General Combined "),
+                    F.array_join(numbers, " "), F.lit(" Percentile 50"))
+    return li.select("l_orderkey", "l_linenumber", text.alias("text"))
+
+
+@register("combined_texts", oracle=f"""
+WITH x AS (
+  SELECT l_orderkey, l_returnflag, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) * l_linenumber % 99 + 1 AS first FROM lineitem),
+y AS (SELECT l_orderkey, l_returnflag, max(first) AS first, max(q) AS q FROM x GROUP BY 1, 2),
+z AS (SELECT l_returnflag, ({_labels_sql(scores.PARENT_LABELS)})[i + 1] AS label, CASE WHEN i = 0 THEN first ELSE q + i END AS v
+      FROM y, range(18) AS r(i))
+SELECT label, l_returnflag AS rater, CAST(sum(v) AS BIGINT) AS sum_scores, count(*) AS n FROM z
+WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2
+""")
+def combined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG15 after JN6: scores that were read as texts; a rater's highest score of
+    an order is the highest number."""
+    reports = scores.parse_headers(numbered_reports(spark, sf_dir))
+    z = scores.zip_scores(reports, ["l_orderkey", "l_linenumber", "relationship"])
+    keys = reports.select("l_orderkey", "relationship")
+    wide = scores.combined_table(keys, z, "l_orderkey", "relationship", RATERS)
+    shown = F.explode(F.array(*[F.struct(F.lit(r).alias("rater"), F.regexp_replace(r, r"\*$", "").alias("v")) for r in RATERS]))
+    return (wide.select("label", shown.alias("x")).where(F.col("x.v").try_cast("long").isNotNull())
+            .groupBy("label", F.col("x.rater").alias("rater"))
+            .agg(F.sum(F.col("x.v").cast("long")).alias("sum_scores"), F.count("*").alias("n")))
+
+
 @register("combined_cells", oracle=SEVERITY_SQL.replace("r AS (SELECT DISTINCT", """o AS (
   SELECT l_orderkey, l_returnflag AS rater,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(min(l_shipdate) AS DATE) DESC, l_returnflag) AS rater_pos
@@ -199,10 +235,6 @@ def score_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.select("l_orderkey", F.md5("html").alias("html_md5"))
 
 
-def _labels_sql(labels) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in labels) + "]"
-
-
 @register("score_zip_forms", oracle=f"""
 WITH r AS (
   SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, [18, 20, 25][l_linenumber % 3 + 1] AS k,
@@ -297,12 +329,9 @@ def scale_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.scale_union(t0.unionByName(t1))
 
 
-@register("profile_values", oracle="""
-SELECT CASE WHEN l_returnflag = 'R' THEN
-         (['Hyperactivity', 'Aggression', 'Conduct Problems', 'Externalizing Problems', 'Anxiety',
-           'Depression', 'Somatization'])[l_linenumber]
-       ELSE (['Hyperactivity', 'Aggression', 'Conduct Problems', 'Externalizing Problems', 'Anxiety',
-              'Depression', 'Somatization'])[l_linenumber] END AS label,
+@register("profile_values", oracle=f"""
+SELECT (CASE WHEN l_returnflag = 'R' THEN {_labels_sql(scores.OTHER_LABELS)}
+             ELSE {_labels_sql(scores.PARENT_LABELS)} END)[l_linenumber] AS label,
        count(*) AS n_values,
        count(*) FILTER (WHERE l_linestatus = 'O') AS n_gaps,
        CAST(sum(CASE WHEN l_linestatus <> 'O' THEN CAST(l_quantity AS BIGINT) END) AS BIGINT) AS sum_y

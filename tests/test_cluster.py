@@ -77,7 +77,7 @@ def test_cosine_edges_brute_force(spark):
     rnd = random.Random(7)
     vecs = [[rnd.gauss(0, 1) for _ in range(5)] for _ in range(50)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
-    got = rows(similarity.cosine_edges(df, 0.5, blocks=3), "src", "dst")
+    got = rows(similarity.cosine_edges(df, 0.5, cell=8), "src", "dst")
     want = sorted((i, j) for i, j in itertools.combinations(range(50), 2) if cos_dist(vecs[i], vecs[j]) <= 0.5)
     assert got == want
 
@@ -86,7 +86,7 @@ def test_jaccard_brute_force(spark):
     rnd = random.Random(11)
     sets = {u: {rnd.randrange(12) for _ in range(rnd.randrange(0, 6))} for u in range(30)}
     df = spark.createDataFrame([(u, str(i)) for u, s in sets.items() for i in s], "id long, item string")
-    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, min_similarity=1e-9, blocks=3).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, min_similarity=1e-9, block=3).collect()}
     for a, b in itertools.combinations(range(30), 2):
         j = similarity.jaccard(sets[a], sets[b]) if (sets[a] or sets[b]) else 1.0
         if sets[a] & sets[b]:
@@ -132,33 +132,6 @@ def test_provider_table_and_flag_matrix(spark):
     assert rows(cluster.flag_matrix(flags)) == [("p", "A")]
 
 
-def test_approx_edges_are_a_subset(spark):
-    rnd = random.Random(13)
-    vecs = [[rnd.gauss(0, 1) for _ in range(4)] for _ in range(80)]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "id long, vec array<double>")
-    exact = set(rows(similarity.cosine_edges(df, 0.2, blocks=3), "src", "dst"))
-    approx = set(rows(similarity.approx_cosine_edges(df, 0.2, num_tables=12), "src", "dst"))
-    assert approx <= exact and len(approx) >= 0.8 * len(exact)
-
-
-def test_approx_jaccard_subset(spark):
-    rnd = random.Random(17)
-    base = [set(rnd.sample(range(40), 8)) for _ in range(10)]
-    sets = {u: set(base[u % 10]) | {rnd.randrange(40)} for u in range(40)}
-    df = spark.createDataFrame([(u, str(i)) for u, s in sets.items() for i in s], "id long, item string")
-    exact = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(df, min_similarity=0.5, blocks=2).collect()}
-    approx = {(r["a"], r["b"]): r["jaccard"] for r in similarity.approx_jaccard_pairs(df, 0.5, num_tables=16).collect()}
-    assert set(approx) <= set(exact) | {k for k, v in approx.items() if v >= 0.5}
-    assert all(abs(approx[k] - exact[k]) < 1e-9 for k in approx if k in exact)
-    assert len(set(approx) & set(exact)) >= 0.8 * len(exact)
-
-
-def test_tile_rows_follow_the_data(spark):
-    df = spark.range(10).select(F.col("id"))
-    assert similarity.block_count(df, tile_rows=4) == 3 and similarity.block_count(df.where("false")) == 1
-    assert similarity.TILE_ROWS <= 8192
-
-
 def test_similarity_needs_a_threshold(spark):
     df = spark.createDataFrame([("a", "x")], "id string, item string")
     with pytest.raises(ValueError):
@@ -177,3 +150,73 @@ def test_string_ids_and_components(spark):
 def test_noise_has_no_representative(spark):
     m = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.8, 0.2]), (-1, 3, [0.0, 1.0])], "cluster_id long, id long, vec array<double>")
     assert [r["cluster_id"] for r in cluster.representatives(m).collect()] == [0]
+
+
+def _clustered(seed, n, dim=5):
+    rnd = random.Random(seed)
+    centres = [[rnd.gauss(0, 1) for _ in range(dim)] for _ in range(6)]
+    return [[c + rnd.gauss(0, rnd.choice([0.02, 0.1, 0.5])) for c in rnd.choice(centres)] for _ in range(n)]
+
+
+def test_cells_hold_every_neighbour_once(spark):
+    from quire.operators import metric
+    vecs = _clustered(4, 150)
+    nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vecs)], "node long, v array<double>, weight long")
+    for eps in (0.001, 0.02, 0.3, 1.0):
+        members = metric.cells(nodes, eps, cell=12, pivots=5, chunk=40).collect()
+        home = {r["node"]: r["cell"] for r in members if r["home"]}
+        there = {(r["cell"], r["node"]) for r in members}
+        assert len(there) == len(members) and len([r for r in members if r["home"]]) == 150
+        for i in range(150):
+            for j in range(150):
+                if cos_dist(vecs[i], vecs[j]) <= eps:
+                    assert (home[i], j) in there
+    assert len({r["cell"] for r in metric.cells(nodes, 0.001, cell=12).collect()}) > 6
+
+
+def test_dbscan_in_cells_with_odd_rows(spark):
+    vecs = _clustered(9, 140) + [[1.0] * 5, [2.0] * 5]
+    bad = [None, [], [0.0] * 5, [1.0, None, 1.0, 1.0, 1.0], [math.inf] * 5, [math.nan] * 5]
+    rows_ = [(f"k{i:03d}", v, i) for i, v in enumerate(vecs)] + [(f"z{i}", v, 0) for i, v in enumerate(bad)] + [(None, vecs[0], 0)]
+    # a third of all rows are copies of one vector
+    copies = [(f"y{i:03d}", vecs[3], 0) for i in range(70)]
+    pts = spark.createDataFrame(rows_ + copies, "id string, vec array<double>, node int")
+    own = [(r[0], r[1]) for r in rows_[:142] + copies]
+    for eps, ms in ((0.01, 2), (0.01, 5), (0.05, 3)):
+        want = dict(zip([i for i, _ in own], brute_dbscan([v for _, v in own], eps, ms)))
+        for cell in (10, 5000):
+            got = {r["id"]: r["cluster_id"] for r in cluster.dbscan(pts, eps, ms, cell=cell).collect()}
+            assert {k: got[k] for k in want} == want, (eps, ms, cell)
+            assert all(got[f"z{i}"] == -1 for i in range(6)) and got[None] == -1 and len(got) == len(want) + 7
+    assert cluster.dbscan(pts.where("false"), 0.1, 2).count() == 0
+
+
+def test_cosine_edges_of_odd_rows(spark):
+    rows_ = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]),
+             (6, [math.nan, 1.0]), (7, [5.0, 0.0, 0.0]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows_, "id long, vec array<double>")
+    assert rows(similarity.cosine_edges(df, 0.1), "src", "dst") == [(1, 4), (5, 7)]
+    assert similarity.cosine_edges(df.where("false"), 0.1).count() == 0
+
+
+def test_jaccard_thresholds_and_hot_prefixes(spark):
+    rnd = random.Random(23)
+    base = [rnd.sample(range(60), 12) for _ in range(4)]
+    sets = {u: {x for x in rnd.choice(base) if rnd.random() < 0.85} | {rnd.randrange(90) for _ in range(rnd.randrange(4))} for u in range(90)}
+    sets = {u: s for u, s in sets.items() if s}
+    items = [(u, str(i)) for u, s in sets.items() for i in s]
+    df = spark.createDataFrame(items + items[:9] + [(None, "3"), (5, None)], "id long, item string")
+    for t in (0.2, 0.5, 2 / 3, 0.8, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if similarity.jaccard(sets[a], sets[b]) >= t}
+        for block in (4, 2048):
+            got = [(r["a"], r["b"]) for r in similarity.jaccard_pairs(df, min_similarity=t, block=block).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, (t, block)
+    assert similarity.jaccard_pairs(df.where("false")).count() == 0
+
+
+def test_join_by_weight_keeps_all_rows(spark):
+    from quire.plans.hot import join_by_weight
+    left = spark.range(300).selectExpr("id", "if(id % 3 = 0, null, if(id % 3 = 1, 'hot', cast(id AS string))) AS k")
+    table = left.groupBy("k").count().withColumn("twice", F.col("count") * 2)
+    got = {r["id"]: r["twice"] for r in join_by_weight(left, table, ["k"], "count", share=10).collect()}
+    assert got == {i: 200 if i % 3 < 2 else 2 for i in range(300)}

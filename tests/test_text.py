@@ -129,7 +129,8 @@ def test_theme_flatten_and_merge(spark):
         ("f3.json", "nothing")], "file string, text string")
     got = rows(recommend.flatten_themes(answers), "file", "idx", "recommendation")
     assert got == [("f1.json", 0, "a"), ("f1.json", 1, "b")]
-    assert rows(recommend.answer_rejects(answers), "file") == [("f3.json",)]
+    assert rows(recommend.answer_rejects(answers), "file", "reason") == [
+        ("f2.json", "themes is not a list"), ("f3.json", "no valid JSON block without '$defs'")]
     themes = spark.createDataFrame(
         [(" Sleep ", 1, ["a"], ["a", "b"]), ("sleep", 2, ["c", "d", "e"], ["b", "c"])],
         "theme string, count int, sample_recommendations array<string>, all_recommendations array<string>")
