@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import shared_table
+from quire.session import shared_table, shuffle_partitions
 
 CELL = 8192  # vectors of a cell that needs no split; also home vectors of a tile
 CHUNK = 16384  # vectors dealt to a task for its pivots, and partners in a tile
@@ -170,7 +170,10 @@ def by_tile(members: DataFrame, eps: float, kernel: Kernel, schema: str, extra:
             return pd.DataFrame({n: [] for n in names})
         return kernel(a, b, Near(eps, a, b))
 
-    return home.groupBy(keys).cogroup(other.groupBy(keys)).applyInPandas(run, schema)
+    # small in bytes, but not in work: all partitions are used
+    n = shuffle_partitions(members.sparkSession)
+    return (home.repartition(n, *keys).groupBy(keys).cogroup(other.repartition(n, *keys).groupBy(keys))
+            .applyInPandas(run, schema))
 
 
 # Kernels ------------------------------------------------------------------------------------

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from quire.operators import metric
 from quire.plans.hot import join_by_weight
-from quire.session import shared_table
+from quire.session import shared_table, shuffle_partitions
 
 # Sets of a prefix item that are compared in one task, squared; more are split.
 PREFIX_BLOCK = 2048
+_BITS = 256
 
 
 def cosine_edges(vecs: DataFrame, eps: float, id_col: str = "id", vec_col: str = "vec",
@@ -61,53 +62,76 @@ def _prefixes(sets: DataFrame, id_col: str, item_col: str, t: float) -> tuple[Da
     return whole.select("set", "id"), prefix
 
 
-def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    return np.concatenate(lists), np.concatenate([[0], np.cumsum(sizes)])
+def _bits(number: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """A bitmap of ``_BITS`` bits for each set."""
+    bits = np.zeros((sets, _BITS), dtype=bool)
+    bits[owner, number % _BITS] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+class _Sets:
+    """Sets of a tile in one flat array, with tokens numbered within the tile."""
+
+    def __init__(self, rows: pd.DataFrame, vocabulary: np.ndarray):
+        lists = [np.asarray(x, dtype=np.int64) for x in rows["tokens"]]
+        self.size = np.array([len(x) for x in lists])
+        self.place, self.name = rows["place"].to_numpy(), rows["set"].to_numpy()
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.searchsorted(vocabulary, np.concatenate(lists))
+        self.bits = _bits(self.flat, np.repeat(np.arange(len(lists)), self.size), len(lists))
+
+    def tokens(self, k: int, stop: int | None = None) -> np.ndarray:
+        return self.flat[self.start[k]:self.start[k] + (self.size[k] if stop is None else stop)]
+
+    def common(self, has: np.ndarray, which: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Marked tokens among the first ``lengths`` of the sets ``which``."""
+        total = int(lengths.sum())
+        owner = np.repeat(np.arange(len(which)), lengths)
+        within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        hit = has[self.flat[self.start[which][owner] + within]]
+        return np.bincount(owner[hit], minlength=len(which))
 
 
 def _verify(t: float):
-    """Pairs of one prefix token's sets.  A pair is looked at only under its
-    smallest common token, and counted only if length and place allow ``t``."""
+    """Pairs of one prefix token's sets.  Length, place and a bitmap's bound on
+    the common tokens sift them; a pair is verified only under its smallest
+    common token, so once."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token = pdf["token"].iloc[0]
-        down, across = pdf["down"].iloc[0], pdf["across"].iloc[0]
-        left, right = pdf[pdf["block"] == down], pdf[pdf["block"] == across]
-        lists = [np.asarray(x, dtype=np.int64) for x in right["tokens"]]
-        parts = []
-        if len(left) and len(right):
-            flat, offsets = _flat(lists)
-            vocabulary, flat = np.unique(flat, return_inverse=True)
-            sizes, places, sets = np.diff(offsets), right["place"].to_numpy(), right["set"].to_numpy()
-            owner = np.repeat(np.arange(len(lists)), sizes)
-            earlier = flat < np.searchsorted(vocabulary, token)
-            has = np.zeros(len(vocabulary), dtype=bool)
-            for set_, own, place in zip(left["set"], left["tokens"], left["place"]):
-                own = np.asarray(own, dtype=np.int64)
-                most = np.minimum(len(own) - place, sizes - places)  # common tokens from here on
-                fits = most >= t / (1 + t) * (len(own) + sizes) - 1e-9
-                fits &= np.minimum(sizes, len(own)) >= t * np.maximum(sizes, len(own)) - 1e-9
-                fits &= (sets > set_) if down == across else (sets != set_)
-                if not fits.any():
-                    continue
-                spot = np.searchsorted(vocabulary, own)
-                mine = spot[(spot < len(vocabulary)) & (vocabulary[np.minimum(spot, len(vocabulary) - 1)] == own)]
-                has[mine] = True
-                hit = has[flat]
-                has[mine] = False
-                before = np.bincount(owner[hit & earlier], minlength=len(lists))
-                fits &= before == 0  # others meet under a smaller token
-                if not fits.any():
-                    continue
-                inter = np.bincount(owner[hit], minlength=len(lists))
-                union = len(own) + sizes - inter
-                fits &= inter / union >= t
-                k = np.flatnonzero(fits)
-                parts.append(pd.DataFrame({"a": set_, "b": sets[k], "inter": inter[k], "union": union[k],
-                                           "jaccard": inter[k] / union[k]}))
-        if not parts:
+        same = pdf["down"].iloc[0] == pdf["across"].iloc[0]
+        first, second = pdf[pdf["block"] == pdf["down"]], pdf[pdf["block"] == pdf["across"]]
+        if not (len(first) and len(second)):
             return pd.DataFrame({"a": [], "b": [], "inter": [], "union": [], "jaccard": []})
-        return pd.concat(parts)
+        vocabulary = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["tokens"]]))
+        left = _Sets(first, vocabulary)
+        right = left if same else _Sets(second, vocabulary)
+        has = np.zeros(len(vocabulary), dtype=bool)
+        none = np.zeros(0, dtype=np.int64)
+        found_a, found_b, found_inter, found_union = [none], [none], [none], [none]
+        for i, (size, place) in enumerate(zip(left.size, left.place)):
+            wanted = t / (1 + t) * (size + right.size) - 1e-9  # least number of common tokens
+            apart = np.bitwise_count(left.bits[i] ^ right.bits).sum(axis=1, dtype=np.int64)
+            fits = (size + right.size - apart) / 2 >= wanted
+            fits &= np.minimum(size - place, right.size - right.place) >= wanted
+            if same:
+                fits[:i + 1] = False
+            which = np.flatnonzero(fits)
+            if not len(which):
+                continue
+            early = left.tokens(i, place)  # a pair with an earlier common token meets there
+            has[early] = True
+            which = which[right.common(has, which, right.place[which]) == 0]
+            has[left.tokens(i)] = True
+            inter = right.common(has, which, right.size[which])
+            has[left.tokens(i)] = False
+            union = size + right.size[which] - inter
+            near = inter / union >= t
+            found_a.append(np.full(near.sum(), left.name[i]))
+            found_b.append(right.name[which[near]])
+            found_inter.append(inter[near])
+            found_union.append(union[near])
+        inter, union = np.concatenate(found_inter), np.concatenate(found_union)
+        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b), "inter": inter, "union": union,
+                             "jaccard": inter / union})
     return run
 
 
@@ -131,7 +155,9 @@ def jaccard_pairs(sets: DataFrame, id_col: str = "id", item_col: str = "item",
     tiles = dealt.select("token", "set", "tokens", "place", "block", other).select(
         "token", "set", "tokens", "place", "block", F.least("block", "other").alias("down"),
         F.greatest("block", "other").alias("across"))
-    found = tiles.groupBy("token", "down", "across").applyInPandas(
+    # small in bytes, but not in work: all partitions are used
+    found = tiles.repartition(shuffle_partitions(sets.sparkSession), "token", "down", "across") \
+        .groupBy("token", "down", "across").applyInPandas(
         _verify(min_similarity), "a long, b long, inter long, union long, jaccard double")
     a, b = (names.select(F.col("set").alias(s), F.col("id").alias(f"_{s}")) for s in ("a", "b"))
     return found.join(a, "a").join(b, "b").select(
