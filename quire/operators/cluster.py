@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import provider_from_file
-from quire.operators import metric
+from quire.operators import metric, pca
 from quire.operators.graph import connected_components
 from quire.plans import scan
 from quire.plans.hot import join_by_weight
@@ -155,29 +155,20 @@ def variance_filter(indicators: DataFrame, id_col: str, threshold: float = 0.01,
 
 # ML3 -------------------------------------------------------------------------------------------
 def pca_loadings(indicators: DataFrame, id_col: str, k: int = 2, top_n: int = 20) -> DataFrame:
-    """Centred PCA on the 0/1 matrix; the ``top_n`` features with the largest
-    absolute loading per component (sign is arbitrary).
-
-    Records are sparse vectors over the feature vocabulary; Spark ML centres
-    them while it computes the covariance over all rows.  (Covariance and
-    loadings have one row per feature on the driver, as that estimator has it.)
-    """
-    from pyspark.ml.feature import PCA, CountVectorizer
-
-    sets = indicators.groupBy(id_col).agg(F.collect_set("feature").alias("_f"))
-    width = indicators.agg(F.count_distinct("feature")).first()[0]
-    words = CountVectorizer(inputCol="_f", outputCol="_x", binary=True, vocabSize=max(1, width), minDF=1.0).fit(sets)
-    model = PCA(k=k, inputCol="_x", outputCol="_p").fit(words.transform(sets))
-    pc, feats = model.pc.toArray(), words.vocabulary
-    rows = [(int(c), feats[i], float(abs(pc[i, c]))) for c in range(k) for i in range(len(feats))]
-    df = indicators.sparkSession.createDataFrame(rows, "component int, feature string, abs_loading double")
-    return _top_by(df, top_n)
-
-
-def _top_by(df: DataFrame, top_n: int) -> DataFrame:
-    from pyspark.sql import Window
-    w = Window.partitionBy("component").orderBy(F.col("abs_loading").desc(), "feature")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    """Centred PCA of the 0/1 matrix: ``(component, rank, feature, loading,
+    abs_loading, explained)`` of the ``top_n`` features with the largest absolute
+    loading per component (see :mod:`quire.operators.pca`)."""
+    return pca.components(indicators.select(id_col, "feature").distinct(), id_col, k=k).top(top_n)
+
+
+# ML7 -------------------------------------------------------------------------------------------
+def plane(centres: DataFrame, cluster_col: str = "cluster_id", vec_col: str = "centroid") -> DataFrame:
+    """``(cluster, x, y)``: each centre at its first two principal components,
+    scaled to [0, 1]."""
+    long = centres.select(cluster_col, F.posexplode(vec_col).alias("feature", "value"))
+    points = pca.components(long, cluster_col, value=F.col("value")).points
+    at = points.select(F.col("id").alias(cluster_col), F.col("point")[0].alias("x"), F.col("point")[1].alias("y"))
+    return min_max_scale(at, ["x", "y"])
 
 
 # ML5, ML6 ---------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import cluster, similarity
+from quire.operators import cluster, pca, similarity
 from quire.plans.catalog import register
 from quire.session import read_table
 
@@ -172,24 +172,95 @@ def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("event_id", F.round("value", 6).alias("value"))
 
 
-@register("pca_top")
-def pca_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML3 + SRT4: top loadings of user x (type, day) flags (sign arbitrary)."""
+def _components_sql(squarings: int = 14) -> str:
+    """``v1``, ``v2`` and ``l1``, ``l2``: the first two eigenvectors and values of
+    the covariance matrix of ``x(id, f, x)``, by squaring it over and over (a power
+    of it keeps one direction), then taking that direction out.  The largest entry
+    is positive."""
+    parts = ["""
+n AS (SELECT count(DISTINCT id) AS n FROM x),
+m AS (SELECT f, sum(x) AS s FROM x GROUP BY f),
+xx AS (SELECT a.f AS f, b.f AS g, sum(a.x * b.x) AS p FROM x a JOIN x b ON a.id = b.id GROUP BY 1, 2),
+c1 AS (SELECT a.f AS f, b.f AS g, (coalesce(p, 0) - a.s * b.s / n) / (n - 1) AS v
+       FROM m a CROSS JOIN m b CROSS JOIN n LEFT JOIN xx ON xx.f = a.f AND xx.g = b.f),
+t AS (SELECT sum(v) AS total FROM c1 WHERE f = g)"""]
+    for k in (1, 2):
+        last = f"c{k}"
+        for i in range(squarings):
+            parts.append(f"""
+q{k}_{i} AS (SELECT f, g, v / max(abs(v)) OVER () AS v FROM (
+  SELECT a.f, b.g, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.g = b.f GROUP BY 1, 2))""")
+            last = f"q{k}_{i}"
+        parts.append(f"""
+d{k} AS (SELECT f, v FROM {last} WHERE f = g),
+b{k} AS (SELECT f FROM d{k} ORDER BY round(sqrt(v / (SELECT sum(v) FROM d{k})), 9) DESC, f LIMIT 1),
+v{k} AS (SELECT f, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE g = (SELECT f FROM b{k})),
+l{k} AS (SELECT sum(a.v * c.v * b.v) AS l FROM c1 c JOIN v{k} a ON a.f = c.f JOIN v{k} b ON b.f = c.g)""")
+        if k == 1:
+            parts.append("""
+c2 AS (SELECT c.f, c.g, c.v - l.l * a.v * b.v AS v FROM c1 c CROSS JOIN l1 l JOIN v1 a ON a.f = c.f JOIN v1 b ON b.f = c.g)""")
+    return ",".join(parts)
+
+
+_USER_FLAGS_SQL = """x AS (SELECT DISTINCT user_id AS id, event_type || '@' || strftime(ts, '%Y-%m-%d') AS f, 1.0::DOUBLE AS x FROM events),"""
+
+
+def user_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    ind = ev.select(F.col("user_id"), F.concat(F.col("event_type"), F.lit("@"),
-                                               F.date_format("ts", "yyyy-MM-dd")).alias("feature")) \
-        .distinct()
-    return cluster.pca_loadings(ind, "user_id", k=2, top_n=20)
+    return ev.select(F.col("user_id"), F.concat(F.col("event_type"), F.lit("@"),
+                                               F.date_format("ts", "yyyy-MM-dd")).alias("feature")).distinct()
 
 
-@register("cluster_map")
+@register("pca_top", oracle=f"""
+WITH {_USER_FLAGS_SQL} {_components_sql()},
+r AS (SELECT 0 AS component, f, v, l / total AS explained FROM v1, l1, t UNION ALL SELECT 1, f, v, l / total FROM v2, l2, t)
+SELECT CAST(component AS INT) AS component, f AS feature, round(abs(v), 4) AS abs_loading, round(explained, 5) AS explained,
+       CAST(row_number() OVER (PARTITION BY component ORDER BY round(abs(v), 9) DESC, f) AS INT) AS rank
+FROM r QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(abs(v), 9) DESC, f) <= 20
+""")
+def pca_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML3 + SRT4: top loadings of user x (type, day) flags."""
+    top = cluster.pca_loadings(user_flags(spark, sf_dir), "user_id", k=2, top_n=20)
+    return top.select("component", "feature", F.round("abs_loading", 4).alias("abs_loading"),
+                      F.round("explained", 5).alias("explained"), "rank")
+
+
+@register("pca_points", oracle=f"""
+WITH {_USER_FLAGS_SQL} {_components_sql()},
+u AS (SELECT DISTINCT id FROM x),
+p AS (SELECT id, sum(x.x * v1.v) AS a, sum(x.x * v2.v) AS b FROM x JOIN v1 ON v1.f = x.f JOIN v2 ON v2.f = x.f GROUP BY id),
+c AS (SELECT sum(s * v1.v) / any_value(n) AS a, sum(s * v2.v) / any_value(n) AS b FROM m JOIN v1 ON v1.f = m.f JOIN v2 ON v2.f = m.f, n)
+SELECT id AS user_id, round((p.a - c.a) * (p.a - c.a), 3) AS first, round((p.b - c.b) * (p.b - c.b), 3) AS second FROM p, c
+""")
+def pca_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML3: every user's squared distance from the centre along each component."""
+    points = pca.components(user_flags(spark, sf_dir), "user_id").points
+    first, second = F.col("point")[0], F.col("point")[1]
+    return points.select(F.col("id").alias("user_id"), F.round(first * first, 3).alias("first"),
+                         F.round(second * second, 3).alias("second"))
+
+
+_JITTER_SQL = """(CAST('0x' || substr(md5(CAST(cluster_id AS VARCHAR) || '|' || provider || '|{axis}|0'), 1, 8) AS BIGINT)
+                  / 4294967295.0 * 2 - 1) * 0.02"""
+
+
+@register("cluster_map", oracle=f"""
+WITH e AS (SELECT CAST(label AS BIGINT) AS id, unnest(embedding) AS v, CAST(unnest(range(len(embedding))) AS VARCHAR) AS f FROM embeddings),
+x AS (SELECT id, f, avg(CAST(v AS DOUBLE)) AS x FROM e GROUP BY id, f), {_components_sql()},
+p AS (SELECT id, sum(x.x * v1.v) AS a, sum(x.x * v2.v) AS b FROM x JOIN v1 ON v1.f = x.f JOIN v2 ON v2.f = x.f GROUP BY id),
+o AS (SELECT id AS cluster_id, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS x,
+             (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS y FROM p),
+k AS (SELECT CAST(label AS BIGINT) AS cluster_id, 'p' || CAST(vec_id % 5 AS VARCHAR) AS provider, count(*) AS count FROM embeddings GROUP BY 1, 2)
+SELECT cluster_id, round(x, 4) AS x, round(y, 4) AS y, 'center' AS provider, CAST(0 AS BIGINT) AS count, 'Cluster Center' AS type FROM o
+UNION ALL
+SELECT cluster_id, round(x + {_JITTER_SQL.format(axis='x')}, 4), round(y + {_JITTER_SQL.format(axis='y')}, 4), provider, count, 'Provider'
+FROM k JOIN o USING (cluster_id)
+""")
 def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML7: cluster centres at the (scaled) first two centroid coordinates,
-    providers jittered around them."""
+    """ML7: cluster centres at their first two principal components, providers
+    jittered around them."""
     from quire.plans.q_recommend import embedding_members
     m = embedding_members(spark, sf_dir)
-    c = cluster.centroids(m, "cluster_id", "vec")
-    pos = c.select("cluster_id", F.get("centroid", 0).alias("x"), F.get("centroid", 1).alias("y"))
-    pos = cluster.min_max_scale(pos, ["x", "y"])
-    counts = cluster.provider_counts(m)
-    return cluster.cluster_map(pos, counts)
+    at = cluster.plane(cluster.centroids(m, "cluster_id", "vec"))
+    placed = cluster.cluster_map(at, cluster.provider_counts(m))
+    return placed.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})

