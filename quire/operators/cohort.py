@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import non_blank, ws_trim
-from quire.plans.product import with_table
+from quire.plans.product import product
 
 
 def truthy() -> Column:
@@ -94,8 +94,7 @@ def _everybody(flags: DataFrame, cohorts: DataFrame | None, criteria: DataFrame)
         return None
     empty = cohorts.select("cohort_id").distinct().join(criteria.select("cohort_id").distinct(), "cohort_id", "left_anti")
     people = flags.select("patient_id").distinct()
-    each = with_table(people, empty, ["cohort_id"], ["cohort_id"], "patient_id", "_c")
-    return each.select(F.inline("_c"), "patient_id")
+    return product(people, empty, "patient_id").select("cohort_id", "patient_id")
 
 
 def cohort_members(flags: DataFrame, criteria: DataFrame, template: DataFrame,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.functions.dates import age_at
 from quire.functions.text import clean_cell, non_blank, ws_trim
 from quire.plans import scan
-from quire.plans.product import with_table
+from quire.plans.product import product
 
 # PRJ1 -------------------------------------------------------------------------
 def clean_form_fields(raw: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -47,8 +47,7 @@ def project_template(fields: DataFrame, template: DataFrame,
     per = fields.groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_m"))
     t = template.select("section", F.col("section_pos").cast("int"), "field", F.col("field_pos").cast("int"))
-    order = ["section_pos", "field_pos"]
-    return (with_table(per, t, t.columns, order, id_col, "_t").select(id_col, "_m", F.inline("_t"))
+    return (product(per, t, id_col)
             .select(id_col, "section", "field", F.try_element_at("_m", F.col("field")).alias("value"),
                     "section_pos", "field_pos"))
 

@@ -4,8 +4,8 @@
 Configuration (quota rows, exclusive groups) and population are DataFrames of
 any size; configuration meets the population in joins that Spark chooses.
 Randomness is a seeded md5 hash, so results are reproducible and the same in
-every engine.  Ranking inside a group that holds every patient uses the
-skew-safe scan, never a one-task window.
+every engine.  Ranks inside a group that holds every patient come from a
+histogram of the hashes, never from a sort of all of them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import as_int, is_range, range_bounds, rescale, seeded_int, ws_trim
 from quire.plans import scan
-from quire.plans.product import with_table
+from quire.plans.product import product
+from quire.plans.select import by_rank
+from quire.sources.named import entity_files
 
 # Fixed values of the reference --------------------------------------------------
 FALLBACK_MARK = "Unknown"  # an exclusive group's shortfall goes to the field containing it
@@ -117,13 +119,9 @@ def assign_exclusive(patients: DataFrame, config: DataFrame, groups: DataFrame,
     ``(patient_id, group_id, field)``.
     """
     bounds = quota_bounds(config, groups, patients.count())
-    ids = groups.select("group_id").distinct()
-    p = with_table(patients.select(id_col), ids, ["group_id"], ["group_id"], id_col, "_g") \
-        .select(id_col, F.inline("_g"))
-    p = p.withColumn("_k", _key(id_col, "group_id", seed=seed))
-    ranked = scan.row_number(p, ["group_id"], ["_k", id_col], "_rn")
-    inside = (F.col("_rn") > F.col("above")) & (F.col("_rn") <= F.col("upto"))
-    return ranked.join(bounds, "group_id").where(inside).select(id_col, "group_id", "field")
+    p = product(patients.select(id_col), groups.select("group_id").distinct(), id_col)
+    return by_rank(p.withColumn("_k", _key(id_col, "group_id", seed=seed)), bounds, "group_id", id_col, "_k", "field") \
+        .select(id_col, "group_id", "field")
 
 
 # SET2 ---------------------------------------------------------------------------------
@@ -141,18 +139,16 @@ def assign_remaining(patients: DataFrame, config: DataFrame, groups: DataFrame,
     is_true, value)``."""
     rest = remaining_config(config, groups)
 
-    def each(rows: DataFrame, columns: list[str]) -> DataFrame:
-        return with_table(patients.select(id_col), rows, columns, ["field"], id_col, "_c").select(id_col, F.inline("_c"))
-
+    ids = patients.select(id_col)
     lo, hi = range_bounds("range_text")
-    ranged = each(rest.where(F.col("kind") == "range"), ["field", "range_text"]).select(
+    ranged = product(ids, rest.where(F.col("kind") == "range").select("field", "range_text"), id_col).select(
         id_col, "field", F.lit(None).cast("boolean").alias("is_true"),
         seeded_int(lo, hi, id_col, "field", seed=seed).cast("string").alias("value"))
-    counted = each(rest.where((F.col("kind") == "count") & (F.col("count") > 0)), ["field", "count"]) \
-        .withColumn("_k", _key(id_col, "field", seed=seed))
-    ranked = scan.row_number(counted, ["field"], ["_k", id_col], "_rn")
-    return ranged.unionByName(ranked.where(F.col("_rn") <= F.col("count")).select(
-        id_col, "field", F.lit(True).alias("is_true"), F.lit(None).cast("string").alias("value")))
+    counted = rest.where((F.col("kind") == "count") & (F.col("count") > 0))
+    keyed = product(ids, counted.select("field"), id_col).withColumn("_k", _key(id_col, "field", seed=seed))
+    bounds = counted.select("field", F.lit(0).cast("long").alias("above"), F.col("count").alias("upto"), F.lit(True).alias("is_true"))
+    return ranged.unionByName(by_rank(keyed, bounds, "field", id_col, "_k", "is_true").select(
+        id_col, "field", "is_true", F.lit(None).cast("string").alias("value")))
 
 
 def generate(patients: DataFrame, config: DataFrame, groups: DataFrame,
@@ -207,8 +203,7 @@ def violation_preview(v: DataFrame, id_col: str = "patient_id", k: int = VIOLATI
 def coverage_gaps(patients: DataFrame, flags: DataFrame, groups: DataFrame,
                   id_col: str = "patient_id") -> DataFrame:
     """Patient and group with no true field of the group."""
-    pg = with_table(patients.select(id_col), groups.select("group_id").distinct(), ["group_id"], ["group_id"],
-                    id_col, "_g").select(id_col, F.inline("_g"))
+    pg = product(patients.select(id_col), groups.select("group_id").distinct(), id_col)
     covered = (flags.where(F.coalesce(F.col("is_true"), F.lit(False)))
                .join(groups.select("group_id", "field"), "field").select(id_col, "group_id").distinct())
     return pg.join(covered, [id_col, "group_id"], "left_anti")
@@ -230,6 +225,6 @@ def patients_json(flags: DataFrame, id_col: str = "patient_id") -> DataFrame:
                                        F.lit("}")).alias("json"))
 
 
-def write_patient_folders(flags: DataFrame, path: str, id_col: str = "patient_id") -> None:
-    """SRC4 sink: a folder per record (``patient_id=<id>``) holding its JSON."""
-    patients_json(flags, id_col).write.mode("overwrite").partitionBy(id_col).text(path)
+def write_patient_folders(flags: DataFrame, path: str, id_col: str = "patient_id", file: str = "form.json") -> None:
+    """SRC4 sink: ``<path>/<id>/form.json`` for every record."""
+    entity_files(patients_json(flags, id_col), path, id_col, "json", file)

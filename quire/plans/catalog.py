@@ -36,5 +36,5 @@ def load_all() -> None:
     """Import every query module so that all entries are registered."""
     from quire.plans import (  # noqa: F401
         q_cohort, q_records, q_text, q_scores, q_recommend, q_cluster, q_synth, q_reports,
-        q_sources,
+        q_sources, q_files, q_models,
     )

@@ -1,30 +1,23 @@
 """Products with a configuration table, without a cross join.
 
-A template, a list of groups or of quotas belongs to every record.  It is
-gathered into one row and put beside the records by an equi-join on a salt, so
-that records stay spread over all tasks and the table is copied once for each
-salt, whatever its size; Spark chooses the join.  ``F.inline`` then makes the
-product row by row.
+A template, a list of groups or of quotas belongs to every record.  Records are
+spread over salts by a hash of their id, every table row is copied once for each
+salt, and both meet in an equi-join on the salt: no row holds the table, and
+Spark chooses the join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import shuffle_partitions
 
 
-def with_table(rows: DataFrame, table: DataFrame, columns: Sequence[str], order: Sequence[str],
-               by: str, out: str) -> DataFrame:
-    """``rows`` plus ``out``: the array of all rows of ``table`` (structs of
-    ``columns``, sorted by ``order``); empty if the table is.  ``by`` is the
-    column of ``rows`` whose hash spreads them."""
+def product(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """Every row of ``rows`` with every row of ``table`` (none if that is empty).
+    ``by`` is the column of ``rows`` whose hash spreads them; column names must
+    differ."""
     salts = shuffle_partitions(rows.sparkSession)
-    entry = F.struct(*order, *[c for c in columns if c not in order])
-    one = table.agg(F.array_sort(F.collect_list(entry)).alias(out))
-    copies = one.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), out)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return salted.join(copies, "_salt").drop("_salt")
+    copies = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, "_salt").drop("_salt")

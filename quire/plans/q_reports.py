@@ -89,14 +89,19 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.select("conv_id", F.md5("html").alias("html_md5"), F.length("html").alias("n_chars"))
 
 
-@register("embed_stub")
+@register("embed_stub", oracle=r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS slot, count(*) AS n FROM t GROUP BY 1, 2),
+w AS (SELECT slot, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(*) + 1)) AS w FROM c GROUP BY slot),
+x AS (SELECT doc_id, slot, n * w AS x FROM c JOIN w USING (slot))
+SELECT doc_id, CAST(slot AS INT) AS slot, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 3) AS weight FROM x
+QUALIFY sum(x * x) OVER (PARTITION BY doc_id) > 0 AND x <> 0
+""")
 def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UDF4 default model: hashed TF-IDF unit vectors of the documents."""
+    """UDF4 default model: hashed term vectors of the documents, without the zeros."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = udfs.embed(d, "text")
-    nnz = F.size(F.filter("embedding", lambda x: x != 0))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return e.select("doc_id", nnz.alias("nnz"), F.round(norm, 4).alias("norm"))
+    e = udfs.embed(d, "text").select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
+    return e.where("weight <> 0").select("doc_id", "slot", F.round(F.col("weight").cast("double"), 3).alias("weight"))
 
 
 def _letter_shares(texts: list[str]):

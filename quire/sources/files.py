@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import file_name, file_stem
 from quire.operators.textops import drop_blank_lines
+from quire.sources.sheets import sheet_records
 
 # Fixed values of the reference ------------------------------------------------
 ENTITY_PATTERN = r"^BASC-(P\d+)-"  # score-report file name -> patient folder
@@ -142,14 +143,6 @@ def read_text_fallback(spark: SparkSession, folder: str, glob: str = "*") -> Dat
     return b.select(file_name("path").alias("file"), decode_fallback("content").alias("text"))
 
 
-# SRC7, SRC16 ----------------------------------------------------------------------
-def write_per_key(df: DataFrame, path: str, key_col: str, text_col: str) -> None:
-    """One folder per key (``key=<value>``) holding its text: per-file sinks
-    (answers, HTML reports) as one partitioned write."""
-    df.select(key_col, F.col(text_col).alias("value")).write.mode("overwrite") \
-        .partitionBy(key_col).text(path)
-
-
 # SRC11, SRC12 ---------------------------------------------------------------------
 def list_files(spark: SparkSession, root: str, glob: str | None = None,
                recursive: bool = True) -> DataFrame:
@@ -230,10 +223,10 @@ def nested_records(mapped: DataFrame, id_col: str = "record_id") -> DataFrame:
 def read_config_sheet(spark: SparkSession, path: str, skip_rows: int = 2,
                       columns: Sequence[str] = ("Variable", "n", "count")) -> DataFrame:
     """CSV config sheet after ``skip_rows`` heading rows; the next row is the
-    header; wanted columns missing from the sheet become NULL.  ``pos`` is
-    the row position (single file, read in order; a cell holds no line break)."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
-    return sheet_rows(raw, skip_rows, columns)
+    header; wanted columns missing from the sheet become NULL.  ``pos`` is the
+    row position; quoted cells may hold line breaks (see
+    :func:`quire.sources.sheets.sheet_records`)."""
+    return sheet_rows(sheet_records(spark, path), skip_rows, columns)
 
 
 def sheet_rows(lines: DataFrame, skip_rows: int = 2, columns: Sequence[str] = ("Variable", "n", "count")) -> DataFrame:
@@ -247,6 +240,6 @@ def sheet_rows(lines: DataFrame, skip_rows: int = 2, columns: Sequence[str] = ("
     names = [(x or "").strip() for x in next(csv.reader([head[0]["line"] or ""]), [])]
     schema = ", ".join(f"_c{i} string" for i in range(max(1, len(names))))
     body = lines.where((F.col("pos") > skip_rows) & (F.trim("line") != "")).select(
-        "pos", F.from_csv("line", schema).alias("_r"))
+        "pos", F.from_csv("line", schema, {"multiLine": "true", "escape": '"'}).alias("_r"))
     return body.select("pos", *[
         (F.col(f"_r._c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
