@@ -1,8 +1,9 @@
 """WARC archives: writer with payload revisits, and a reader that salvages.
 
 The writer makes one record for every page, each a gzip member of its own.
-Spark's text writer puts them into files; what it writes between two lines is
-an empty gzip member, so that every file is a plain sequence of members.
+Members are joined until they fill a file, by bytes or by number; Spark's text
+writer puts each such piece into a file and ends it with an empty gzip member, so
+that every file is a plain sequence of members.
 
 The reader walks through the members (or the records of an uncompressed file).
 Where a check fails (member checksum, version line, header, lengths, digests,
@@ -11,8 +12,9 @@ whole record can be read, goes on there, and logs the bytes in between as a
 quarantined gap with the reason.  Inside a member it does the same over the
 unpacked bytes; of a cut or damaged member those before the fault are read, and
 where the member is damaged a record counts as whole only if a digest proves it.
-A file is read in one piece, so the writer bounds the records of a file
-(``FILE_RECORDS``).
+A file is read in one piece, so the writer bounds a file's bytes (up to its last
+record, ``FILE_BYTES``) and records (``FILE_RECORDS``).  Numbers that no record
+can have, and headers beyond ``MAX_HEADER`` bytes, are damage like any other.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch_rows, record_batches, shared_table
+from quire.plans.hot import join_by_weight
 
 FILE_RECORDS = 5_000
+FILE_BYTES = 32 << 20
+MAX_HEADER = 16 << 20
+_LENGTH = re.compile(r"[0-9]{1,18}")
 # Formats.
 _EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300000000000000" "0000")
 _MEMBER = b"\x1f\x8b\x08"
@@ -65,10 +71,10 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         payload.alias("payload"), payload_digest(payload).alias("digest"))
-    small = rows.where(F.octet_length("payload") >= revisit_from).select("id", "digest")
-    least = small.groupBy("digest").agg(F.min("id").alias("first"))
+    small = shared_table(rows.where(F.octet_length("payload") >= revisit_from).select("id", "digest"))
+    least = shared_table(small.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     # one row for each page that revisits: written down, its size tells Spark how to join
-    revisits = shared_table(small.join(least, "digest").where(~F.col("id").eqNullSafe(F.col("first")))
+    revisits = shared_table(join_by_weight(small, least, ["digest"], "n").where(~F.col("id").eqNullSafe(F.col("first")))
                             .select("id", "digest", "first").distinct())
     same = rows["id"].eqNullSafe(revisits["id"]) & (rows["digest"] == revisits["digest"])
     return rows.join(revisits, same, "left").select(rows["id"], "url", "payload", rows["digest"], "first")
@@ -96,17 +102,28 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
+def write(plan: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", file_records: int = FILE_RECORDS,
+          file_bytes: int = FILE_BYTES) -> None:
     """Write the planned records as archives into the folder ``path``."""
-    schema = pa.schema([("member", pa.binary())])
-
-    def run(batches):
-        return record_batches(((member(record(*row, date)),) for row in batch_rows(batches)), schema, 512)
-
-    (plan.select("id", "url", "payload", "digest", "first").mapInArrow(run, "member binary")
-     .select(F.col("member").cast("string"))
+    schema = pa.schema([("members", pa.binary())])
+
+    def files(batches):
+        held, size = [], 0
+        for row in batch_rows(batches):
+            packed = member(record(*row, date))
+            if held and (len(held) >= file_records or size + len(packed) > file_bytes):
+                yield (b"".join(held),)
+                held, size = [], 0
+            held.append(packed)
+            size += len(packed)
+        if held:
+            yield (b"".join(held),)
+
+    (plan.select("id", "url", "payload", "digest", "first")
+     .mapInArrow(lambda batches: record_batches(files(batches), schema, 1), "members binary")
+     .select(F.col("members").cast("string"))
      .write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-     .option("maxRecordsPerFile", file_records).text(path))
+     .option("maxRecordsPerFile", 1).text(path))
 
 
 @dataclass(frozen=True)
@@ -135,7 +152,7 @@ def _parse(data: memoryview, start: int, limit: int, proof: bool = False) -> tup
         raise _Damage("no version line")
     size = 1024
     while (head := bytes(data[start:min(start + size, limit)])).find(_END) < 0:
-        if start + size >= limit:
+        if start + size >= limit or size >= MAX_HEADER:
             raise _Damage("header without end")
         size *= 4
     cut = head.find(_END)
@@ -145,9 +162,10 @@ def _parse(data: memoryview, start: int, limit: int, proof: bool = False) -> tup
         if not colon:
             raise _Damage("bad header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers \
-            or "warc-record-id" not in headers:
+    if "content-length" not in headers or "warc-type" not in headers or "warc-record-id" not in headers:
         raise _Damage("header incomplete")
+    if not all(_LENGTH.fullmatch(headers.get(n, "0")) for n in ("content-length", _FULL_LENGTH.lower())):
+        raise _Damage("header with a bad length")
     begin = start + cut + len(_END)
     stop = begin + int(headers["content-length"])
     if stop + len(_END) > limit:
@@ -302,7 +320,8 @@ def read_back(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     def page(value: str | None) -> int | None:
         number = (value or "").strip("<>").removeprefix(_PAGE)
-        return int(number) if re.fullmatch(r"-?\d+", number) else None
+        found = int(number) if re.fullmatch(r"-?[0-9]{1,19}", number) else None
+        return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
     def row(file: str, f: Found) -> tuple:
         if f.headers is None:

@@ -168,3 +168,61 @@ def test_damage_to_members_of_several_records(victim, place, size, kind):
     # (the payloads pack evenly: what ends well before the damage is there)
     ahead = [4 * victim + k for k in range(4) if (k + 1) / 4 < at / len(packs[victim]) - 0.05]
     assert at < 200 or [i for i in _kept(data) if i in ahead] == ahead
+
+
+NUMBERS = ["9" * 5000, "-5", "", "1e3", "٣", "99999999999999999999", "0x10", " 7 7", "9" * 18]
+
+
+def test_impossible_numbers_are_gaps(spark, tmp_dir):
+    good = _records(4)
+    revisit = warc.record(9, "http://h/9", b"x", digest(b"x"), 3, "2000-01-01T00:00:00Z")
+    for name in (b"Content-Length: ", b"X-Payload-Length: "):
+        for number in NUMBERS:
+            line = next(x for x in revisit.split(b"\r\n") if x.startswith(name))
+            hurt = revisit.replace(line, name + number.encode())
+            for pack in (bytes, warc.member):
+                data = b"".join(map(pack, [*good[:2], hurt, *good[2:]]))
+                found = list(warc.salvage(data))
+                assert [f.headers["warc-record-id"] for f in found if f.headers][:2] == ["<urn:page:0>", "<urn:page:1>"]
+                assert {"<urn:page:2>", "<urn:page:3>"} <= {f.headers["warc-record-id"] for f in found if f.headers}
+                if not (name == b"X-Payload-Length: " and number == "9" * 18):
+                    assert sum(f.reason is not None for f in found) == 1, (name, number)
+    # ids beyond 64 bits are no page numbers, and no reason to fail
+    far = good[0].replace(b"urn:page:0", b"urn:page:" + b"9" * 30)
+    with open(f"{tmp_dir}/far.warc", "wb") as f:
+        f.write(far + good[1])
+    assert sorted((r["page"], r["reason"]) for r in warc.read_back(spark, tmp_dir).collect() if r["page"] is not None) == [(1, None)]
+    assert warc.read_back(spark, tmp_dir).count() == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.booleans(), st.lists(st.tuples(st.integers(0, 260), st.integers(0, 255)), min_size=1, max_size=6))
+def test_header_bytes_never_raise(packed, changes):
+    records = _records(3)
+    hurt = bytearray(records[1])
+    for at, value in changes:
+        hurt[at % len(hurt)] = value
+    data = b"".join((warc.member if packed else bytes)(bytes(x)) for x in (records[0], hurt, records[2]))
+    found = list(warc.salvage(data))
+    assert found[0].headers["warc-record-id"] == "<urn:page:0>" and found[-1].headers["warc-record-id"] == "<urn:page:2>"
+
+
+def test_long_headers_without_end_are_bounded():
+    data = (b"WARC/1.1\r\nX: " + b"y" * 2000) * 300
+    assert [f.reason for f in warc.salvage(data)] == ["header without end"]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_dir):
+    rng = random.Random(5)
+    big = spark.createDataFrame([(i, f"u{i}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1 << 20))) for i in range(9)],
+                                "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.planned(big), f"{tmp_dir}/a", file_bytes=2 << 20)
+    import os
+    sizes = [os.path.getsize(f"{tmp_dir}/a/{f}") for f in os.listdir(f"{tmp_dir}/a") if f.startswith("part-")]
+    assert len(sizes) >= 3 and max(sizes) < 2.2 * (1 << 20)
+    found = warc.read_back(spark, f"{tmp_dir}/a", with_payload=False).collect()
+    assert sorted(r["page"] for r in found) == list(range(9)) and not any(r["reason"] for r in found)
+    # copies of one payload, a hot digest
+    same = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, null, 'same') AS html")
+    plan = {r["id"]: r["first"] for r in warc.planned(same).collect()}
+    assert plan == {i: (None if i in (0, 1) else 0 if i % 3 == 0 else 1) for i in range(400)}
