@@ -59,23 +59,29 @@ def non_blank(c: _C) -> Column:
 
 
 # SCL1 ------------------------------------------------------------------------
+def once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it
+    (Spark would compute it anew at every place inside a conditional)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def between_markers(text: _C, start: str, end: str) -> Column:
     """Shortest span after the first ``start`` up to the next ``end`` (across
     lines), stripped; NULL when the markers do not occur in that order."""
     # Plain substring search: the first ``start``, then the first ``end``
     # after it, which is what the lazy regex ``start(.*?)end`` finds.
-    t = _col(text)
-    a = F.instr(t, start)
-    rest = t.substr(a + F.lit(len(start)), F.lit(1 << 30))
-    b = F.instr(rest, end)
-    return F.when((a > 0) & (b > 0), ws_trim(rest.substr(F.lit(1), b - 1)))
+    at = F.instr(_col(text), start)
+    rest = once(F.struct(_col(text).alias("t"), at.alias("a")), lambda x: F.when(
+        x["a"] > 0, x["t"].substr(x["a"] + F.lit(len(start)), F.lit(1 << 30))))
+    return once(once(rest, lambda r: F.struct(r.alias("r"), F.instr(r, end).alias("b"))),
+                lambda x: F.when(x["b"] > 0, ws_trim(x["r"].substr(F.lit(1), x["b"] - 1))))
 
 
 # SCL2, SCL3, SCL5 --------------------------------------------------------------
 def test_date(text: _C) -> Column:
     """First ``Test Date: m/d/yyyy``; ``Unknown`` when absent."""
     d = F.regexp_extract(_col(text), r"(?U)Test Date:\s*(\d{1,2}/\d{1,2}/\d{4})", 1)
-    return F.coalesce(F.nullif(d, F.lit("")), F.lit("Unknown"))
+    return once(d, lambda x: F.when(x != "", x).otherwise(F.lit("Unknown")))
 
 
 def rater_type(text: _C) -> Column:
@@ -89,8 +95,8 @@ def rater_type(text: _C) -> Column:
 def _relationship_for(t: Column, label: str) -> Column:
     stops = "|".join(quote_regex(s) for s in RATER_FIELD_STOPS)
     pat = f"(?sU){quote_regex(label)}:\\s*(.*?)\\s*(?={stops}|$)"
-    v = ws_trim(F.regexp_extract(t, pat, 1))
-    return F.when(t.rlike(pat) & (v != ""), v).otherwise(F.lit("Unknown"))
+    # no match gives an empty text, and so does an empty value
+    return once(ws_trim(F.regexp_extract(t, pat, 1)), lambda v: F.when(v != "", v).otherwise(F.lit("Unknown")))
 
 
 def rater_relationship(text: _C) -> Column:
@@ -110,7 +116,7 @@ def number_run(text: _C, markers: list[str] | None = None) -> Column:
     """Whitespace-split run of digits after the first marker found; NULL if none."""
     t = _col(text)
     # a match always captures at least one character, so '' means no match
-    runs = [F.nullif(F.regexp_extract(t, "(?U)" + quote_regex(m) + r"\s+([\d\s]+)", 1), F.lit(""))
+    runs = [once(F.regexp_extract(t, "(?U)" + quote_regex(m) + r"\s+([\d\s]+)", 1), lambda x: F.when(x != "", x))
             for m in (markers or SCORE_MARKERS)]
     return F.split(ws_trim(F.coalesce(*runs)), r"(?U)\s+")
 

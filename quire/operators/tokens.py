@@ -22,6 +22,9 @@ from quire.session import shared_table
 # Fixed value: how byte-level vocabularies of the 50k kind cut texts into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+FREQUENT = 100_000  # pieces with more than one in so many of all are broadcast: fewer than that, of at most
+LONG = 64  # characters; longer ones are known by their digest
+
 
 def _encoded(ranks_path: str):
     """Pieces to numbers of tokens; the vocabulary is loaded once in a task."""
@@ -35,8 +38,8 @@ def _encoded(ranks_path: str):
         encoding = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             counts = [len(encoding.encode_ordinary(p)) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
-                                             names=["piece", "w", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(counts, pa.int64())],
+                                             names=["key", "w", "tokens"])
     return run
 
 
@@ -47,12 +50,12 @@ def token_counts(texts: DataFrame, ranks_path: str, id_col: str, text_col: str =
     that every machine has.  Null and empty texts have no tokens; rows with one
     id are counted together, a null id is an id.
     """
-    rows = texts.select(F.col(id_col).alias("id"), F.explode_outer(
-        F.regexp_extract_all(text_col, F.lit(f"(?U)({pattern})"), 1)).alias("piece"))
-    counted = shared_table(rows.groupBy("id", "piece").agg(F.count(F.lit(1)).alias("n")))
-    distinct = counted.where(F.col("piece").isNotNull()).groupBy("piece").agg(F.count(F.lit(1)).alias("w"))
-    known = shared_table(distinct.mapInArrow(_encoded(ranks_path), "piece string, w long, tokens long"))
-    there = join_by_weight(counted.where(F.col("piece").isNotNull()), known, ["piece"], "w")
-    empty = counted.where(F.col("piece").isNull()).select("id", F.lit(0).cast("long").alias("t"))
-    return (there.select("id", (F.col("n") * F.col("tokens")).alias("t")).unionByName(empty)
-            .groupBy("id").agg(F.sum("t").alias("n_tokens")))
+    key = F.when(F.length("piece") <= LONG, F.col("piece")).otherwise(F.sha2("piece", 512))
+    rows = texts.select(F.col(id_col).alias("id"), F.explode(
+        F.regexp_extract_all(text_col, F.lit(f"(?U)({pattern})"), 1)).alias("piece")).select("id", key.alias("key"), "piece")
+    distinct = rows.groupBy("key").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("w"))
+    known = shared_table(distinct.select("piece", "w", "key").mapInArrow(_encoded(ranks_path), "key string, w long, tokens long"))
+    # most pieces are frequent ones, which meet their tokens before any shuffle
+    there = join_by_weight(rows.select("id", "key"), known, ["key"], "w", share=FREQUENT)
+    none = texts.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("tokens"))
+    return there.select("id", "tokens").unionByName(none).groupBy("id").agg(F.sum("tokens").alias("n_tokens"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import answers, tokens
 from quire.plans.catalog import register
-from quire.session import read_table, shared_path
+from quire.session import read_table, shared_path, spread
 
 # Vocabulary file of the token count (a parameter; not part of the library).
 RANKS = os.environ.get("QUIRE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -40,7 +40,7 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN counted USING (doc_id)
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF1: tokens of every document by a real vocabulary; the SQL merges the
     bytes of every distinct piece pair by pair."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return tokens.token_counts(d, RANKS, "doc_id").withColumnRenamed("id", "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import reports, udfs
 from quire.plans.catalog import register
-from quire.session import read_table
+from quire.session import read_table, spread
 
 REQUESTED = ["assistant", "user", "system", "summary"]
 # Prompt length without the data (no role has its own example).
@@ -99,7 +99,7 @@ QUALIFY sum(x * x) OVER (PARTITION BY doc_id) > 0 AND x <> 0
 """)
 def embed_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UDF4 default model: hashed term vectors of the documents, without the zeros."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     e = udfs.embed(d, "text").select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return e.where("weight <> 0").select("doc_id", "slot", F.round(F.col("weight").cast("double"), 3).alias("weight"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import scores
 from quire.plans.catalog import register
-from quire.session import read_table
+from quire.session import read_table, spread
 
 RATERS = ["A", "N", "R"]
 
@@ -16,7 +16,7 @@ RATERS = ["A", "N", "R"]
 def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One score report per lineitem: returnflag R is a teacher form, line 5
     has no test date, line 6 no score block, line 7 the fallback marker."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     teacher = F.col("l_returnflag") == "R"
     nums = F.concat_ws(" ", F.col("l_quantity").cast("int").cast("string"),
                        F.col("l_linenumber").cast("string"),
@@ -150,7 +150,7 @@ def combined_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report text per order line: 18 numbers from the quantity, the first
     number from 1 to 99 (so that texts and numbers order differently)."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     first = F.pmod(F.col("l_quantity").cast("int") * F.col("l_linenumber"), F.lit(99)) + 1
     numbers = F.concat(F.array(first.cast("string")),
                        F.transform(F.sequence(F.lit(1), F.lit(17)), lambda i: (F.col("l_quantity").cast("int") + i).cast("string")))
@@ -247,7 +247,7 @@ FROM x GROUP BY 1, 2
 def score_zip_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN6 with 18, 20 and 25 numbers for both forms: labels differ by form and
     numbers beyond the labels are cut."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     teacher = F.col("l_returnflag") == "R"
     k = F.get(F.array(F.lit(18), F.lit(20), F.lit(25)), F.col("l_linenumber") % 3)
     numbers = F.transform(F.sequence(F.lit(0), k - 1), lambda i: (F.col("l_quantity").cast("int") + i).cast("string"))

@@ -10,7 +10,7 @@ from quire.functions import text as T
 from quire.functions.dates import age_at
 from quire.plans import scan
 from quire.plans.catalog import register
-from quire.session import read_table
+from quire.session import read_table, spread
 from quire.sources import files
 
 HOST = r"^[a-z]+://([^/?#]+)"
@@ -113,7 +113,7 @@ FROM a GROUP BY 1
 """)
 def age_at_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL19: order date as birth, ship date as evaluation, as text dates."""
-    li, o = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders")
+    li, o = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey"), read_table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     fmt = lambda c: F.date_format(c, "MM/dd/yyyy")
     return j.select(age_at(fmt("o_orderdate"), fmt("l_shipdate")).alias("age")) \
