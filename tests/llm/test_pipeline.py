@@ -104,7 +104,7 @@ def test_empty_documents(spark):
 def test_all_are_registered():
     found = entry.queries()
     assert "pipeline" in found and set(queries.QUERIES) <= set(found)
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
