@@ -113,7 +113,7 @@ def test_queries_by_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{os.path.join(SF, table)}.parquet')")
     wanted = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in wanted.description]
