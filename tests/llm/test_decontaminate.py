@@ -53,6 +53,38 @@ def test_matches_are_those_of_brute_force():
             assert found.get(i) == (best if best <= k else None), (trial, i, best, k)
 
 
+def test_items_of_every_length_at_the_full_budget():
+    rng = random.Random(23)
+    for n in range(1, 61):
+        item = dec.normal(_words(rng, 40))[:n].strip()
+        index = dec.Index.build([(n, item)])
+        (_, _, k), = index.items
+        assert k == len(item) * 8 // 100
+        for edits in {0, max(0, k - 1), k, k + 1, k + 2}:
+            for _ in range(6):
+                held = _edited(rng, item, edits) if len(item) > edits else item
+                text = dec.normal(f"{_words(rng, rng.randint(0, 6))} {held} {_words(rng, rng.randint(0, 6))}")
+                best = edits_in(item, text)
+                wanted = f" {item} " in f" {text} " if len(item) < dec.Q else best <= k
+                assert [(i, e) for i, e, *_ in index.matches(text)] == ([(n, best)] if wanted else []), (n, edits)
+
+
+def test_short_items_count_as_whole_words():
+    index = dec.Index.build([(1, "what is x"), (2, "aa"), (3, "é")])
+    assert [m[0] for m in index.matches("So: WHAT is x?")] == [1]
+    assert index.matches("somewhat is xy, aaa aaaa") == []
+    assert [(m[0], m[3]) for m in index.matches("aaa aa é")] == [(2, 4), (3, 7)]
+
+
+def test_grams_common_to_many_items(monkeypatch):
+    rng = random.Random(8)
+    common = dec.normal(_words(rng, 12))
+    items = [(i, dec.normal(f"{common} {_words(rng, 14)}")) for i in range(300)]
+    index = dec.Index.build(items)
+    assert index.matches(f"{common} " * 400) == []
+    assert [(i, e) for i, e, *_ in index.matches(f"{common} " * 50 + items[7][1] + " end")] == [(7, 0)]
+
+
 def test_long_text_is_read_in_pieces(monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(dec, "_PIECE", 500)
@@ -75,17 +107,18 @@ def test_alignment_stays_in_its_band():
 def test_documents_of_all_kinds(spark):
     rng = random.Random(5)
     item = _words(rng, 30)
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "short"), (4, "")],
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "shortest"), (4, ""), (5, "?!")],
                                   "item_id long, text string")
     rows = [(1, item, 1), (2, _words(rng, 60), 2), (3, None, 3), (4, "", 4), (5, "pre " + item.upper() + " post", 5),
-            (5, "pre " + item.upper() + " post", 5), (None, item, 6), (7, _words(rng, 20_000) + item, 7)]
+            (5, "pre " + item.upper() + " post", 5), (None, item, 6), (7, _words(rng, 20_000) + item, 7),
+            (8, "the SHORTEST one", 8), (9, "theshortest one", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, edits int")
-    for size in (10, 2_000_000):
+    for size in (100, 2_000_000):
         indexes = dec.blocks(bench, block_chars=size)
         found = sorted((str(r["id"]), r["item"], r["edits"]) for r in dec.leaks(docs, indexes).collect())
-        assert found == [("1", 1, 0), ("5", 1, 0), ("5", 1, 0), ("7", 1, 0), ("None", 1, 0)]
+        assert found == [("1", 1, 0), ("5", 1, 0), ("5", 1, 0), ("7", 1, 0), ("8", 3, 0), ("None", 1, 0)]
         clean = dec.clean_documents(docs, indexes)
-        assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4]
+        assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 9]
     none = dec.blocks(bench.where("false"))
     assert dec.leaks(docs, none).count() == 0 and dec.clean_documents(docs, none).count() == len(rows)
     assert dec.leaks(docs.where("false"), dec.blocks(bench)).count() == 0
