@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is cut into ``BLOCKS`` blocks by a hash of the document id.  Its
-target buys whole passes over its blocks and a part of one more pass, whose
+Every source is cut into blocks by a hash of the document id: ``BLOCKS``, or more
+where the table has over ``BLOCK_ROWS`` rows for each.  Its target buys whole passes over its blocks and a part of one more pass, whose
 blocks come in a hashed permutation, each that still fits; of one more block
 the documents come in a hashed permutation until the words are reached.  The block
 copies of all sources (the exact quotas) are then split among the output shards
@@ -11,9 +11,11 @@ exact number of copies of each source; it takes the next ones of the source's
 permuted list, so that shards are disjoint, and puts their documents into a
 hashed order of its own.  All draws depend on the seed and the data only.
 
-Sums are combined before they are shuffled.  Documents meet their block, never
-their whole source, so a source that holds a third of all rows spreads over its
-blocks.  Only tables with one row per source (targets) or per source and shard
+Sums are combined before they are shuffled.  What a block's copies are is known
+from the sums; only the one block of a source that is cut in its part pass has its
+documents' sizes put in order (never texts), which gives the hash to cut at.  So
+documents need nothing but their block's row, and a source that holds a third of
+all rows spreads over its blocks.  Only tables with one row per source (targets) or per source and shard
 (quotas) are handled as a whole.
 """
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import WORD_PATTERN, hash_fraction, shared_table
 
-BLOCKS = 1024
+BLOCKS = 1024  # of a source, at least
+BLOCK_ROWS = 8192  # rows for each block that a source may have, on average
 SHARDS = 16
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -114,7 +117,8 @@ def _part_pass(blocks: pd.DataFrame) -> pd.DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         size_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
-        cap: float = 2.0, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 42) -> DataFrame:
+        cap: float = 2.0, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 42,
+        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every row of ``docs`` with a struct column ``mix``:
 
     ``size`` (words; ``size_col`` if given), ``source_size``, ``target`` (of its
@@ -126,19 +130,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null source is a source of its own, the last one.  Documents without
     words are taken like the rest of their block, as zero words.  Repeated rows
     are rows like any other; of two alike, which one is cut at the end of a
-    source's part pass is left open.  No rows give no rows.
+    source's part pass is left open.  Rows with a null id are spread by their text
+    (by their size, with ``size_col``).  No rows give no rows.
     """
     salt = str(seed)
     src = F.col(source_col).cast("string")
     size = F.col(size_col).cast("long") if size_col else word_count(F.col(text_col))
     id_ = F.col(id_col)
+    spread = F.when(id_.isNull(), F.xxhash64(F.col(size_col) if size_col else F.col(text_col)))  # null changes no hash
+    blocks = max(blocks, -(-docs.count() // block_rows))
     rows = docs.drop("mix").withColumns({
         "_quire_key": F.coalesce(F.concat(F.lit("="), src), F.lit("")),
-        "_quire_block": F.floor(hash_fraction(id_, salt=salt) * blocks).cast("int"),
+        "_quire_block": F.floor(hash_fraction(id_, spread, salt=salt) * blocks).cast("int"),
+        "_quire_order": F.xxhash64(F.lit(salt), F.lit("document"), id_, spread),
         "_quire_size": size})
-    by_block = shared_table(rows.groupBy("_quire_key", "_quire_block").agg(
-        F.sum("_quire_size").alias("words"))
-        .select(F.col("_quire_key").alias("key"), F.col("_quire_block").alias("block"), "words"))
+    sizes = shared_table(rows.select(F.col("_quire_key").alias("key"), F.col("_quire_block").alias("block"),
+                                     F.col("_quire_order").alias("order"), F.col("_quire_size").alias("size")))
+    by_block = shared_table(sizes.groupBy("key", "block").agg(F.sum("size").alias("words")))
     by_source = by_block.groupBy("key").agg(F.sum("words").alias("source_size"))
     plan = shared_table(targets(
         by_source.select(F.when(F.col("key") != "", F.substr("key", F.lit(2))).alias("source"), "source_size"),
@@ -166,22 +174,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .withColumn("shard", F.element_at(F.filter(
                  "starts", lambda x: x["start"] <= F.col("place")), -1)["shard"])
              .groupBy("key", "block").agg(F.collect_list(F.struct("turn", "left", "shard")).alias("dealt")))
-    table = (by_block.select("key", "block").join(plan.select("key", "source_size", "target"), "key")
-             .join(dealt, ["key", "block"], "left")
-             .select(F.col("key").alias("_quire_key"), F.col("block").alias("_quire_block"),
-                     F.col("source_size").alias("_quire_source_size"), F.col("target").alias("_quire_target"),
-                     F.col("dealt").alias("_quire_dealt")))
-
-    # documents of a block in hashed order: the part pass takes them while half of each still fits
-    order = F.xxhash64(F.lit(salt), F.lit("document"), id_)
-    in_block = Window.partitionBy("_quire_key", "_quire_block").orderBy(order, id_, "_quire_size") \
+    # documents of a cut block in hashed order: it takes them while half of each still fits
+    cut = copies.where(F.col("left").isNotNull()).select("key", "block", "left")
+    in_block = Window.partitionBy("key", "block").orderBy("order", "size") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(table, ["_quire_key", "_quire_block"]).withColumn(
-        "_quire_before", F.sum("_quire_size").over(in_block) - F.col("_quire_size"))
-    middle = F.col("_quire_before") + F.col("_quire_size") / 2
+    ends = (sizes.join(cut, ["key", "block"])
+            .withColumn("fits", F.sum("size").over(in_block) - F.col("size") / 2 <= F.col("left"))
+            .groupBy("key", "block", "order").agg(F.count_if("fits").alias("some"), F.count_if(~F.col("fits")).alias("none"))
+            .where("none > 0").groupBy("key", "block").agg(F.min(F.struct("order", "some")).alias("end")))
+    table = shared_table(
+        by_block.select("key", "block").join(plan.select("key", "source_size", "target"), "key")
+        .join(dealt, ["key", "block"], "left").join(ends, ["key", "block"], "left")
+        .select(F.col("key").alias("_quire_key"), F.col("block").alias("_quire_block"),
+                F.col("source_size").alias("_quire_source_size"), F.col("target").alias("_quire_target"),
+                F.col("dealt").alias("_quire_dealt"), F.col("end.order").alias("_quire_end"), F.col("end.some").alias("_quire_some")))
+
+    rows = rows.join(table, ["_quire_key", "_quire_block"])
+    rows = rows.withColumn("_quire_fits", F.col("_quire_end").isNull() | (F.col("_quire_order") < F.col("_quire_end")))
+    if not table.where("_quire_some > 0").isEmpty():  # rows with the id at the cut, some of which still fit
+        split = F.coalesce((F.col("_quire_order") == F.col("_quire_end")) & (F.col("_quire_some") > 0), F.lit(False))
+        alike = Window.partitionBy("_quire_key", "_quire_block").orderBy("_quire_size")
+        rows = rows.where(~split).union(rows.where(split).withColumn(
+            "_quire_fits", F.row_number().over(alike) <= F.col("_quire_some")))
+    fits = F.col("_quire_fits")
     taken = F.transform(
-        F.filter(F.coalesce(F.col("_quire_dealt"), F.array()), lambda x: x["left"].isNull() | (middle <= x["left"])),
-        lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(salt), x["shard"], x["turn"], id_).alias("place")))
+        F.filter(F.coalesce(F.col("_quire_dealt"), F.array()), lambda x: x["left"].isNull() | fits),
+        lambda x: F.struct(x["shard"].alias("shard"),
+                           F.xxhash64(F.lit(salt), x["shard"], x["turn"], id_, spread).alias("place")))
     result = F.struct(F.col("_quire_size").alias("size"), F.col("_quire_source_size").alias("source_size"),
                       F.col("_quire_target").alias("target"),
                       (F.size("_quire_copies") * F.col("_quire_size")).cast("long").alias("taken"),

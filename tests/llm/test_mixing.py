@@ -91,3 +91,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert mixing.mix(none).count() == 0
     wordless = spark.createDataFrame([(1, "", "s"), (2, None, "t")], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix(wordless).select("mix.taken").collect()] == [0, 0]
+
+
+def test_null_ids_and_block_sizes(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(None, " ".join(f"w{rng.random()}" for _ in range(5)), "s") for _ in range(300)]
+                                 + [(i, "a b c", "t") for i in range(300)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, blocks=2, block_rows=20).select("source", "mix.*").collect()
+    assert len(rows) == 600
+    for s, target in water_filled({"s": 1500, "t": 900}).items():
+        own = [r for r in rows if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(target) and abs(sum(r["taken"] for r in own) - target) <= 5
+        assert len({c["shard"] for r in own for c in r["copies"]}) > 8
+    window = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in window  # texts meet their block's row, and are in no window
