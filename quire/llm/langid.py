@@ -10,6 +10,8 @@ by Adam on cross entropy, on a bounded sample of labelled documents.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +25,11 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-# Labelled documents of each language that a fit may use, and windows of each.
+# Labelled documents of each language that a fit may use, and windows of each in
+# an epoch: every epoch has windows of its own, from anywhere in the whole text.
 FIT_DOCUMENTS = 400
 FIT_WINDOWS = 3
-FIT_BYTES = 4096
+EPOCHS = 12
 NONE = "und"  # fixed value: no language
 _BATCH = 64
 _PAD = 256  # a symbol of its own, embedded as zero
@@ -145,16 +148,16 @@ class Network:
         return [d_embedding, *d_filters, *d_bias, pooled.T @ error, error.sum(axis=0)]
 
 
-def train(network: Network, symbols: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.01,
+def train(network: Network, symbols: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01,
           seed: int = 42) -> Network:
-    """Adam over shuffled batches, in place."""
+    """Adam over shuffled batches, in place; rows are dealt to the epochs in turn."""
     rng = np.random.default_rng(seed)
     goal = np.eye(len(network.languages), dtype=np.float32)[label]
     weights = network.weights()
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(symbols))
+        order = rng.permutation(np.arange(epoch, len(symbols), epochs))
         for start in range(0, len(order), _BATCH):
             part = order[start:start + _BATCH]
             step += 1
@@ -166,22 +169,32 @@ def train(network: Network, symbols: np.ndarray, label: np.ndarray, epochs: int
     return network
 
 
-def _training_windows(text: str, rng: np.random.Generator) -> np.ndarray:
-    """A few windows of a document; some are cut short, so that short texts are met too."""
+def _training_windows(text: str) -> list[bytes]:
+    """Windows of a document for all epochs, from anywhere in its whole text;
+    some are cut short, so that short texts are met too.  They depend on the
+    text alone."""
     raw = text.encode()
-    rows = []
-    for _ in range(FIT_WINDOWS):
+    rng = np.random.default_rng(zlib.crc32(raw))
+    made = []
+    for _ in range(FIT_WINDOWS * EPOCHS):
         size = WINDOW if rng.random() < 0.5 else int(rng.integers(4, WINDOW))
         start = int(rng.integers(0, max(1, len(raw) - size + 1)))
-        rows.append(windows(raw[start:start + size])[0][0])
-    return np.array(rows)
+        made.append(raw[start:start + size])
+    return made
+
+
+def _draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for lang, text in zip(rows["lang"], rows["text"]):
+            made = _training_windows(text)
+            yield pd.DataFrame({"lang": lang, "text": zlib.crc32(text.encode()), "place": range(len(made)), "raw": made})
 
 
 def fit(docs: DataFrame, train_rows: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         per_language: int = FIT_DOCUMENTS, seed: int = 42) -> Network:
     """Train on at most about ``per_language`` labelled documents of each
-    language that pass ``train_rows`` (of long ones a stretch, in training only).
-    Null languages, null texts and texts without letters teach nothing; the
+    language that pass ``train_rows``.  Windows are drawn in the tasks, from whole
+    texts; only they come to the driver.  Null languages, null texts and texts without letters teach nothing; the
     result knows no language if there are none."""
     usable = docs.where(train_rows & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang"))
@@ -192,40 +205,68 @@ def fit(docs: DataFrame, train_rows: Column, text_col: str = "text", lang_col: s
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == F.lit(lang), F.lit(per_language / n)).otherwise(share)
     order = hash_fraction(F.col(id_col).cast("string"), F.col(text_col), salt="langid")
-    start = (F.pmod(F.xxhash64(F.col(text_col)), F.greatest(F.lit(1), F.length(text_col) - FIT_BYTES)) + 1).cast("int")
-    sample = (usable.where(order < share)
-              .select(F.col(lang_col).alias("lang"), F.col(text_col).substr(start, F.lit(FIT_BYTES)).alias("text"))
-              .toPandas().sort_values(["lang", "text"]))
+    sample = (usable.where(order < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+              .mapInPandas(_draw, "lang string, text long, place int, raw binary")
+              .toPandas().sort_values(["lang", "text", "place"], kind="stable"))
     languages = sorted(sizes)
     network = Network.fresh(languages, seed)
     if sample.empty:
         return network
-    rng = np.random.default_rng(seed)
-    made = [_training_windows(t, rng) for t in sample["text"]]
-    label = np.repeat([languages.index(x) for x in sample["lang"]], [len(m) for m in made])
-    return train(network, np.concatenate(made), label, seed=seed)
-
-
-def predict_text(network: Network, text: str | None) -> tuple[str, float]:
-    """Language and its probability; ``und`` for a text without letters."""
-    if not text or not network.languages or not any(map(str.isalpha, text)):
-        return NONE, 0.0
-    rows, lengths = windows(text.encode())
-    total = np.zeros(len(network.languages))
-    for start in range(0, len(rows), _BATCH):
-        part = slice(start, start + _BATCH)
-        total += lengths[part] @ network.log_probabilities(rows[part])
-    mean = total / lengths.sum()
-    p = np.exp(mean - mean.max())
-    p /= p.sum()
-    return network.languages[int(p.argmax())], float(p.max())
+    symbols = np.concatenate([windows(bytes(raw))[0][:1] for raw in sample["raw"]])
+    return train(network, symbols, sample["lang"].map(languages.index).to_numpy(), seed=seed)
+
+
+def predict_texts(network: Network, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+    """Language and its probability of each text; ``und`` for one without letters.
+
+    Windows of all texts run through the network in batches of one fixed size, so
+    that a text's result doesn't depend on its neighbours.
+    """
+    texts = list(texts)
+    n = len(network.languages)
+    total, length = np.zeros((len(texts), n)), np.zeros(len(texts))
+    batch = np.full((_BATCH, WINDOW), _PAD, dtype=np.int16)
+    owner, weight = np.zeros(_BATCH, dtype=np.int64), np.zeros(_BATCH)
+    filled = 0
+
+    def run() -> None:
+        np.add.at(total, owner[:filled], (network.log_probabilities(batch) * weight[:, None])[:filled])
+
+    for place, text in enumerate(texts):
+        if not text or not n or not any(map(str.isalpha, text)):
+            continue
+        rows, lengths = windows(text.encode())
+        length[place] = lengths.sum()
+        start = 0
+        while start < len(rows):
+            size = min(_BATCH - filled, len(rows) - start)
+            batch[filled:filled + size], weight[filled:filled + size] = rows[start:start + size], lengths[start:start + size]
+            owner[filled:filled + size] = place
+            start, filled = start + size, filled + size
+            if filled == _BATCH:
+                run()
+                filled = 0
+    if filled:
+        run()
+    out = []
+    for logs, size in zip(total, length):
+        if not size:
+            out.append((NONE, 0.0))
+            continue
+        mean = logs / size
+        p = np.exp(mean - mean.max())
+        p /= p.sum()
+        out.append((network.languages[int(p.argmax())], float(p.max())))
+    return out
 
 
 def predict(network: Network, text: Column) -> Column:
-    """Struct ``(lang, score)`` for whole texts, null ones too."""
+    """Struct ``(lang, score)`` for whole texts of any length, null and empty ones
+    too.  Of languages with equal probability the first by name counts; repeated
+    rows get equal results; no column but ``text`` is read."""
 
     @F.pandas_udf("lang string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict_text(network, t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame(predict_texts(network, texts), columns=["lang", "score"])
 
     return run(text)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -121,3 +122,81 @@ def test_pseudo_labels_help_the_other_view():
     (labelled, y), (pool, _), (test, t) = sample(60), sample(2000), sample(2000)
     right = [((quality.co_train(labelled, y, pool, rounds=r).probability(*test) >= 0.5) == t).mean() for r in (0, 4)]
     assert right[1] > right[0] and right[1] > 0.93
+
+
+def test_gifts_come_from_the_whole_table(spark):
+    """What the table pool draws: only documents that the giver is sure of and the
+    taker hasn't got, equal ones once, the wanted number where there are enough."""
+    docs, _, _ = _pages(spark)
+    fields = quality._columns(docs, "text", "source", "lang", "n_chars")
+    packed = quality._packed(docs.union(docs).select(F.lit(0).alias("label"), *fields)).select("key", "a", "b")
+    pool = quality.TablePool(packed)
+    rows = {r["key"]: r for r in packed.collect()}
+    rng = np.random.default_rng(4)
+    weights = [rng.normal(0, 3, quality._TEXT + 1), rng.normal(0, 3, quality._PAGE + 1)]
+    sizes = (quality._TEXT, quality._PAGE)
+
+    def p(giver, key):
+        x = np.frombuffer(rows[key]["ab"[giver]], np.float16).astype(float)
+        return 1 / (1 + np.exp(-np.clip(x @ weights[giver][:-1] + weights[giver][-1], -30, 30)))
+
+    expected = {(g, c): {k for k in rows if (p(g, k) >= quality.SURE if c else p(g, k) <= 1 - quality.SURE)}
+                for g in (0, 1) for c in (0, 1)}
+    taken = [set(list(expected[1, 1])[:5]), set(list(expected[0, 1])[:5])]
+    counts, picks = pool.sure(weights, taken, 0, {0: 8, 1: 8})
+    assert any(len(v) > 20 for v in expected.values())
+    for (giver, label), keys in picks.items():
+        free = expected[giver, label] - taken[1 - giver]
+        assert set(keys) <= free and len(set(keys)) == len(keys) == min(8, len(free))
+        assert abs(counts[giver, label] - len(free)) <= 0.1 * len(free) + 1
+    assert pool.sure(weights, taken, 0, {0: 8, 1: 8})[1] == picks
+    fetched = pool.rows(set(picks[0, 1]) if (0, 1) in picks else set())
+    assert all(len(a) == sizes[0] and len(b) == sizes[1] for a, b in fetched.values())
+
+
+def test_views_are_separate():
+    assert len(quality.page_view("s", "aa", 12)) == quality._PAGE and len(quality.text_view(None)) == quality._TEXT
+    assert (quality.text_view("") == quality.text_view(None)).all()
+    for chars in (None, float("nan"), -3):
+        assert quality.page_view(None, None, chars)[-1] == 1
+    assert np.isfinite(quality.page_view(None, None, 1e300)).all()
+
+
+def test_document_score_by_hand(spark):
+    docs, labels, n = _pages(spark, 120)
+    model = quality.fit(docs, labels, train=F.lit(True))
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars", quality.score(docs, model).alias("s")).collect()
+    for r in rows:
+        total = 0.0
+        for x, w, (slope, offset) in ((quality.text_view(r["text"]), model.text, model.text_scale),
+                                      (quality.page_view(r["source"], r["lang"], r["n_chars"]), model.page, model.page_scale)):
+            odds = min(30.0, max(-30.0, float(x @ w[:-1] + w[-1])))
+            total += min(8.0, max(-8.0, odds * slope + offset))
+        assert r["s"] == pytest.approx(1 / (1 + math.exp(-(total * model.joint[0] + model.joint[1]))), abs=1e-9)
+
+
+def test_texts_together_or_alone():
+    """A text's language is the mean of its windows, whatever shares its batch."""
+    rng = random.Random(5)
+    net = langid.Network.fresh(["a", "b", "c"], 2)
+    texts = [_text(rng, rng.choice(list(LANGS)), rng.choice([1, 5, 60, 3000])) for _ in range(150)] + [None, "", "1 2"]
+    together = langid.predict_texts(net, texts)
+    assert together[::-1] == langid.predict_texts(net, texts[::-1])
+    for text, (lang, score) in zip(texts, together):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        rows, lengths = langid.windows(text.encode())
+        out = net.pooled(rows)[0] @ net.dense + net.dense_bias
+        logs = out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+        mean = lengths @ logs / lengths.sum()
+        q = np.exp(mean) / np.exp(mean).sum()
+        assert lang == net.languages[q.argmax()] and score == pytest.approx(q.max(), abs=1e-4)
+
+
+def test_training_windows_reach_the_end():
+    text = "x" * 100_000 + "y" * 100_000
+    made = langid._training_windows(text)
+    assert len(made) == langid.FIT_WINDOWS * langid.EPOCHS and all(len(m) <= langid.WINDOW for m in made)
+    assert any(b"y" in m for m in made) and any(b"x" in m for m in made)
+    assert all(m == b"" or m in b"ab" for m in langid._training_windows("ab"))
