@@ -7,10 +7,12 @@ of them.  A token scores the highest odds of its stems, wherever and however
 often it occurs, and every token costs ``drift``, so that clean text drifts
 downwards.  A linear scan finds all maximal scoring
 segments of a document.  The scale of their scores under clean text (the
-positive root of the moment equation) turns a score into an E-value for the
+positive root of the moment equation, over the scores that the scan gives to the
+tokens of clean text) and their rate turn a score into an E-value for the
 document's length; segments with E below ``e_value`` are significant passages.
 The summed surprise of a document's passages, in which a word's k-th mention
-weighs a k-th, is calibrated to a probability on the training documents.
+weighs a k-th, is calibrated to a probability.  Scale, rate and probability are
+taken from labelled documents that the odds haven't seen.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_rows, bounded_sample, record_batches, shared_table
+from quire.llm.common import batch_rows, bounded_sample, hash_fraction, record_batches, shared_table
 
 # Labelled documents that a fit may use (of each class; a hash picks them).
 FIT_DOCUMENTS = 10_000
 # Leading letters that count as a stem, besides the whole word.
 STEMS = range(3, 9)
+# Share of them kept from the odds, and the fewest of a class that will do: with
+# fewer, all documents serve for both.
+ASIDE, ASIDE_LEAST = 0.3, 20
 _TOKEN = re.compile(r"[^\W\d_]+")
 _REMEMBER = 200_000
 
@@ -97,6 +102,10 @@ class Model:
             known[token] = max((self.odds[x] for x in stems(token) if x in self.odds), default=0.0)
         return known[token]
 
+    def scores(self, text: str | None) -> list[float]:
+        """Odds of a text's tokens, as the scan sees them."""
+        return [self._token_odds(t, self._known) for t in tokens(text)]
+
     def _scan(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], list[str], list[float]]:
         """Significant ``(first, last, score, e_value)`` by token, the tokens and their odds."""
         found, known = tokens(text), self._known
@@ -186,9 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     """Learn from the labelled documents whose id passes ``train`` (a condition
     on the id column).  Ids that repeat in ``labels`` are toxic if any row says
     so; null labels and ids teach nothing.  Without labels of both kinds nothing
-    is toxic."""
-    learned = _labelled(docs, labels, id_col, text_col, label_col, train, rows).select("text", "toxic")
-    learned = shared_table(learned)
+    is toxic.  Equal texts fall on one side of the split between odds and calibration."""
+    every = shared_table(_labelled(docs, labels, id_col, text_col, label_col, train, rows).select("text", "toxic"))
+    kept = hash_fraction(F.coalesce("text", F.lit("")), salt="aside") < ASIDE
+    enough = {r["toxic"] for r in every.where(kept).groupBy("toxic").count().collect() if r["count"] >= ASIDE_LEAST}
+    learned, aside = (every.where(~kept), every.where(kept)) if len(enough) == 2 else (every, every)
     counts = pa.schema([("token", pa.string()), ("t", pa.int64()), ("c", pa.int64())])
 
     def count(batches):
@@ -217,32 +228,50 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     odds = logit("t", in_toxic) - logit("c", in_clean)
     spread = F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha))
     sure = F.greatest(F.abs(odds) - z * spread, F.lit(0.0)) * F.signum(odds)
-    strong = by_token.select("token", sure.alias("odds"),
-                             ((F.col("c") + alpha) / F.lit(in_clean + prior)).alias("p")) \
-        .where(F.col("odds") != 0).collect()  # as bounded as the labelled sample
+    strong = by_token.select("token", sure.alias("odds")).where(F.col("odds") != 0).collect()  # as bounded as the sample
     lexicon = {r["token"]: r["odds"] for r in strong}
-    # the moment equation is over whole words, the tokens of a text
-    own = [r for r in strong if not r["token"].endswith("*")]
-    p = np.array([r["p"] for r in own])
-    s = np.array([r["odds"] for r in own]) - drift
-    decay = decay_root(np.append(p, max(1e-12, 1 - p.sum())), np.append(s, -drift))
-
-    seen_schema = pa.schema([("toxic", pa.int32()), ("segments", pa.int64()), ("tokens", pa.int64())])
-    raw = Model(lexicon, drift, decay, 1.0, math.inf, 1.0, 0.0)
-
-    def segments(batches):
-        found = ((y, raw.passages(t)) for t, y in batch_rows(batches))
-        return record_batches(((y, len(p), n) for y, (p, n) in found), seen_schema)
-
-    clean = (learned.mapInArrow(segments, "toxic int, segments long, tokens long").where(F.col("toxic") == 0)
-             .agg(F.sum("segments"), F.sum("tokens")).first())
-    rate = ((clean[0] or 0) + 1) / ((clean[1] or 0) + 1)
-    model = Model(lexicon, drift, decay, rate, e_value, 1.0, 0.0)
-    seen = learned.select("toxic", _surprise(model)(F.col("text")).alias("x")).toPandas()
+    clean = aside.where("toxic = 0").select("text")
+    decay = _decay(clean, Model(lexicon, drift, 1.0, 1.0, math.inf, 1.0, 0.0))
+    rate = _rate(clean, Model(lexicon, drift, decay, 1.0, math.inf, 1.0, 0.0), e_value)
+    seen = aside.select("toxic", _surprise(Model(lexicon, drift, decay, rate, e_value, 1.0, 0.0))(F.col("text")).alias("x")).toPandas()
     slope, offset = calibrate(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
     return Model(lexicon, drift, decay, rate, e_value, max(0.0, slope), offset)
 
 
+def _decay(clean: DataFrame, model: Model) -> float:
+    """Root of the moment equation for the scores that the scan gives to the
+    tokens of clean text; one token of the highest score is added to them."""
+    def weigh(batches):
+        seen: Counter = Counter()
+        for (text,) in batch_rows(batches):
+            seen.update(model.scores(text))
+        return record_batches(seen.items(), pa.schema([("score", pa.float64()), ("n", pa.int64())]))
+
+    by_score = (clean.mapInArrow(weigh, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+                .toPandas().sort_values("score"))  # no more rows than the lexicon has scores
+    top = max(model.odds.values(), default=0.0)
+    n = np.append(by_score["n"].to_numpy(float), 1.0)
+    return decay_root(n / n.sum(), np.append(by_score["score"].to_numpy(float), top) - model.drift)
+
+
+def _rate(clean: DataFrame, raw: Model, e_value: float) -> float:
+    """Segments per token of clean text, such that ``e_value`` of them a document
+    fall below that E-value (all of them where there are fewer).  ``raw`` has rate
+    one and no limit."""
+    def expect(batches):
+        found = (raw.passages(t) for (t,) in batch_rows(batches))
+        return record_batches(((n, [x[3] for x in p]) for p, n in found),
+                              pa.schema([("n", pa.int64()), ("e", pa.list_(pa.float64()))]))
+
+    segments = shared_table(clean.mapInArrow(expect, "n long, e array<double>"))
+    documents, n, count = segments.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.size("e"))).first()
+    allowed = int(e_value * documents) + 1
+    if (count or 0) < allowed:
+        return ((count or 0) + 1) / ((n or 0) + 1)
+    lowest = segments.select(F.explode("e").alias("e")).orderBy("e").limit(allowed).agg(F.max("e")).first()[0]
+    return e_value / max(lowest, 1e-300)
+
+
 def _surprise(model: Model):
     @F.pandas_udf("double")
     def surprise(text: pd.Series) -> pd.Series:
@@ -252,7 +281,9 @@ def _surprise(model: Model):
 
 
 def score(model: Model, text: Column) -> Column:
-    """Probability that a text is toxic; a null or empty text has no passage."""
+    """Probability that a text is toxic; a null or empty text has no passage, a
+    very long one is scanned in whole, and repeated rows score alike.  No other
+    column is read."""
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
         return pd.Series([model.probability(t) for t in texts], dtype="float64")

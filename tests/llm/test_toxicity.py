@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -97,3 +98,51 @@ def test_repeated_passages_are_all_found():
         assert {s for _, _, s, _ in found} == {10.0}
     surprises = [model.surprise(" ".join((once * k + ["plain"] * 302 * (3 - k)))) for k in (0, 1, 2, 3)]
     assert surprises[0] == 0 and surprises == sorted(set(surprises))
+
+
+def test_score_by_brute_force(spark):
+    """Probability of a document, from segments by definition."""
+    docs, labels, _ = _table(spark)
+    model = toxicity.fit(docs, labels, train=F.lit(True))
+    rows = docs.select("text", toxicity.score(model, F.col("text")).alias("s")).collect()
+    scored = 0
+    for text, s in rows[::9] + rows[-4:]:
+        words = toxicity.tokens(text)
+        odds = [max((model.odds[x] for x in toxicity.stems(w) if x in model.odds), default=0.0) for w in words]
+        total, times = 0.0, {}
+        for a, b, gain in brute_segments([x - model.drift for x in odds]):
+            e = model.rate * len(words) * math.exp(-model.decay * gain)
+            if e < model.e_value:
+                whole = fresh = 0.0
+                for w, x in zip(words[a:b + 1], odds[a:b + 1]):
+                    if x > 0:
+                        times[w] = times.get(w, 0) + 1
+                        whole, fresh = whole + x, fresh + x / times[w]
+                total -= math.log(max(e, 1e-300)) * fresh / whole
+        scored += total > 0
+        assert s == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log1p(total) + model.offset))), abs=1e-9)
+    assert scored > 5
+
+
+def test_clean_text_has_as_many_passages_as_its_limit_says(spark):
+    """Mild words that clean text uses too: about 0.05 chance passages a clean document
+    that the model hasn't seen."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    mild = ["ugly", "nasty", "dumb", "stinking"]
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 5 == 1
+        share = 0.12 if toxic else 0.006
+        words = [rng.choice(mild) if rng.random() < share else rng.choice(plain) for _ in range(rng.randint(40, 120))]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels, train=~fold)
+    found = {r["id"]: r["count"] for r in toxicity.passages(docs.where(fold), model).groupBy("id").count().collect()}
+    held = [r["doc_id"] for r in docs.where(fold).select("doc_id").collect()]
+    clean = [i for i in held if i % 5 != 1]
+    assert sum(found.get(i, 0) for i in clean) / len(clean) < 0.1
+    assert sum(i in found for i in held if i % 5 == 1) > 0.9 * (len(held) - len(clean))
