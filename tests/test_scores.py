@@ -130,3 +130,39 @@ def test_two_reports_of_one_rater_do_not_stop_the_table(spark):
     values = spark.createDataFrame([("P", "M", "Anxiety", 50), ("P", "M", "Anxiety", 60)], "patient string, rater string, label string, t_score int")
     wide = scores.combined_table(values.select("patient", "rater"), values, "patient", "rater", ["M"])
     assert {r["M"] for r in wide.where("label = 'Anxiety'").collect()} == {"60"}
+
+
+def test_packed_reports_give_the_same_table(spark):
+    reports = spark.createDataFrame(
+        [("P", "r1", "1/2/2020, (Mother)", 0), ("P", "r2", "3/4/2021, <x>", 1), ("Q", "q1", "no date", 0), (None, "n", "1/1/2020, (x)", 0)],
+        "patient string, report string, rater_label string, report_pos int")
+    values = spark.createDataFrame(
+        [("P", "r1", "Anxiety", "71"), ("P", "r1", "Anxiety", "9"), ("P", "r2", "Leadership", "30"), ("P", "r2", "Adaptive Skills", "38"),
+         ("P", "r2", None, "50"), ("Q", "q1", "Depression", "x"), (None, "n", "Anxiety", "60")],
+        "patient string, report string, label string, t_score string")
+    trees = spark.createDataFrame([("P", 0, "S", 0, "Anxiety", 0), ("P", 1, "Adaptive Skills", 1, "Leadership", 0), ("Q", 0, "U", 0, "z", 0)],
+                                  "patient string, report_pos int, scale string, scale_pos int, subscale string, sub_pos int")
+    for of in (None, trees):
+        long = scores.combined_long(reports, values, "patient", "report", trees=of)
+        packed = scores.combined_long(reports, values, "patient", "report", trees=of, packed=True)
+        assert packed.count() == (4 if of is None else 3)
+        want = rows(scores.score_table_html(long, "patient", F.lit("T")), "patient", "html")
+        assert rows(scores.score_table_html(packed, "patient", F.lit("T")), "patient", "html") == want
+        assert any("71" in h and "darkblue" in h and "lightblue" in h and "&lt;x&gt;" in h for _, h in want)
+
+
+def test_packed_scores_give_the_same_table(spark):
+    labels = [x[1] for x in scores.tree_rows()]
+    block = "Behavior Assessment System for Children {} Age: 9 Norm Group 1: General VALIDITY INDEX SUMMARY General Combined {} Percentile 50"
+    texts = [("P", 0, block.format("Relationship: M", "9 70 58")), ("P", 1, block.format("Relationship: M", "10 7 058 1")),
+             ("P", 2, block.format("Rater Position: T", " ".join(str(i) for i in range(30, 55)))), ("Q", 0, "no scores"),
+             (None, 0, block.format("Relationship: M", "5"))]
+    reports = scores.parse_headers(spark.createDataFrame(texts, "patient string, n int, text string"))
+    long = scores.zip_scores(reports, ["patient", "n", "relationship"])
+    packed = scores.zip_scores(reports, ["patient", "n", "relationship"], packed=labels)
+    assert packed.count() == 4  # a row for every report with a score block
+    keys, raters = reports.select("patient", "relationship"), ["M", "T"]
+    want = rows(scores.combined_table(keys, long, "patient", "relationship", raters))
+    got = scores.combined_table(keys, packed, "patient", "relationship", raters)
+    assert rows(got) == want and len(want) == 3 * 18
+    assert {r["M"] for r in got.where("patient = 'P' AND label = 'Conduct Problems'").collect()} == {"58"}
