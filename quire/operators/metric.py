@@ -10,19 +10,23 @@ every home vector meets all its neighbours in its own cell.
 Cells that are too large get pivots of their own, level by level, until they
 fit.  A split is undone if it leaves most of the comparisons (a loose range, or
 vectors spread evenly, cannot be cut by any pivots).  What is still large is
-compared in tiles, so that a task's memory never depends on the data.
+compared in tiles, so that a task's memory never depends on the data.  Tasks
+return the numbers of a vector's cells; its copies are made by Spark, once the
+split is known to be worth them.
 
-Kernels run over (home vectors, all vectors) of a tile; only what they return
-leaves it: sums, parts and short lists, not pairs, unless pairs are asked for.
+Kernels run over (home vectors, all vectors) of a tile and yield what they find
+piece by piece; only that leaves the tile: sums, parts and short lists, not
+pairs, unless pairs are asked for.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +40,26 @@ _LENGTH = 1 << 40  # a cell's number: the vectors' length, then a digit from 1 f
 _BASE = 4 * PIVOTS
 GAIN = 0.7  # share of the comparisons from which on a split isn't worth its copies
 _ROWS = 512
+_DISTANCES = 1 << 20  # of a tile, at once
 
-Kernel = Callable[[pd.DataFrame, pd.DataFrame, "Near"], pd.DataFrame]
+Kernel = Callable[[pd.DataFrame, pd.DataFrame, "Near"], Iterator[dict[str, np.ndarray]]]
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
     """Rows scaled to length one, in double precision (safe for large and small values)."""
-    x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return _scaled(np.vstack([np.asarray(v, dtype=np.float64) for v in vectors]))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
     x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of an Arrow column; those of a tile have one length."""
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks])
+    return _scaled(flat.astype(np.float64).reshape(len(vectors), -1))
 
 
 def usable(vec: str):
@@ -67,32 +82,32 @@ def needs(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray,
 class Near:
     """Which vectors of a tile are in range, a few rows at a time."""
 
-    def __init__(self, eps: float, home: pd.DataFrame, other: pd.DataFrame):
-        self.eps, self.a, self.b = eps, unit(home["v"]), unit(other["v"])
+    def __init__(self, eps: float, home: np.ndarray, other: np.ndarray):
+        self.eps, self.a, self.b = eps, home, other
 
     def __iter__(self):
-        for start in range(0, len(self.a), _ROWS):
-            distance = np.clip(1.0 - self.a[start:start + _ROWS] @ self.b.T, 0.0, 1.0)
+        rows = max(1, _DISTANCES // len(self.b))
+        for start in range(0, len(self.a), rows):
+            distance = self.a[start:start + rows] @ self.b.T
+            np.subtract(1.0, distance, out=distance)
+            np.clip(distance, 0.0, 1.0, out=distance)
             yield start, distance, distance <= self.eps
 
 
-def _assigned(reach: float, level: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _assigned(reach: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Rows with the number of their nearest pivot and those of the pivots whose
+    cells need them (-1: no split)."""
     def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        kept = ["cell", "node", "v", "weight"]
+        kept = rows[["cell", "node", "v", "weight", "home"]]
         if rows.empty or len(pivots) < 2:  # no split
-            return rows[kept].assign(child=rows["cell"], home=rows["home"])
+            return kept.assign(own=-1, children=[[-1]] * len(rows))
         centres = unit(pivots.sort_values("node")["v"])
-        parts = []
+        own, children = [], []
         for start in range(0, len(rows), _ROWS):
-            part = rows.iloc[start:start + _ROWS]
-            own, wanted = needs(unit(part["v"]), centres, reach)
-            which, child = np.nonzero(wanted)
-            there = part.iloc[which]
-            cell = there["cell"].to_numpy()
-            parts.append(there[kept].assign(
-                child=cell - cell % _LENGTH + cell % _LENGTH * _BASE + child + 1,
-                home=there["home"].to_numpy() & (own[which] == child)))
-        return pd.concat(parts)
+            nearest, wanted = needs(unit(rows["v"].iloc[start:start + _ROWS]), centres, reach)
+            own.append(nearest)
+            children += [np.flatnonzero(w) for w in wanted]
+        return kept.assign(own=np.concatenate(own), children=children)
     return run
 
 
@@ -105,7 +120,7 @@ def cells(nodes: DataFrame, eps: float, cell: int = CELL, pivots: int = PIVOTS,
     """
     kind = dict(nodes.dtypes)["v"]
     reach = math.sqrt(2 * eps) if eps < 1 else 2.0
-    schema = f"cell long, node long, v {kind}, weight long, child long, home boolean"
+    schema = f"cell long, node long, v {kind}, weight long, home boolean, own int, children array<int>"
     open_ = nodes.select((F.size("v") * F.lit(_LENGTH)).alias("cell"), "node", "v", F.col("weight").cast("long"),
                          F.lit(True).alias("home"))
     done = None
@@ -127,16 +142,20 @@ def cells(nodes: DataFrame, eps: float, cell: int = CELL, pivots: int = PIVOTS,
         dealt = large.select(*open_.columns, F.pmod(F.xxhash64("node"), parts).alias("salt"))
         chosen, dealt = chosen.toDF(*chosen.columns), dealt.toDF(*dealt.columns)
         split = shared_table(dealt.groupBy("cell", "salt").cogroup(chosen.groupBy("cell", "salt"))
-                             .applyInPandas(_assigned(reach, level), schema))
-        # comparisons before and after; a split without gain is undone
-        by_child = split.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
+                             .applyInPandas(_assigned(reach), schema))
+        # comparisons before and after; a split without gain is undone before it is copied
+        at_home = (F.col("home") & (F.col("k") == F.col("own"))).alias("home")
+        by_child = split.select("cell", "home", "own", F.explode("children").alias("k")).select("cell", "k", at_home) \
+            .groupBy("cell", "k").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("h"))
         after = by_child.groupBy("cell").agg(F.sum(F.col("n") * F.col("h")).alias("after"))
         gain = after.join(sizes, "cell").select(
             "cell", (F.col("after") <= F.col("n") * F.col("h") * GAIN).alias("better"))
         whole = large.select(*open_.columns).join(gain.where(~F.col("better")), "cell").select(*open_.columns)
         done = _plus(done, whole)
-        open_ = shared_table(split.join(gain.where("better"), "cell")
-                             .select(F.col("child").alias("cell"), "node", "v", "weight", "home"))
+        inner = F.col("cell") % _LENGTH
+        child = F.when(F.col("k") < 0, F.col("cell")).otherwise(F.col("cell") - inner + inner * _BASE + F.col("k") + 1)
+        open_ = shared_table(split.join(gain.where("better"), "cell").select("*", F.explode("children").alias("k"))
+                             .select(child.alias("cell"), "node", "v", "weight", at_home))
     else:
         done = _plus(done, open_)
     return shared_table(done)
@@ -160,42 +179,45 @@ def by_tile(members: DataFrame, eps: float, kernel: Kernel, schema: str, extra:
     def every(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    home = dealt.where("home").select("cell", row.alias("row"), every("across").alias("column"), *kept)
-    other = dealt.select("cell", every("down").alias("row"), column.alias("column"), *kept)
-    home, other = home.toDF(*home.columns), other.toDF(*other.columns)
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    home = dealt.where("home").select("cell", row.alias("row"), every("across").alias("column"), *kept, F.lit(True).alias("left"))
+    other = dealt.select("cell", every("down").alias("row"), column.alias("column"), *kept, F.lit(False).alias("left"))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = pa.Table.from_batches(list(batches))
+        left = tile["left"].to_numpy()
+        plain = tile.select(["node", "weight", *extra]).to_pandas()
+        a, b = plain[left].reset_index(drop=True), plain[~left].reset_index(drop=True)
         if a.empty or b.empty:
-            return pd.DataFrame({n: [] for n in names})
-        return kernel(a, b, Near(eps, a, b))
+            return
+        v = _matrix(tile["v"])
+        del tile, plain
+        for found in kernel(a, b, Near(eps, v[left], v[~left])):
+            yield pa.RecordBatch.from_pydict(found)
 
     # small in bytes, but not in work: all partitions are used
-    n = shuffle_partitions(members.sparkSession)
-    return (home.repartition(n, *keys).groupBy(keys).cogroup(other.repartition(n, *keys).groupBy(keys))
-            .applyInPandas(run, schema))
+    return (home.unionByName(other).repartition(shuffle_partitions(members.sparkSession), *keys).groupBy(keys)
+            .applyInArrow(run, schema))
 
 
 # Kernels ------------------------------------------------------------------------------------
-def count_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> pd.DataFrame:
+def count_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> Iterator[dict[str, np.ndarray]]:
     """``node, near``: weight of the vectors in range, the node's own included."""
     weight = b["weight"].to_numpy(np.int64)
     found = np.concatenate([hit @ weight for _, _, hit in near])
-    return pd.DataFrame({"node": a["node"].to_numpy(), "near": found})
+    yield {"node": a["node"].to_numpy(), "near": found}
 
 
-def pair_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> pd.DataFrame:
+def pair_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> Iterator[dict[str, np.ndarray]]:
     """``a, b, dist``: pairs of different nodes in range, ``a < b``."""
     left, right = a["node"].to_numpy(), b["node"].to_numpy()
-    parts = []
     for start, distance, hit in near:
         hit &= left[start:start + len(hit), None] < right[None]
         i, j = np.nonzero(hit)
-        parts.append(pd.DataFrame({"a": left[start + i], "b": right[j], "dist": distance[i, j]}))
-    return pd.concat(parts)
+        if len(i):
+            yield {"a": left[start + i], "b": right[j], "dist": distance[i, j]}
 
 
-def part_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> pd.DataFrame:
+def part_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> Iterator[dict[str, np.ndarray]]:
     """``node, other, border``: a smaller node of the same connected part of core
     nodes, for every core node that isn't its part's smallest; and the core
     nodes in range of each home node that is none (fewer than the threshold)."""
@@ -226,6 +248,6 @@ def part_kernel(a: pd.DataFrame, b: pd.DataFrame, near: Near) -> pd.DataFrame:
     root = roots(np.arange(len(nodes)))
     moved = root != np.arange(len(nodes))
     none = np.zeros(0, dtype=np.int64)
-    return pd.concat([
-        pd.DataFrame({"node": nodes[moved], "other": nodes[root[moved]], "border": False}),
-        pd.DataFrame({"node": np.concatenate([none, *edge_node]), "other": np.concatenate([none, *edge_core]), "border": True})])
+    yield {"node": nodes[moved], "other": nodes[root[moved]], "border": np.zeros(moved.sum(), dtype=bool)}
+    pairs = np.concatenate([none, *edge_node])
+    yield {"node": pairs, "other": np.concatenate([none, *edge_core]), "border": np.ones(len(pairs), dtype=bool)}

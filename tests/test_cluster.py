@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,23 @@ def test_components_without_variance(spark):
     one = pca.components(spark.createDataFrame([(1, "a"), (2, "b")], "id long, feature string"), "id")
     assert abs(one.explained[0] - 1) < 1e-9 and abs(one.explained[1]) < 1e-12
     assert {r["id"]: [round(abs(v), 6) for v in r["point"]] for r in one.points.collect()} == {1: [0.707107, 0.0], 2: [0.707107, 0.0]}
+
+
+def test_tasks_of_a_split_return_no_copies():
+    from quire.operators import metric
+    rnd = np.random.default_rng(3)
+    v = list(rnd.standard_normal((200, 8)))
+    rows_ = pd.DataFrame({"cell": 8 * metric._LENGTH, "node": range(200), "v": v, "weight": 1, "home": True})
+    got = metric._assigned(2.0)(rows_, rows_.iloc[:20][["cell", "node", "v"]])
+    assert len(got) == 200 and {len(c) for c in got["children"]} == {20}  # every cell needs every vector
+    assert all(own in c for own, c in zip(got["own"], got["children"]))
+
+
+def test_pairs_leave_a_tile_in_pieces(monkeypatch):
+    from quire.operators import metric
+    monkeypatch.setattr(metric, "_DISTANCES", 1000)
+    v = np.ones((100, 4)) / 2
+    nodes = pd.DataFrame({"node": range(100)})
+    parts = list(metric.pair_kernel(nodes, nodes, metric.Near(0.1, v, v)))
+    assert max(len(p["a"]) for p in parts) <= 1000 and len(parts) > 5
+    assert sum(len(p["a"]) for p in parts) == 100 * 99 // 2 and all((p["a"] < p["b"]).all() for p in parts)
