@@ -64,8 +64,8 @@ def term_vectors(df: DataFrame, id_col: str, text_col: str, num_features: int =
     slot = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(num_features)).cast("int")
     words = df.select(F.col(id_col).alias("id"), F.explode(
         F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("term"))
-    terms = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    counted = shared_table(terms.groupBy("id", slot.alias("slot")).agg(F.sum("n").alias("n")))
+    # an id has few slots, so counts shrink ahead of the shuffle; its terms needn't be told apart
+    counted = shared_table(words.groupBy("id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")))
     n = df.select(id_col).distinct().count()
     weight = F.log(F.lit(float(n + 1)) / (F.count(F.lit(1)) + 1))
     held = F.broadcast(counted.groupBy("slot").agg(weight.alias("w")))  # at most num_features rows

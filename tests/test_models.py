@@ -95,3 +95,13 @@ def test_selection_by_rank_is_exact(spark):
     assert got == want
     plan = by_rank(keyed, bounds, "grp", "k", "key", "what")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_term_slots_are_counted_in_one_shuffle(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(udfs, "shared_table", lambda df: kept.append(df) or df)
+    df = spark.createDataFrame([(1, "a b a"), (1, "B"), (2, None), (3, "c")], "id long, text string")
+    assert rows(udfs.term_vectors(df, "id", "text", 16), "id") == [(1,), (3,)]
+    assert {n for i, n in kept[0].groupBy("id").sum("n").collect()} == {4, 1}
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
