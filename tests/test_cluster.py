@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,48 @@ def test_jaccard_thresholds_and_hot_prefixes(spark):
     assert similarity.jaccard_pairs(df.where("false")).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_sets_meet_once(spark):
+    rnd = random.Random(31)
+    sets = {f"U{u}": {x for x in range(70) if rnd.random() < rnd.choice([0.2, 0.4, 0.9])} | {u % 70} for u in range(120)}
+    sets |= {f"V{u}": sets["U5"] for u in range(20)}
+    items = [(u, str(i)) for u, s in sets.items() for i in s]
+    df = spark.createDataFrame(items + items[:9] + [(None, "3"), ("U5", None)], "id string, item string")
+    for t, block in ((1e-9, 4), (0.3, 4), (0.3, 2048), (2 / 3, 16), (1.0, 4)):
+        found = similarity.jaccard_pairs(df, min_similarity=t, block=block)
+        if t < 1:
+            assert "FlatMapGroupsInPandas" not in _plan(found)  # not once for each common prefix item
+        got = sorted(tuple(r) for r in found.collect())
+        want = []
+        for a, b in itertools.combinations(sorted(sets), 2):
+            inter, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if inter / union >= t:
+                want.append((a, b, inter, union, inter / union))
+        assert got == want, (t, block)
+    few = spark.createDataFrame([(u, str(u % 50 + k)) for u in range(100) for k in range(3)], "id long, item string")
+    assert "FlatMapGroupsInPandas" in _plan(similarity.jaccard_pairs(few, min_similarity=0.9))
+
+
+def test_products_of_many_items_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_CELLS", 64)
+    rnd = random.Random(32)
+    sets = {u: set(rnd.sample(range(40), rnd.randrange(1, 40))) for u in range(50)}
+    rows_ = [(k % 3, u, sorted(s)) for k, (u, s) in enumerate(sets.items())]
+    whole = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_)], names=["block", "id", "tokens"])]
+    packed = pa.Table.from_batches(similarity._packed(40)(whole)).to_pylist()
+    held = [[{k: r[k] for k in ("id", "size", "bits")} for r in packed if r["block"] == b] for b in range(3)]
+    tiles = [(a, b, held[a], held[b]) for a in range(3) for b in range(a, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*tiles)], names=["down", "across", "first", "second"])
+    found = list(similarity._products(0.4, 40)([batch]))
+    got = sorted((min(r["a"], r["b"]), max(r["a"], r["b"]), r["inter"]) for x in found for r in x.to_pylist())
+    assert max(x.num_rows for x in found) <= 64
+    assert got == [(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(range(50), 2)
+                   if similarity.jaccard(sets[a], sets[b]) >= 0.4]
+
+
 def test_join_by_weight_keeps_all_rows(spark):
     from quire.plans.hot import join_by_weight
     left = spark.range(300).selectExpr("id", "if(id % 3 = 0, null, if(id % 3 = 1, 'hot', cast(id AS string))) AS k")
