@@ -11,6 +11,7 @@ frequent pieces are no hot keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,18 +27,24 @@ FREQUENT = 100_000  # pieces with more than one in so many of all are broadcast:
 LONG = 64  # characters; longer ones are known by their digest
 
 
-def _encoded(ranks_path: str):
-    """Pieces to numbers of tokens; the vocabulary is loaded once in a task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
+@lru_cache(maxsize=1)
+def _encoding(ranks_path: str):
+    """The vocabulary, loaded once in a Python worker, which runs many tasks."""
+    import base64
+
+    import tiktoken
 
-        import tiktoken
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        encoding = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+def _encoded(ranks_path: str):
+    """Pieces to numbers of tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(ranks_path).encode_ordinary
         for batch in batches:
-            counts = [len(encoding.encode_ordinary(p)) for p in batch.column(0).to_pylist()]
+            counts = [len(encode(p)) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(counts, pa.int64())],
                                              names=["key", "w", "tokens"])
     return run
@@ -52,10 +59,11 @@ def token_counts(texts: DataFrame, ranks_path: str, id_col: str, text_col: str =
     """
     key = F.when(F.length("piece") <= LONG, F.col("piece")).otherwise(F.sha2("piece", 512))
     rows = texts.select(F.col(id_col).alias("id"), F.explode(
-        F.regexp_extract_all(text_col, F.lit(f"(?U)({pattern})"), 1)).alias("piece")).select("id", key.alias("key"), "piece")
-    distinct = rows.groupBy("key").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("w"))
-    known = shared_table(distinct.select("piece", "w", "key").mapInArrow(_encoded(ranks_path), "key string, w long, tokens long"))
+        F.regexp_extract_all(text_col, F.lit(f"(?U){pattern}"), 0)).alias("piece"))
+    # a count by the pieces themselves is hashed; with a string among its results, all rows would be sorted
+    distinct = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("w")).select("piece", "w", key.alias("key"))
+    known = shared_table(distinct.mapInArrow(_encoded(ranks_path), "key string, w long, tokens long"))
     # most pieces are frequent ones, which meet their tokens before any shuffle
-    there = join_by_weight(rows.select("id", "key"), known, ["key"], "w", share=FREQUENT)
+    there = join_by_weight(rows.select("id", key.alias("key")), known, ["key"], "w", share=FREQUENT)
     none = texts.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("tokens"))
     return there.select("id", "tokens").unionByName(none).groupBy("id").agg(F.sum("tokens").alias("n_tokens"))

@@ -31,6 +31,17 @@ def test_token_counts_agree_with_whole_texts(spark):
     assert tokens.token_counts(df.where("false"), RANKS, "k", "body").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary file")
+def test_pieces_are_counted_without_a_sort(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tokens, "shared_table", lambda df: kept.append(df) or df)
+    df = spark.createDataFrame([(1, "one two one"), (2, "two " + "x" * 70), (3, None), (1, " one")], "id long, text string")
+    assert rows(tokens.token_counts(df, RANKS, "id"), "id") == [(1,), (2,), (3,)]
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan and plan.count("Exchange") == 1
+    assert sorted((len(k), w) for k, w in kept[0].select("key", "w").collect()) == [(3, 1), (3, 1), (4, 1), (4, 2), (128, 1)]
+
+
 def test_answers_are_asked_once(spark, tmp_dir):
     log, store = os.path.join(tmp_dir, "asked"), os.path.join(tmp_dir, "answers")
     os.makedirs(log)
